@@ -75,11 +75,12 @@ def code_then_terms(queries: DataFrame, items: DataFrame, fields: Sequence[str])
     asked = queries.select("query").distinct().select(
         "query", norm_code(F.col("query")).alias("as_code"), search_text(F.col("query")).alias("as_text")
     )
-    by_code = match_code(asked, "as_code", items.select("code", "ord")).select("query", "code", "ord")
-    rest = asked.join(by_code.select("query"), "query", "left_anti")
+    shaped = F.when(is_code(F.col("as_code")), F.col("as_code"))
+    tried = asked.join(items.select("code", "ord"), shaped == F.col("code"), "left")
+    by_code = tried.where("code IS NOT NULL").select("query", "code", "ord")
+    rest = tried.where("code IS NULL").select("query", "as_text")
     found = search(rest, "as_text", with_haystack(items, fields).select("code", "ord", "hay"), "hay")
-    by_terms = rest.join(found, "as_text").select("query", "code", "ord")
-    return by_code.unionByName(by_terms)
+    return by_code.unionByName(rest.join(found, "as_text").select("query", "code", "ord"))
 
 
 def drop_zero(matches: DataFrame, price: str, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -35,11 +35,27 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.filter(whole, lambda g: F.length(g) == size))
 
 
-def _matches(asked: DataFrame, texts: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """(query, hay) pairs. `asked` has the query, its terms, and `grams` of the given sizes."""
-    every = F.array_distinct(F.concat(*[_grams(F.col("hay"), n) for n in sizes]))
+def search(queries: DataFrame, query: str, items: DataFrame, hay: str, *, phrase: bool = False) -> DataFrame:
+    """(query, item columns) for each item that holds every term of the query.
+
+    `query` is a normalised text; its terms are its words or, with `phrase=True`, the whole text.
+    `hay` is the items' haystack. Queries without any term match nothing.
+    """
+
+    def terms_of(text: Column) -> Column:
+        return F.filter(F.array(text) if phrase else F.split(text, " "), lambda t: t != "")
+
+    has_trigram = F.exists("terms", lambda t: F.length(t) >= 3)
+    trigrams = F.flatten(F.transform("terms", lambda t: _grams(t, 3)))
+    wanted = (
+        queries.select(F.col(query).alias("query"))
+        .distinct()
+        .withColumn("terms", terms_of(F.col("query")))
+        .select("query", F.explode(F.array_distinct(F.when(has_trigram, trigrams).otherwise(F.col("terms")))).alias("gram"))
+    )
+    texts = items.select(F.col(hay).alias("hay")).distinct()
+    every = F.array_distinct(F.concat(*[_grams(F.col("hay"), n) for n in (1, 2, 3)]))
     posted = texts.select("hay", F.explode(every).alias("gram"))
-    wanted = asked.select("query", F.explode("grams").alias("gram"))
     frequency = (
         posted.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     )
@@ -51,28 +67,5 @@ def _matches(asked: DataFrame, texts: DataFrame, sizes: Sequence[int]) -> DataFr
         .where("rarest.n > 0")
         .select("query", "rarest.gram")
     )
-    probes = rarest.join(asked.select("query", "terms"), "query")
-    return posted.join(probes, "gram").where(holds_all(F.col("hay"), F.col("terms"))).select("query", "hay")
-
-
-def search(queries: DataFrame, query: str, items: DataFrame, hay: str, *, phrase: bool = False) -> DataFrame:
-    """(query, item columns) for each item that holds every term of the query.
-
-    `query` is a normalised text; its terms are its words or, with `phrase=True`, the whole text.
-    `hay` is the items' haystack. Queries without any term match nothing.
-    """
-    text = F.col(query)
-    parts = F.array(text) if phrase else F.split(text, " ")
-    asked = (
-        queries.select(text.alias("query"), F.filter(parts, lambda t: t != "").alias("terms"))
-        .where(F.size("terms") > 0)
-        .dropDuplicates(["query"])
-    )
-    texts = items.select(F.col(hay).alias("hay")).distinct()
-    has_trigram = F.exists("terms", lambda t: F.length(t) >= 3)
-    trigrams = asked.where(has_trigram).withColumn(
-        "grams", F.array_distinct(F.flatten(F.transform("terms", lambda t: _grams(t, 3))))
-    )
-    short = asked.where(~has_trigram).withColumn("grams", F.col("terms"))
-    hits = _matches(trigrams, texts, [3]).unionByName(_matches(short, texts, [1, 2]))
+    hits = posted.join(rarest, "gram").where(holds_all(F.col("hay"), terms_of(F.col("query")))).select("query", "hay")
     return hits.withColumnsRenamed({"query": query, "hay": hay}).join(items, hay)

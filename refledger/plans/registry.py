@@ -57,7 +57,12 @@ def _with_bindings(text: str) -> str:
         return _REFERENCE.sub(lambda m: m.group(1), sql).replace("{{", "{").replace("}}", "}")
 
     ctes = [f"{name} AS ({plain(_SHARED[name])})" for name in ordered]
-    return (f"WITH {', '.join(ctes)} " if ctes else "") + plain(text)
+    body = plain(text).strip()
+    if not ctes:
+        return body
+    if body.startswith("WITH "):
+        return f"WITH {', '.join(ctes)}, {body.removeprefix('WITH ')}"
+    return f"WITH {', '.join(ctes)} {body}"
 
 
 def query(name: str, oracle: str | None = None):
