@@ -4,6 +4,8 @@
 def all_queries() -> None:
     """Import every module that registers queries."""
     from refledger.plans import (  # noqa: F401
+        q_facets,
         q_history,
         q_lookup,
+        q_text,
     )
