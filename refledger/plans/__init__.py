@@ -4,8 +4,10 @@
 def all_queries() -> None:
     """Import every module that registers queries."""
     from refledger.plans import (  # noqa: F401
+        q_contracts,
         q_facets,
         q_history,
         q_lookup,
+        q_reconcile,
         q_text,
     )

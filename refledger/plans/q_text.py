@@ -126,13 +126,13 @@ def b11(t: Tables):
 
 @query(
     "b19_split_steps",
-    """SELECT doc, 1 AS pos, '一、first ' || name AS step FROM {rule_parts} WHERE ln = 1
-       UNION ALL SELECT doc, 2, '二、second ' || flag FROM {rule_parts} WHERE ln = 1""",
+    """SELECT doc, ln, 1 AS pos, '一、first ' || name AS step FROM {rule_parts}
+       UNION ALL SELECT doc, ln, 2, '二、second ' || flag FROM {rule_parts}""",
 )
 def b19(t: Tables):
     joined = F.concat(F.lit("  一、first "), F.col("name"), F.lit("\n 二、second "), F.col("flag"), F.lit(" "))
     steps = F.posexplode(text.split_steps(joined)).alias("pos", "step")
-    return t["rule_parts"].where("ln = 1").select("doc", steps).withColumn("pos", F.col("pos").cast("bigint") + 1)
+    return t["rule_parts"].select("doc", "ln", steps).withColumn("pos", F.col("pos").cast("bigint") + 1)
 
 
 @query(
