@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
-BLOCK = 8192
+BLOCK = 1 << 16
 
 
 def block(order: str, size: int = BLOCK) -> Column:

@@ -9,5 +9,6 @@ def all_queries() -> None:
         q_history,
         q_lookup,
         q_reconcile,
+        q_rules,
         q_text,
     )

@@ -255,4 +255,28 @@ ORACLE_BINDINGS: dict[str, str] = {
                  regexp_replace(regexp_replace(regexp_extract(raw, '^[0-9.]+'), '(\.\d*?)0+$', '\1'), '\.$', '') AS num,
                  CASE upper(regexp_extract(raw, '[A-Za-z%].*$')) WHEN 'MG' THEN 'mg' WHEN 'GM' THEN 'g' WHEN 'IU' THEN 'IU' WHEN 'MG/GM' THEN 'mg/g' END AS unit
           FROM {o_raw_mentions})""",
+    "o_answers": """
+        SELECT user_id, week, kind, id, answer FROM (
+          SELECT *, row_number() OVER (PARTITION BY user_id, week, kind, id ORDER BY ts DESC, event_id DESC) AS rn FROM {answer_log})
+        WHERE rn = 1 AND answer IS NOT NULL""",
+    "o_sheet": "SELECT s.user_id, s.week, ANY_VALUE(measure) AS measure, "
+    + ", ".join(
+        f"bool_or(answer) FILTER (kind = '{kind}' AND id = '{id_}') AS {name}"
+        for kind, id_, name in (
+            ("prerequisite", "a-1", "pa1"), ("prerequisite", "a-2", "pa2"),
+            ("criterion", "a-1-1", "a11"), ("criterion", "a-1-2", "a12"), ("criterion", "a-2-1", "a21"), ("criterion", "a-3", "a3"),
+            ("criterion", "b-1", "b1"), ("criterion", "b-2", "b2"), ("criterion", "c-1", "c1"),
+            ("factor", "f-1", "f1"), ("factor", "f-2", "f2"), ("factor", "f-3", "f3"),
+            ("factor", "f-4-1", "f41"), ("factor", "f-4-2", "f42"), ("factor", "f-4-3", "f43"),
+        )
+    )
+    + " FROM {subjects} s LEFT JOIN {o_answers} a ON a.user_id = s.user_id AND a.week = s.week GROUP BY s.user_id, s.week",
+    "o_facts": """
+        SELECT *, CASE WHEN a3 IS NULL THEN pa1 WHEN pa1 IS NULL OR pa1 = a3 THEN a3 END AS fact, measure >= 200 AS c2,
+               CASE WHEN yes4 >= 2 THEN true WHEN yes4 + unk4 < 2 THEN false END AS f4
+        FROM (SELECT *, COALESCE(CAST(f41 AS INT), 0) + COALESCE(CAST(f42 AS INT), 0) + COALESCE(CAST(f43 AS INT), 0) AS yes4,
+                     CAST(f41 IS NULL AS INT) + CAST(f42 IS NULL AS INT) + CAST(f43 IS NULL AS INT) AS unk4 FROM {o_sheet})""",
+    "o_truths": """
+        SELECT *, ga1 OR ga2 OR fact AS ta FROM (
+          SELECT *, fact AND (a11 OR a12) AS ga1, pa2 AND a21 AS ga2, b1 OR b2 AS tb, c1 OR c2 AS tc FROM {o_facts})""",
 }
