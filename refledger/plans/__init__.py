@@ -7,7 +7,9 @@ def all_queries() -> None:
         q_contracts,
         q_facets,
         q_history,
+        q_lines,
         q_lookup,
+        q_mining,
         q_reconcile,
         q_rules,
         q_text,
