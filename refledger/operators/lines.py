@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from refledger.functions.text import NUMERALS, WS, insert_at, rejoin, required_count, split_ordinal, strip, strip_suffix
 from refledger.operators.prefix import block, numbered, running
+from refledger.sources.workspace import cut
 
 # --- Fixed values: superscripts that a layout drops onto a line of their own ---------------------
 SUPERSCRIPTS = {"2": "²", "3": "³"}
@@ -44,11 +45,12 @@ def slice_between(
     (document, marker) pairs that were not found. A document without all markers has no sections.
     """
     names = list(markers)
-    found = lines.select(doc).distinct()
-    for i, (name, is_marker) in enumerate(markers.items()):
-        hits = lines.where(is_marker).select(doc, F.col(ord).alias("__ord"))
-        after = hits if i == 0 else hits.join(found, doc).where(F.col("__ord") > F.col(names[i - 1]))
-        found = found.join(after.groupBy(doc).agg(F.min("__ord").alias(name)), doc, "left")
+    found = lines.groupBy(doc).agg(F.min(F.when(markers[names[0]], F.col(ord))).alias(names[0]))
+    for i, name in enumerate(names[1:], 1):
+        hits = lines.where(markers[name]).select(doc, F.col(ord).alias("__ord"))
+        later = F.when(F.col("__ord") > F.col(names[i - 1]), F.col("__ord"))
+        known = [F.max(n).alias(n) for n in names[:i]]
+        found = found.join(hits, doc, "left").groupBy(doc).agg(*known, F.min(later).alias(name))
     missing = found.select(
         doc,
         F.explode(F.filter(F.array(*[F.when(F.col(n).isNull(), n) for n in names]), lambda m: m.isNotNull())).alias("marker"),
@@ -162,12 +164,14 @@ def lines_to_rules(
     indented item belongs to the group; any other is a criterion of its own and closes the group. In the
     second section a numbered item is a factor; one that asks for at least N of its parts is a parent.
     """
-    cut, missing = slice_between(lines, doc, markers, ord)
+    sliced, missing = slice_between(lines, doc, markers, ord)
     first, second, _ = markers
     keys = [doc, "section"]
-    text_lines, lost = reinsert_orphans(drop_noise(cut, page_marker), keys, ord)
+    # Each running fold reads its rows twice, so chains of folds start from written tables.
+    body_lines = cut(drop_noise(sliced, page_marker), "rule-lines")
+    text_lines, lost = reinsert_orphans(body_lines, keys, ord)
     start = strip(F.col("line")).rlike(ITEM_START)
-    items = items_of(fold_lines(text_lines, keys, start, ord), keys, ord=ord)
+    items = cut(items_of(fold_lines(text_lines, keys, start, ord), keys, ord=ord), "rule-items")
 
     tier = F.when(F.lit(False), "")
     for label, tier_id in tier_labels:
@@ -187,9 +191,8 @@ def lines_to_rules(
             strip_suffix(F.col("body"), group_suffixes).alias("prerequisite"),
         ),
     ).when(closes, F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("prerequisite")))
-    headed = running(
-        defs, [doc], ["ord"], block("ord"), {"tier_id": ("last", F.col("tier_here")), "grp": ("last", group)}
-    )
+    folds = {"tier_id": ("last", F.col("tier_here")), "grp": ("last", group)}
+    headed = cut(running(defs, [doc], ["ord"], block("ord"), folds), "rule-headings")
     member = F.col("tier_here").isNull() & ~opens
     rows = headed.where(member & F.col("tier_id").isNotNull() & (alone | F.col("grp.at").isNotNull()))
     rows = rows.select(
@@ -198,14 +201,15 @@ def lines_to_rules(
         F.when(~alone, F.col("grp.heading")).alias("group_heading"),
         F.when(~alone, F.col("grp.prerequisite")).alias("prerequisite"),
     )
-    in_tier = numbered(rows, [doc, "tier_id"], ["ord"], block("ord"), "n_tier")
-    # Flat rows all share place 0, which is never read.
-    in_group = numbered(
-        in_tier.withColumn("group_at", F.coalesce("group_at", F.lit(-1))),
-        [doc, "tier_id", "group_at"], ["ord"], block("ord"), "n_group",
-    )
-    opened = F.when((F.col("n_group") == 1) & ~F.col("flat"), 1).otherwise(0).cast("bigint")
-    counted = running(in_group, [doc, "tier_id"], ["ord"], block("ord"), {"group_no": ("sum", opened)})
+    # A flat item or a tier heading closes a group, so a group's members follow each other in their tier.
+    placed = running(
+        rows, [doc, "tier_id"], ["ord"], block("ord"), {"n_before": ("sum", F.lit(1).cast("bigint")), "prev": ("last", F.struct("group_at"))}, inclusive=False,
+    ).withColumn("n_tier", F.col("n_before") + 1)
+    opening = ~F.col("flat") & ~F.col("group_at").eqNullSafe(F.col("prev.group_at"))
+    counted = running(
+        placed, [doc, "tier_id"], ["ord"], block("ord"),
+        {"group_no": ("sum", F.when(opening, 1).otherwise(0).cast("bigint")), "opened_at": ("last", F.when(opening, F.col("n_tier")))},
+    ).withColumn("n_group", F.col("n_tier") - F.col("opened_at") + 1)
     group_id = F.when(~F.col("flat"), F.concat_ws("-", "tier_id", F.col("group_no").cast("string")))
     criteria = counted.withColumn("group_id", group_id).select(
         doc, "ord", "tier_id", "group_id", "group_heading", "prerequisite", "ordinal", "text",

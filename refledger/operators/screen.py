@@ -12,6 +12,7 @@ from refledger.operators.facets import by_facet, facet_counts, facet_options, pa
 from refledger.operators.lookup import Dataset, master_lookup, review_state
 from refledger.operators.mining import mine
 from refledger.operators.reconcile import by_membership, membership
+from refledger.sources.workspace import cut
 
 ASK = ["search_text", "lookup_date", "dose_key", "filter"]
 
@@ -37,12 +38,14 @@ def search_page(
     A date in the line overrides `as_of`. Facets are counted after the membership filter and before the
     dose filter, so the other doses stay on offer; the changed count covers the unfiltered result.
     """
-    mined = (
+    # Lines and matches are each read by several of the results, so they are written once.
+    mined = cut(
         mine(lines, "line", "today", "announced")
         .withColumn("lookup_date", F.coalesce("mined_as_of", "as_of"))
         .withColumn("filter", F.coalesce("filter", F.lit("all")))
         .withColumn("dose_key", F.coalesce("dose_key", F.lit("")))
-        .withColumn("dose_label", F.coalesce("dose_label", F.lit("")))
+        .withColumn("dose_label", F.coalesce("dose_label", F.lit(""))),
+        "mined-lines",
     )
     requests = mined.select(
         "request_id", F.col("search_text").alias("query"), F.col("lookup_date").alias("as_of"), "dataset_version"
@@ -53,7 +56,7 @@ def search_page(
     )
     described = with_mentions(membership(items, records)).select("code", "changed", "doses")
     asks = mined.select(*ASK, "dose_label").distinct()
-    rows = asks.join(matches, ["search_text", "lookup_date"]).join(described, "code")
+    rows = cut(asks.join(matches, ["search_text", "lookup_date"]).join(described, "code"), "screen-matches")
     kept = rows.where(by_membership(F.col("changed"), F.col("filter")))
     chosen_key = F.when(F.col("dose_key") != "", F.col("dose_key"))
     visible = kept.where(by_facet(F.col("doses"), chosen_key))

@@ -7,6 +7,9 @@ spread the shapes over the rows; nothing is sampled.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from refledger.operators.lookup import Dataset
 
 DATASET = Dataset("v1", "1995-06-01", "2001-12-31")
@@ -213,6 +216,38 @@ BINDINGS: dict[str, str] = {
         UNION ALL SELECT DISTINCT doc, 990, '●END：' FROM {rule_parts}""",
 }
 
+
+def rule_lines(parts: DataFrame) -> DataFrame:
+    """The binding `rule_lines` in one pass: each order line gives its text lines, the first one also the frame."""
+    a, r, n = F.col("flag") == "A", F.col("flag") == "R", F.col("flag") == "N"
+    closed, opened = F.col("st") == "F", F.col("st") == "O"
+    opens = F.col("opens")
+    at, word = F.col("ln") * 10, F.substring(F.lit("一二三四五六七"), F.col("ln"), F.lit(1))
+    texts = [
+        (opens, F.lit(1), F.lit("●CRITERIA：")),
+        (opens, F.lit(2), F.lit("一、Tier A：")),
+        (opens, F.lit(3), F.lit("PAGE HEADER    right column")),
+        (r, at, F.lit("二、Tier B：")),
+        (a, at, F.concat(F.lit("(一)"), "name", F.lit("，包含："))),
+        (a, at + 1, F.lit("    1. view of")),
+        (a & closed, at + 2, F.lit("          2")),
+        (a, at + 3, F.concat(F.lit("       "), "name", F.lit(" m"))),
+        (a, at + 4, F.concat(F.lit("    2. 第"), F.col("size").cast("string"), F.lit("項"))),
+        (n, at, F.concat(F.lit("(二) flat "), "name")),
+        (opens, F.lit(900), F.lit("●FACTORS：")),
+        (closed, at + 900, F.concat(word, F.lit("、"), "name")),
+        (opened, at + 900, F.concat(word, F.lit("、"), "name", F.lit("符合以下至少二項："))),
+        (opened, at + 901, F.lit("(一)part one")),
+        (opened, at + 902, F.lit("(二)part two of")),
+        (opened, at + 903, F.concat(F.lit("    -"), "name")),
+        (opens, F.lit(990), F.lit("●END：")),
+    ]
+    rows = [F.when(cond, F.struct(ord.cast("int").alias("ord"), line.alias("line"))) for cond, ord, line in texts]
+    # At most seven line numbers per order.
+    first = parts.withColumn("opens", F.col("ln") == F.min("ln").over(Window.partitionBy("doc")))
+    return first.select("doc", F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+
+
 # Only the checking engine reads these: the same shapes derived in another way.
 ORACLE_BINDINGS: dict[str, str] = {
     "o_lines": """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from refledger.plans.bindings import BINDINGS, ORACLE_BINDINGS
+from refledger.plans.bindings import BINDINGS, ORACLE_BINDINGS, rule_lines
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -32,6 +32,8 @@ class Tables:
         if name not in self._known:
             if name in TABLES:
                 self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            elif name == "rule_lines":
+                self._known[name] = rule_lines(self["rule_parts"])
             else:
                 self._known[name] = self.sql(BINDINGS[name])
         return self._known[name]
