@@ -12,5 +12,6 @@ def all_queries() -> None:
         q_mining,
         q_reconcile,
         q_rules,
+        q_sources,
         q_text,
     )

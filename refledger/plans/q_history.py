@@ -182,16 +182,3 @@ def e02(t: Tables):
 )
 def e15(t: Tables):
     return contracts.expect_cardinality(t["part"], ["p_brand", "p_type", "p_name"], 20, "part")
-
-
-@query(
-    "a13_column_drop",
-    """SELECT code, COUNT(*) AS n, MIN(price_raw) AS low FROM {periods} GROUP BY code""",
-)
-def a13(t: Tables):
-    """Columns that are checked but not published never reach the readers of the result."""
-    rows = t["periods"].withColumn("link", F.concat(F.lit("https://example.invalid/"), "code"))
-    bad = contracts.expect_nonempty(rows, ["link"], "periods", ["code"])
-    published = rows.drop("link").unionByName(bad.select("key"), allowMissingColumns=True).where("code IS NOT NULL")
-    return published.groupBy("code").agg(F.count("*").alias("n"), F.min("price_raw").alias("low"))
-

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from refledger.operators import contracts, lines
 from refledger.plans.registry import Tables, query
+from refledger.sources.workspace import cut
 
 MARKERS = ("●CRITERIA：", "●FACTORS：", "●END：")
 TIERS = (("一、Tier A：", "a"), ("二、Tier B：", "b"))
@@ -212,8 +213,8 @@ def k12_violations(t: Tables):
 def k11(t: Tables):
     """Rule rows out of lines, through the checks a publish job runs on them."""
     built = rules_of(t)
-    criteria = built.criteria.withColumn("key", F.concat_ws("/", "doc", "criterion_id"))
-    factors = built.factors.withColumns(
+    criteria = cut(built.criteria, "criteria").withColumn("key", F.concat_ws("/", "doc", "criterion_id"))
+    factors = cut(built.factors, "factors").withColumns(
         {"key": F.concat_ws("/", "doc", "factor_id"), "parent": F.concat(F.col("doc").cast("string"), F.lit("/"), F.col("parent_id"))}
     )
     parents = factors.where("required IS NOT NULL")
