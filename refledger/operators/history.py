@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from refledger.functions.dates import OPEN_END
-from refledger.operators.prefix import month, numbered, running
+from refledger.operators.prefix import numbered, running, year
 
 START, END = "start_date", "end_date"
 
@@ -26,7 +26,7 @@ def first_attributes(rows: DataFrame, key: str, attrs: Sequence[str], ord: str =
 
 def numbered_periods(periods: DataFrame, key: str, ord: str = "ord") -> DataFrame:
     """Each key's periods with their place `seq` in order of start, end and source row."""
-    return numbered(periods, [key], [START, END, ord], month(START), "seq")
+    return numbered(periods, [key], [START, END, ord], year(START), "seq")
 
 
 def to_history(rows: DataFrame, key: str, attrs: Sequence[str], ord: str = "ord") -> DataFrame:
@@ -88,7 +88,7 @@ def overlaps(periods: DataFrame, key: str, ord: str = "ord") -> DataFrame:
     """Periods that start on or before the latest end of the periods before them, with that period."""
     earlier = F.struct(END, F.col(ord).alias("ord"))
     scanned = running(
-        periods, [key], [START, END, ord], month(START), {"__earlier": ("max", earlier)}, inclusive=False
+        periods, [key], [START, END, ord], year(START), {"__earlier": ("max", earlier)}, inclusive=False
     )
     return scanned.where(F.col(START) <= F.col(f"__earlier.{END}")).select(
         *periods.columns,
@@ -100,7 +100,7 @@ def overlaps(periods: DataFrame, key: str, ord: str = "ord") -> DataFrame:
 def gaps(periods: DataFrame, key: str, ord: str = "ord") -> DataFrame:
     """Stretches between a key's periods that no period covers."""
     scanned = running(
-        periods, [key], [START, END, ord], month(START), {"__covered": ("max", F.col(END))}, inclusive=False
+        periods, [key], [START, END, ord], year(START), {"__covered": ("max", F.col(END))}, inclusive=False
     )
     return scanned.where(F.datediff(START, "__covered") > 1).select(
         key,

@@ -19,9 +19,10 @@ from refledger.sources.workspace import cut
 
 # --- Fixed values: superscripts that a layout drops onto a line of their own ---------------------
 SUPERSCRIPTS = {"2": "²", "3": "³"}
-ITEM_START = rf"^(?:[(（][{''.join(NUMERALS)}][)）]|\d+\.|[{''.join(NUMERALS)}]、|●)"
+ITEM_START = rf"^{WS}*(?:[(（][{''.join(NUMERALS)}][)）]|\d+\.|[{''.join(NUMERALS)}]、|●)"
 # -------------------------------------------------------------------------------------------------
 
+NOT_WS = WS.replace("[", "[^", 1)
 ORPHAN = rf"^({WS}*)(\d){WS}*$"
 
 
@@ -33,7 +34,7 @@ def to_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def drop_noise(lines: DataFrame, marker: str, line: str = "line") -> DataFrame:
     """Lines that are neither blank nor page headers."""
-    return lines.where((strip(F.col(line)) != "") & ~F.contains(F.col(line), F.lit(marker)))
+    return lines.where(F.col(line).rlike(NOT_WS) & ~F.contains(F.col(line), F.lit(marker)))
 
 
 def slice_between(
@@ -70,25 +71,22 @@ def reinsert_orphans(
     Returns the lines without the orphans, and the orphans that cannot be placed: an unmapped digit, a
     column beyond the next line, or no next line.
     """
-    orphan = F.col(line).rlike(ORPHAN)
-    pending = F.struct(
-        F.when(orphan, F.length(F.regexp_extract(line, ORPHAN, 1))).alias("column"),
-        F.when(orphan, F.regexp_extract(line, ORPHAN, 2)).alias("digit"),
-        F.col(ord).alias("at"),
+    marked = lines.withColumn("__digit", F.nullif(F.regexp_extract(line, ORPHAN, 2), F.lit("")))
+    orphan = F.col("__digit").isNotNull()
+    before = F.struct(
+        F.col("__digit").alias("digit"), F.length(F.regexp_extract(line, f"^{WS}*", 0)).alias("column"), F.col(ord).alias("at")
     )
-    following = F.struct(orphan.alias("orphan"))
-    seen = running(lines, keys, [ord], block(ord), {"__before": ("last", pending)}, inclusive=False)
-    glyph = F.try_element_at(
-        F.create_map(*[F.lit(x) for pair in SUPERSCRIPTS.items() for x in pair]), F.col("__before.digit")
-    )
-    placed = insert_at(F.col(line), glyph, F.col("__before.column"))
+    seen = running(marked, keys, [ord], block(ord), {"__before": ("last", before)}, inclusive=False)
+    glyphs = F.create_map(*[F.lit(x) for pair in SUPERSCRIPTS.items() for x in pair])
+    placed = insert_at(F.col(line), F.try_element_at(glyphs, F.col("__before.digit")), F.col("__before.column"))
     has = F.col("__before.digit").isNotNull()
     body = seen.where(~orphan)
     fixed = body.withColumn(line, F.when(has, F.coalesce(placed, F.col(line))).otherwise(F.col(line)))
     lost = body.where(has & placed.isNull()).select(*keys, F.col("__before.at").alias(ord))
-    last = running(lines, keys, [ord], block(ord), {"__next": ("last", following)}, inclusive=False, reverse=True)
-    unread = last.where(orphan & F.col("__next").isNull()).select(*keys, ord)
-    return fixed.drop("__before"), lost.unionByName(unread)
+    # An orphan that ends its group has no line to go to. Orphans right above another are overruled by it.
+    last = marked.groupBy(*keys).agg(F.max(F.struct(ord, "__digit")).alias("last")).where("last.__digit IS NOT NULL")
+    unread = last.select(*keys, F.col(f"last.{ord}").alias(ord))
+    return fixed.drop("__before", "__digit"), lost.unionByName(unread)
 
 
 def fold_lines(lines: DataFrame, keys: Sequence[str], is_start: Column, ord: str = "ord") -> DataFrame:
@@ -170,7 +168,7 @@ def lines_to_rules(
     # Each running fold reads its rows twice, so chains of folds start from written tables.
     body_lines = cut(drop_noise(sliced, page_marker), "rule-lines")
     text_lines, lost = reinsert_orphans(body_lines, keys, ord)
-    start = strip(F.col("line")).rlike(ITEM_START)
+    start = F.col("line").rlike(ITEM_START)
     items = cut(items_of(fold_lines(text_lines, keys, start, ord), keys, ord=ord), "rule-items")
 
     tier = F.when(F.lit(False), "")

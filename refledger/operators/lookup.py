@@ -17,6 +17,7 @@ from refledger.functions.numbers import is_zero
 from refledger.functions.text import CODE_PATTERN, is_code, norm_code, norm_name, search_text
 from refledger.operators.history import asof_one
 from refledger.operators.search import haystack, search
+from refledger.sources.workspace import cut
 
 # --- Fixed values: the statuses of a lookup ------------------------------------------------------
 EXACT, MULTIPLE, NOT_FOUND = "EXACT_MATCH", "MULTIPLE_MATCHES", "NOT_IN_VALIDATED_DATASET"
@@ -71,15 +72,21 @@ def with_haystack(items: DataFrame, fields: Sequence[str], normalise=search_text
 
 
 def code_then_terms(queries: DataFrame, items: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Candidates per distinct `query`: the item with that very code, else all items with all terms."""
+    """Candidates per distinct `query`: the item with that very code, else all items with all terms.
+
+    Distinct queries and haystacks are each read several times, and folding them runs in Python, so
+    they are written once. Items may bring their haystack along as column `hay`.
+    """
     asked = queries.select("query").distinct().select(
         "query", norm_code(F.col("query")).alias("as_code"), search_text(F.col("query")).alias("as_text")
     )
     shaped = F.when(is_code(F.col("as_code")), F.col("as_code"))
-    tried = asked.join(items.select("code", "ord"), shaped == F.col("code"), "left")
+    tried = cut(asked.join(items.select("code", "ord"), shaped == F.col("code"), "left"), "tried-queries")
     by_code = tried.where("code IS NOT NULL").select("query", "code", "ord")
     rest = tried.where("code IS NULL").select("query", "as_text")
-    found = search(rest, "as_text", with_haystack(items, fields).select("code", "ord", "hay"), "hay")
+    if "hay" not in items.columns:
+        items = cut(with_haystack(items, fields).select("code", "ord", "hay"), "haystacks")
+    found = search(rest, "as_text", items.select("code", "ord", "hay"), "hay")
     return by_code.unionByName(rest.join(found, "as_text").select("query", "code", "ord"))
 
 
@@ -128,7 +135,7 @@ def master_lookup(
     """
     flagged, asks = gated(requests, dataset, "upper")
     candidates = asks.join(code_then_terms(asks, items, fields), "query")
-    dated = candidates.withColumn("as_of_date", strict_date(F.col("as_of")))
+    dated = cut(candidates.withColumn("as_of_date", strict_date(F.col("as_of"))), "candidates")
     priced = asof_one(dated, periods, "code", "as_of_date", ["price_raw"])
     matches, counts = drop_zero(priced, "price_raw", ["query", "as_of"])
     return Lookup(_results(flagged, counts), matches)

@@ -1,7 +1,7 @@
 """Running folds over ordered groups in which one group may hold much of the table.
 
 A plain window sorts a whole group in one task. Here each group is cut into chunks along its own order
-(say, by month or by block of lines). The fold runs inside each chunk, the chunk totals are folded per
+(say, by year or by block of lines). The fold runs inside each chunk, the chunk totals are folded per
 group, and each chunk takes over what the chunks before it carry. Chunk totals are pre-aggregated on the
 map side, and a group's list of chunks is small, so no task ever sees a whole hot group.
 """
@@ -9,6 +9,8 @@ map side, and a group's list of chunks is small, so no task ever sees a whole ho
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +24,9 @@ def block(order: str, size: int = BLOCK) -> Column:
     return F.floor(F.col(order) / size)
 
 
-def month(order: str) -> Column:
+def year(order: str) -> Column:
     """Chunks of a date."""
-    return F.trunc(F.col(order), "month")
+    return F.year(order)
 
 
 def running(
@@ -83,7 +85,9 @@ def running(
 
     rows = base.select(*df.columns, CHUNK, *local)
     carry = base.groupBy(*keys, CHUNK).agg(*total).select(*keys, CHUNK, *carried)
-    return rows.join(carry, [*keys, CHUNK]).select(*[F.col(c) for c in df.columns], *merged)
+    # A first chunk takes over nothing. Most groups have no other, so what is left to join is small.
+    carry = carry.where(reduce(or_, [F.col(f"__c_{name}").isNotNull() for name in folds]))
+    return rows.join(carry, [*keys, CHUNK], "left").select(*[F.col(c) for c in df.columns], *merged)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str) -> DataFrame:

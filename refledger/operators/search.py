@@ -35,6 +35,17 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.filter(whole, lambda g: F.length(g) == size))
 
 
+def _postings(texts: DataFrame) -> DataFrame:
+    """(hay, gram) for each distinct gram of one to three letters."""
+    places = texts.select("hay", F.explode(F.sequence(F.lit(1), F.length("hay"))).alias("at"))
+    sizes = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    grams = places.select("hay", "at", sizes.alias("size")).select(
+        "hay", "at", "size", F.substring("hay", F.col("at"), F.col("size")).alias("gram")
+    )
+    # Only the first place of a gram counts; the last places are too short for the longer ones.
+    return grams.where((F.length("gram") == F.col("size")) & (F.position("gram", "hay") == F.col("at"))).select("hay", "gram")
+
+
 def search(queries: DataFrame, query: str, items: DataFrame, hay: str, *, phrase: bool = False) -> DataFrame:
     """(query, item columns) for each item that holds every term of the query.
 
@@ -54,8 +65,7 @@ def search(queries: DataFrame, query: str, items: DataFrame, hay: str, *, phrase
         .select("query", F.explode(F.array_distinct(F.when(has_trigram, trigrams).otherwise(F.col("terms")))).alias("gram"))
     )
     texts = items.select(F.col(hay).alias("hay")).distinct()
-    every = F.array_distinct(F.concat(*[_grams(F.col("hay"), n) for n in (1, 2, 3)]))
-    posted = texts.select("hay", F.explode(every).alias("gram"))
+    posted = _postings(texts)
     frequency = (
         posted.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     )
@@ -65,7 +75,7 @@ def search(queries: DataFrame, query: str, items: DataFrame, hay: str, *, phrase
         .groupBy("query")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
         .where("rarest.n > 0")
-        .select("query", "rarest.gram")
+        .select("query", "rarest.gram", terms_of(F.col("query")).alias("terms"))
     )
-    hits = posted.join(rarest, "gram").where(holds_all(F.col("hay"), terms_of(F.col("query")))).select("query", "hay")
+    hits = posted.join(rarest, "gram").where(holds_all(F.col("hay"), F.col("terms"))).select("query", "hay")
     return hits.withColumnsRenamed({"query": query, "hay": hay}).join(items, hay)

@@ -23,7 +23,7 @@ def markers():
 
 
 def rules_of(t: Tables):
-    return lines.lines_to_rules(t["rule_lines"], "doc", markers(), TIERS, SUFFIXES, PAGE)
+    return lines.lines_to_rules(cut(t["rule_lines"], "lines"), "doc", markers(), TIERS, SUFFIXES, PAGE)
 
 
 @query(
@@ -197,8 +197,8 @@ def k12_factors(t: Tables):
 )
 def k12_violations(t: Tables):
     """Without the first tier heading, every item above the first other heading is reported."""
-    cut = t["rule_lines"].where(F.col("line") != TIERS[0][0])
-    found = lines.lines_to_rules(cut, "doc", markers(), TIERS, SUFFIXES, PAGE).violations
+    headless = cut(t["rule_lines"].where(F.col("line") != TIERS[0][0]), "lines")
+    found = lines.lines_to_rules(headless, "doc", markers(), TIERS, SUFFIXES, PAGE).violations
     return found.groupBy("doc", "violation").agg(F.count("*").alias("n"))
 
 
