@@ -64,7 +64,9 @@ def search(queries: DataFrame, query: str, items: DataFrame, hay: str, *, phrase
         .withColumn("terms", terms_of(F.col("query")))
         .select("query", F.explode(F.array_distinct(F.when(has_trigram, trigrams).otherwise(F.col("terms")))).alias("gram"))
     )
-    texts = items.select(F.col(hay).alias("hay")).distinct()
+    # Texts are small but fan out into grams and candidates, so their partitions must not be merged.
+    spread = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = items.select(F.col(hay).alias("hay")).repartition(spread, "hay").distinct()
     posted = _postings(texts)
     frequency = (
         posted.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
