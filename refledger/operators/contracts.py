@@ -137,9 +137,10 @@ def expect_children(parent: DataFrame, child: DataFrame, parent_key: str, child_
 
 def expect_enough(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, required: str, dataset: str) -> DataFrame:
     """Parents with fewer children than they require."""
-    counted = child.groupBy(F.col(child_key).alias(parent_key)).agg(F.count("*").alias("n"))
-    few = parent.join(counted, parent_key, "left").where(F.coalesce("n", F.lit(0)) < F.col(required))
-    detail = F.concat_ws(" of ", F.coalesce("n", F.lit(0)).cast("string"), F.col(required).cast("string"))
+    counted = child.groupBy(F.col(child_key).alias(parent_key)).agg(F.count("*").alias("__n"))
+    held = F.coalesce("__n", F.lit(0))
+    few = parent.join(counted, parent_key, "left").where(held < F.col(required))
+    detail = F.concat_ws(" of ", held.cast("string"), F.col(required).cast("string"))
     return violations(few, "enough", dataset, F.col(parent_key), detail)
 
 
