@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from refledger.functions.dates import era_date, month_day, strict_date
 from refledger.functions.mentions import mention_of, mention_pattern
 from refledger.functions.text import WS, collapse
+from refledger.operators.stage import computed
 
 # --- Fixed values: what the detectors look for, negated wordings before plain ones ---------------
 QUERY_UNITS = {
@@ -127,7 +128,7 @@ def detect(
         _spans(F.col(f"__hit{i}"), F.col(f"__gap{i}"), d, F.col(today), F.col(announced))
         for i, d in enumerate(detectors)
     ]
-    return found.select(*requests.columns, F.concat(*spans).alias("hits"))
+    return computed(found.select(*requests.columns, F.concat(*spans).alias("hits")))
 
 
 def drop_invalid(hits: Column) -> Column:
@@ -176,10 +177,9 @@ def mine(
     detectors: Sequence[Detector] = DETECTORS,
 ) -> DataFrame:
     """Requests with `spans`, the residual `search_text`, and the controls the line implies."""
-    spans = detect(requests, text, today, announced, detectors).withColumn(
-        "spans", resolve_spans(drop_invalid(F.col("hits")))
-    )
-    return spans.drop("hits").withColumns(
+    hits = detect(requests, text, today, announced, detectors).withColumn("hits", drop_invalid(F.col("hits")))
+    spans = computed(hits).withColumn("spans", resolve_spans(F.col("hits"))).drop("hits")
+    return computed(spans).withColumns(
         {
             "search_text": residual(F.col(text), F.col("spans")),
             "dose_key": last_of(F.col("spans"), "dose")["value"],

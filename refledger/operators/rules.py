@@ -25,6 +25,7 @@ from refledger.functions.truth import (
     same_fact,
     tier_of_count,
 )
+from refledger.operators.stage import computed
 
 MAX_RULES = 2000  # a rule set is a published document; beyond this it is no parameter
 
@@ -107,15 +108,6 @@ def _check(rules: RuleSet) -> None:
         raise ValueError(f"{len(rules.ids())} rules; a rule set holds at most {MAX_RULES}")
 
 
-def _computed(rows: DataFrame) -> DataFrame:
-    """The same rows, each column computed once.
-
-    A filter on a later column would otherwise be pushed down with all the logic above written out in
-    it, many times over. Filters do not pass a generator, here one that gives one row per row.
-    """
-    return rows.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
-
-
 def _answer(kind: str, id_: str) -> Column:
     return F.col(f"`{kind}:{id_}`")
 
@@ -198,7 +190,7 @@ def with_truths(sheet: DataFrame, rules: RuleSet) -> DataFrame:
             groups[name] = all_in_row([*needed, any_member])
             names.append(name)
         tiers[f"t:{tier}"] = any_in_row([F.col(f"`{n}`") for n in names])
-    return _computed(_computed(sheet.withColumns(base)).withColumns(groups).withColumns(tiers))
+    return computed(computed(sheet.withColumns(base)).withColumns(groups).withColumns(tiers))
 
 
 def _question(kind: str, id_: str, tier_id: str | None, label: str, heading: str | None) -> Column:
@@ -287,7 +279,7 @@ def stratify(sheet: DataFrame, rules: RuleSet, subject: Sequence[str]) -> DataFr
         .when(F.col("__unknown").isNull() & (F.col("__low") == F.col("__high")), "count")
         .otherwise("open")
     )
-    staged = _computed(staged.withColumn("path", path))
+    staged = computed(staged.withColumn("path", path))
     settled = F.col("path").isin("criterion", "count")
     blocked, open_ = F.col("path") == "blocked", F.col("path") == "open"
 
@@ -340,7 +332,7 @@ def stratify(sheet: DataFrame, rules: RuleSet, subject: Sequence[str]) -> DataFr
         "confirmed",
         "undecided",
     )
-    return _computed(assessed)
+    return computed(assessed)
 
 
 def first_settled(verdicts: DataFrame, subject: Sequence[str], ord: str = "ord", truth: str = "truth") -> DataFrame:
