@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refledger.llm import language, near_dup
+from refledger.llm import decontaminate, language, mixing, near_dup, shards
 from refledger.llm.common import first_of_id, table
 from refledger.sources.workspace import cut
 
@@ -25,9 +25,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return first_of_id(docs.join(dropped, "doc_id", "left_anti"), "doc_id").select(*docs.columns)
 
 
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark, with its own or other parameters."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as a mix of 150 % of all words takes them; sources weigh 3, 1, 2, repeating."""
+    return mixing.repeated(docs, mixing.mix(docs, mixing.cyclic((3, 1, 2)), share=1.5, cap=2))
+
+
+def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard and slot, in 24 shards of equal weight."""
+    placed = shards.assign(docs, {s: 1.0 for s in range(24)}, carry=[c for c in docs.columns if c != "doc_id"])
+    return placed.select(*docs.columns, "size", "shard", "slot")
+
+
 STAGES = [
     ("language", identify_language),
     ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixing", mix_sources),
+    ("sharding", deal_to_shards),
 ]
 
 # Compression and MinHash are beyond SQL; the tests hold each stage against a brute-force version.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refledger.llm import language, near_dup
+from refledger.llm import decontaminate, language, mixing, near_dup, shards
 from refledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_templates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op3_language")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -36,3 +41,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_minhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
+N_SHARDS = 24
+
+
+@query("op5_rendezvous")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = {s: 1.0 for s in range(N_SHARDS)}
+    return shards.assign(table(spark, sf_dir, "documents"), even, grown=even | {N_SHARDS: 1.0})
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(mixing.mix(table(spark, sf_dir, "documents"), mixing.cyclic((3, 1, 2)), share=1.5, cap=2))
