@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refledger.llm import decontaminate, language, mixing, near_dup, shards
+from refledger.llm import decontaminate, language, mixing, near_dup, shards, token_count, url_graph
 from refledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+URL_RULES = [
+    url_graph.Rule("block", "net", "/"),
+    url_graph.Rule("allow", "example.net", "/en/"),
+    url_graph.Rule("block", "example.com", "/de/"),
+    url_graph.Rule("allow", "org", "/fr/"),
+]
+
+
+@query("op2_link_trust")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge(table(spark, sf_dir, "pages"), url_graph.rules_of(spark, URL_RULES))
+
+
 @query("op3_language")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -55,3 +68,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mixing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(mixing.mix(table(spark, sf_dir, "documents"), mixing.cyclic((3, 1, 2)), share=1.5, cap=2))
+
+
+@query("op8_tokens")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"))
