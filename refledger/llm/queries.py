@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refledger.llm import decontaminate, language, mixing, near_dup, shards, token_count, url_graph
+from refledger.llm import ann, decontaminate, language, line_dedup, mixing, near_dup, shards, token_count, url_graph
 from refledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(mixing.mix(table(spark, sf_dir, "documents"), mixing.cyclic((3, 1, 2)), share=1.5, cap=2))
 
 
+@query("op7_multi_index")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    usable = rows.where(ann.usable(F.col("embedding")))
+    return ann.search(rows, rows.where("vec_id % 100 = 0"), ann.fit(usable, "vec_id", "embedding"))
+
+
 @query("op8_tokens")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lines")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), edits=2, per=10)
