@@ -7,14 +7,15 @@ fields, corrected for chance collisions, estimates their similarity; candidates
 the threshold are compared on the full sets.
 
 No bucket is expanded into all its pairs. First every member of a bucket is compared with the bucket's smallest
-member only. After that, pairs of a bucket whose members are still in different components are compared, and
-only pairs whose estimate passes leave the join. Large buckets are dealt to tiles of bounded size for this.
+member only. After that, members of a bucket that are still in different components are compared: in small
+buckets by a join; in large ones within tiles of bounded size that hold the members' full sets, so that only
+links leave the task and a link that joins two components spares all further comparisons between them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _SEGMENT = 1 << 20
+_DENSE = 1 << 24
 _POWERS: dict[str, np.ndarray] = {}
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -185,6 +187,76 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(den * common >= num * union).select("a", "b")
 
 
+def _overlaps(hashes: list[np.ndarray]) -> Callable[[int], np.ndarray]:
+    """For sets in one tile: the sizes of a member's intersections with all members."""
+    owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+    _, place, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    first = np.concatenate(([0], np.cumsum(count)))
+    listed = owner[np.argsort(place, kind="stable")]
+    begin = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
+
+    # Only what several members hold counts. If that is not too much, one product of matrices counts it all.
+    several = np.flatnonzero(count > 1)
+    if len(several) * len(hashes) <= _DENSE:
+        column = np.full(len(count), -1)
+        column[several] = np.arange(len(several))
+        at = column[place]
+        held = np.zeros((len(hashes), len(several)), dtype=np.float32)
+        held[owner[at >= 0], at[at >= 0]] = 1
+        common = (held @ held.T).astype(np.int64)
+        return common.__getitem__
+
+    def of(i: int) -> np.ndarray:
+        own = place[begin[i] : begin[i + 1]]
+        sizes = count[own]
+        steps = np.repeat(first[own] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        return np.bincount(listed[steps], minlength=len(hashes))
+
+    return of
+
+
+def _tile_links(num: int, den: int, bits: int, functions: int, floor: float):
+    """Links within a tile that join members of different components."""
+    mask = _U64(sum(1 << i for i in range(0, 64, bits)))
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        tile = tile.sort_values("node").reset_index(drop=True)
+        node, own, n, low = (tile[c].to_numpy() for c in ("node", "own", "n", "place"))
+        _, label = np.unique(tile["label"].to_numpy(), return_inverse=True)
+        same_salt = tile["t"].iloc[0] == tile["u"].iloc[0]
+        packed = np.stack(tile["bits"].to_numpy()).view(_U64)
+        keys = np.stack(tile["bands"].to_numpy())
+        overlap = None
+        links = []
+        for i in range(len(tile) - 1):
+            j = np.arange(i + 1, len(tile))
+            j = j[(label[j] != label[i]) & (same_salt | (own[j] != own[i]))]
+            j = j[den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i])]
+            if not len(j):
+                continue
+            odd = packed[j] ^ packed[i]
+            step = 1
+            while step < bits:
+                odd |= odd >> _U64(step)
+                step *= 2
+            equal = 1 - np.bitwise_count(odd & mask).sum(axis=1) / functions
+            chance = 2.0**-bits
+            j = j[(equal - chance) / (1 - chance) >= floor]
+            # A pair is compared in the first band that it shares.
+            j = j[(keys[j] == keys[i]).argmax(axis=1) == low[0]]
+            if not len(j):
+                continue
+            overlap = overlap or _overlaps(tile["hashes"].tolist())
+            common = overlap(i)[j]
+            for other in j[den * common >= num * (n[j] + n[i] - common)]:
+                if label[other] != label[i]:
+                    links.append((node[i], node[other]))
+                    label[label == label[other]] = label[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -197,7 +269,8 @@ def near_duplicates(
     rows: int = 5,
     bits: int = 2,
     slack: float = 5.0,
-    tile: int = 4096,
+    busy: int = 32,
+    tile: int = 512,
 ) -> DataFrame:
     """One row per document: key, `n_shingles`, `component_id` and `kept`.
 
@@ -243,33 +316,37 @@ def near_duplicates(
     star = star.join(as_("a"), "a").join(as_("b"), "b").where(possible("n_a", "n_b", "bits_a", "bits_b"))
     star = cut(star.select("a", "b").distinct(), "near-star")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = named.join(wanted, "id", "left_semi")
-        return cut(texts.select(F.col("id").alias("node"), shingle_set(F.col("text"), shingle).alias("hashes")), "near-sets")
+    shared = buckets.where("m > 2").select("band", "m")
+    meeting = cut(members.join(shared, "band"), "near-meeting")
+    wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).unionByName(meeting.select(F.col("node").alias("id"))).distinct()
+    # Texts are shuffled once, for all sets that any later step compares.
+    texts = named.hint("merge").join(wanted, "id", "left_semi")
+    sets = cut(texts.select(F.col("id").alias("node"), shingle_set(F.col("text"), shingle).alias("hashes")), "near-sets")
 
-    linked = cut(_links(star, sets_of(star), num, den), "near-links")
+    linked = cut(_links(star, sets, num, den), "near-links")
     labels = components(linked)
 
-    # Then: pairs of a bucket that are not connected yet, in tiles if the bucket is large.
-    labelled = nodes.join(labels, "node", "left").select("node", "n", "bits", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("band"))
-    open_members = cut(labelled.join(buckets.where("m > 2").select("band", "m"), "band"), "near-members")
-    mixed = open_members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    side = F.ceil(F.col("m") / tile).cast("int")
-    dealt = open_members.join(mixed, "band", "left_semi").withColumn("own", F.pmod(F.xxhash64("node"), side).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "node", "n", "bits", "label")
-    x, y = dealt.alias("x"), dealt.alias("y")
+    # Then: members of a bucket that are not connected yet.
+    labelled = meeting.join(labels, "node", "left").select("band", "m", "node", F.coalesce("label", "node").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    open_members = cut(labelled.join(mixed, "band", "left_semi"), "near-open")
+
+    few = open_members.where(F.col("m") <= busy).join(small, "node")
+    x, y = few.alias("x"), few.alias("y")
     met = (
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.u") == F.col("y.u"))
-        & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-        & ((F.col("x.t") == F.col("x.u")) | (F.col("x.own") != F.col("y.own")))
+        (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
         & possible("x.n", "y.n", "x.bits", "y.bits")
     )
     rest = x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = cut(rest, "near-rest")
-    more = _links(rest, sets_of(rest), num, den)
-    labels = components(linked.unionByName(more))
+    links = linked.unionByName(_links(cut(rest, "near-rest"), sets, num, den))
+
+    side = F.ceil(F.col("m") / tile).cast("int")
+    dealt = open_members.where(F.col("m") > busy).withColumn("own", F.pmod(F.xxhash64("node"), side).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), side - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("t"), F.greatest("own", "other").alias("u"), "own", "node", "label")
+    dealt = dealt.join(nodes, "node").join(sets, "node").withColumn("place", F.array_position("bands", F.col("band")) - 1)
+    links = links.unionByName(dealt.groupBy("band", "t", "u").applyInPandas(_tile_links(num, den, bits, functions, floor), "a long, b long"))
+    labels = components(links)
 
     placed = classes.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("found"))
     out = sketched.select("id", "n", "fp").join(placed, "fp", "left")
