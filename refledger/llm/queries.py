@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refledger.llm import ann, decontaminate, language, line_dedup, mixing, near_dup, shards, token_count, url_graph
+from refledger.llm import ann, decontaminate, language, line_dedup, mixing, near_dup, repeats, shards, token_count, url_graph
 from refledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(mixing.mix(table(spark, sf_dir, "documents"), mixing.cyclic((3, 1, 2)), share=1.5, cap=2))
 
 
+@query("op6_repeats")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), least=400)
+
+
 @query("op7_multi_index")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
