@@ -61,16 +61,14 @@ def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def permuted(index: Column, n: Column, seed: Column, rounds: int = 16) -> Column:
-    """A pseudorandom permutation of 0 to n - 1, by swap-or-not: each round swaps an index with its partner or not."""
-
-    def swap(x: Column, r: Column) -> Column:
-        turn = F.pmod(F.xxhash64(seed, r, F.lit("turn")), n)
-        partner = F.pmod(turn - x, n)
-        heads = F.pmod(F.xxhash64(seed, r, F.greatest(x, partner)), F.lit(2)) == 1
-        return F.when(heads, partner).otherwise(x)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), swap)
+def permuted(rows: DataFrame, index: str, n: str, seed: Column, rounds: int = 16) -> DataFrame:
+    """Column `index` by a pseudorandom permutation of 0 to n - 1: each round swaps an index with its partner or not."""
+    for r in range(rounds):
+        turn = F.pmod(F.xxhash64(seed, F.lit(r), F.lit("turn")), F.col(n))
+        rows = rows.withColumn("__partner", F.pmod(turn - F.col(index), F.col(n)))
+        heads = F.pmod(F.xxhash64(seed, F.lit(r), F.greatest(index, "__partner")), F.lit(2)) == 1
+        rows = rows.withColumn(index, F.when(heads, F.col("__partner")).otherwise(F.col(index)))
+    return rows.drop("__partner")
 
 
 @dataclass(frozen=True)
@@ -138,8 +136,8 @@ def slots_to_blocks(slots: DataFrame, p: Plan, cap: int, seed: int = 0) -> DataF
     """Adds each slot's `block`; a slot that would use a block more than `cap` times stays empty and is left out."""
     blocks = F.element_at(F.array(*[F.lit(s.blocks).cast("long") for s in p.shares]), F.col("src") + 1)
     n = slots.withColumn("__n", blocks).where((F.col("__n") > 0) & (F.col("turn") < cap * F.col("__n")))
-    block = permuted(F.pmod("turn", "__n"), F.col("__n"), F.xxhash64(F.lit(seed), F.col("src")))
-    return n.select("shard", "slot", "src", "turn", block.alias("block"))
+    n = permuted(n.withColumn("block", F.pmod("turn", "__n")), "block", "__n", F.xxhash64(F.lit(seed), F.col("src")))
+    return n.select("shard", "slot", "src", "turn", "block")
 
 
 def pieces(docs: DataFrame, p: Plan) -> DataFrame:
