@@ -61,16 +61,6 @@ def _uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
 
-def permuted(rows: DataFrame, index: str, n: str, seed: Column, rounds: int = 16) -> DataFrame:
-    """Column `index` by a pseudorandom permutation of 0 to n - 1: each round swaps an index with its partner or not."""
-    for r in range(rounds):
-        turn = F.pmod(F.xxhash64(seed, F.lit(r), F.lit("turn")), F.col(n))
-        rows = rows.withColumn("__partner", F.pmod(turn - F.col(index), F.col(n)))
-        heads = F.pmod(F.xxhash64(seed, F.lit(r), F.greatest(index, "__partner")), F.lit(2)) == 1
-        rows = rows.withColumn(index, F.when(heads, F.col("__partner")).otherwise(F.col(index)))
-    return rows.drop("__partner")
-
-
 @dataclass(frozen=True)
 class Plan:
     shares: tuple[Share, ...]
@@ -132,12 +122,32 @@ def draw(spark, p: Plan, seed: int = 0) -> DataFrame:
     return sure.unionByName(drawn)
 
 
+def permutation(spark, p: Plan, seed: int = 0) -> DataFrame:
+    """Per source, its blocks in the order of a hash: `src`, `block`, `place` (from 0 without gaps).
+
+    Blocks are ranked within 4096 ranges of the hash, so no source is sorted in one task.
+    """
+    ends = [sum(s.blocks for s in p.shares[: i + 1]) for i in range(len(p.shares))]
+    all_ = spark.range(ends[-1] if ends else 0)
+    if not ends:
+        return all_.selectExpr("CAST(id AS int) AS src", "id AS block", "id AS place")
+    src = _pick(F.col("id").cast("double"), ends, list(range(len(ends))))
+    begin = F.element_at(F.array(*[F.lit(e - s.blocks).cast("long") for e, s in zip(ends, p.shares)]), F.col("src") + 1)
+    blocks = all_.withColumn("src", src.cast("int")).select("src", (F.col("id") - begin).alias("block"))
+    blocks = blocks.withColumn("h", F.xxhash64(F.lit(seed), "src", "block")).withColumn("range", F.shiftrightunsigned("h", 52))
+    counts = blocks.groupBy("src", "range").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("src", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    ranked = blocks.withColumn("i", F.row_number().over(Window.partitionBy("src", "range").orderBy("h", "block")))
+    return ranked.join(before, ["src", "range"]).select("src", "block", (F.col("before") + F.col("i") - 1).alias("place"))
+
+
 def slots_to_blocks(slots: DataFrame, p: Plan, cap: int, seed: int = 0) -> DataFrame:
     """Adds each slot's `block`; a slot that would use a block more than `cap` times stays empty and is left out."""
     blocks = F.element_at(F.array(*[F.lit(s.blocks).cast("long") for s in p.shares]), F.col("src") + 1)
-    n = slots.withColumn("__n", blocks).where((F.col("__n") > 0) & (F.col("turn") < cap * F.col("__n")))
-    n = permuted(n.withColumn("block", F.pmod("turn", "__n")), "block", "__n", F.xxhash64(F.lit(seed), F.col("src")))
-    return n.select("shard", "slot", "src", "turn", "block")
+    used = slots.withColumn("__n", blocks).where((F.col("__n") > 0) & (F.col("turn") < cap * F.col("__n")))
+    placed = used.withColumn("place", F.pmod("turn", "__n")).join(permutation(slots.sparkSession, p, seed), ["src", "place"])
+    return placed.select("shard", "slot", "src", "turn", "block")
 
 
 def pieces(docs: DataFrame, p: Plan) -> DataFrame:
