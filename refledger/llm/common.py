@@ -10,6 +10,9 @@ from refledger.sources.workspace import cut
 # ASCII white space, the word separators of all contracts here.
 SPACES = r"[^\x20\x09-\x0D]+"
 
+# Ids of at most 16 bytes that may travel with every task.
+FEW_IDS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,11 +23,20 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({SPACES})"), F.lit(1))).cast("long"), F.lit(0).cast("long"))
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Semi or anti join of wide rows with distinct ids.
+
+    Up to a million ids are sent to the rows, which then stay where they are; beyond that both sides are
+    shuffled. The ids are counted first, so `ids` should be a written table or cheap.
+    """
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids.hint("merge"), on, how)
+
+
 def first_of_id(docs: DataFrame, key: str) -> DataFrame:
     """One row per id; rows without an id stay. Only ids that really repeat are shuffled with their texts."""
-    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
-    single = docs.join(repeated, key, "left_anti")
-    several = docs.join(repeated, key, "left_semi").dropDuplicates([key])
+    repeated = cut(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated-ids")
+    single = by_ids(docs, repeated, key, "left_anti")
+    several = by_ids(docs, repeated, key, "left_semi").dropDuplicates([key])
     return single.unionByName(several.select(*single.columns))
 
 

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from refledger.llm.common import by_ids
+from refledger.sources.workspace import cut
+
 NUMBER, NAME, UNIT, UNKNOWN, NOTHING = 1, 2, 3, 0, (1 << 24) - 1
 FIRST_WORD = 8
 
@@ -268,5 +271,5 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents without a leaked item, with their own columns only."""
-    leaked = find_leaks(docs, benchmark, key, **options).select(F.col(key).alias("__leaked")).distinct()
-    return docs.join(leaked, docs[key] == F.col("__leaked"), "left_anti").select(*docs.columns)
+    leaked = cut(find_leaks(docs, benchmark, key, **options).select(key).distinct(), "leaked-ids")
+    return by_ids(docs, leaked, key, "left_anti").select(*docs.columns)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refledger.llm.common import components
+from refledger.llm.common import by_ids, components
 from refledger.sources.workspace import cut
 
 _U64 = np.uint64
@@ -319,8 +319,8 @@ def near_duplicates(
     shared = buckets.where("m > 2").select("band", "m")
     meeting = cut(members.join(shared, "band"), "near-meeting")
     wanted = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).unionByName(meeting.select(F.col("node").alias("id"))).distinct()
-    # Texts are shuffled once, for all sets that any later step compares.
-    texts = named.hint("merge").join(wanted, "id", "left_semi")
+    # Texts are read again once, for all sets that any later step compares.
+    texts = by_ids(named, cut(wanted, "near-wanted"), "id", "left_semi")
     sets = cut(texts.select(F.col("id").alias("node"), shingle_set(F.col("text"), shingle).alias("hashes")), "near-sets")
 
     linked = cut(_links(star, sets, num, den), "near-links")

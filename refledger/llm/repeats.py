@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refledger.llm.common import by_ids
 from refledger.llm.near_dup import _mixed, _powers
 from refledger.sources.workspace import cut
 
 _U64 = np.uint64
 _GRAM = 16
 _BLOCK = 1 << 20
-_SMALL = 1_000_000  # ids that may travel with every task; beyond it, tables are shuffled
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -216,12 +216,6 @@ def _cut_contexts(least: int):
     return run
 
 
-def _of_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents by id: ids travel to the documents if their count allows it, else both are shuffled."""
-    small = ids.count() <= _SMALL
-    return docs.join(F.broadcast(ids) if small else ids.hint("merge"), ["doc", "row"], how)
-
-
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, least: int = 400, window: int = 300, nested: bool = False, most: int = 20_000) -> DataFrame:
     """Occurrences of maximal repeats: `doc`, `row`, and `spans` (s, e, f, g) of bytes per run of the document.
 
@@ -241,7 +235,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, least:
     classes = met.where("mixed").groupBy("f", "c").agg(F.count("*").alias("n"), first)
     classes = cut(classes.select("f", "c", "n", "r.*"), "repeat-classes")
     wanted = classes.groupBy("doc", "row").agg(F.collect_list(F.struct("f", "c", "n", "s", "e", "a")).alias("wanted"))
-    texts = _of_ids(named, wanted.select("doc", "row"), "left_semi").join(wanted, ["doc", "row"])
+    texts = by_ids(named, wanted.select("doc", "row"), ["doc", "row"], "left_semi").join(wanted, ["doc", "row"])
     contexts = texts.select("text", "wanted").mapInArrow(_cut_contexts(least), "f long, c long, n long, at long, context binary")
     crowded = cut(classes.groupBy("f").count().where(F.col("count") > most).select("f"), "repeat-crowded")
     calm = contexts.join(crowded, "f", "left_anti")
@@ -308,7 +302,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     ids = spans.select("doc", "row")
     size = F.octet_length("text").cast("long").alias("n_bytes")
     zero = F.lit(0).cast("long")
-    clean = _of_ids(named, ids, "left_anti").select("id", size, zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    texts = _of_ids(named, ids, "left_semi").join(spans, ["doc", "row"])
+    clean = by_ids(named, ids, ["doc", "row"], "left_anti").select("id", size, zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    texts = by_ids(named, ids, ["doc", "row"], "left_semi").join(spans, ["doc", "row"])
     rest = texts.select("id", size, _remove()(F.col("text"), F.col("spans")).alias("x")).select("id", "n_bytes", "x.*")
     return clean.unionByName(rest).withColumnRenamed("id", key)
