@@ -98,7 +98,7 @@ def fit(vectors: DataFrame, key: str, vector: str, *, sample_rows: int = 8192, *
         return None
     d, n = sizes[0]
     share = min(1.0, sample_rows / n)
-    own = vectors.where((F.size(vector) == d) & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share * (1 << 30)))
+    own = vectors.where(F.col(key).isNotNull() & (F.size(vector) == d) & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share * (1 << 30)))
     rows = own.select(key, F.col(vector).cast("array<double>").alias("v")).limit(2 * sample_rows).collect()
     if not rows:
         return None
@@ -191,7 +191,8 @@ def search(
 
     Rows of a query's own id are no candidates for it. Vectors that are null, zero, of another dimension than
     the model's, or hold null or non-finite components take no part, nor do rows without an id; equal
-    vectors and repeated rows are candidates each. Empty tables give no rows.
+    vectors and repeated rows are candidates each. Query rows that share an id are one query, with the smallest
+    of their vectors. Empty tables give no rows.
 
     The query set meets all rows block by block: a task holds one block of either. A query that finds fewer than k
     neighbours within the radius is asked again with a wider one, at last with one that takes in every code.
@@ -205,7 +206,8 @@ def search(
         named = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
         return named.where(F.col("id").isNotNull() & usable(F.col("v")) & (F.size("v") == model.dimension))
 
-    index, asked = cut(valid(vectors), "ann-index"), cut(valid(queries), "ann-queries")
+    index = cut(valid(vectors), "ann-index")
+    asked = cut(valid(queries).groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
     n = index.count()
     parts = max(least_blocks, -(-n // index_rows))
     spread = lambda of, by: F.pmod(F.xxhash64(F.lit("block"), of), F.lit(by)).cast("int")

@@ -53,7 +53,7 @@ def targets(sizes: Mapping[str | None, int], weight: Callable[[int, str | None],
             given[s] = float(cap * sizes[s])
             rest -= given[s]
         free -= set(full)
-    return given
+    return {s: given[s] for s in order}
 
 
 def _uniform(*parts: Column) -> Column:

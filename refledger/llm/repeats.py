@@ -97,7 +97,7 @@ def prefix_intervals(lcp: list[int]) -> list[tuple[int, int, int]]:
 
     `lcp[i]` is the common prefix of entries i and i + 1. The stack holds the open intervals, longest on top.
     """
-    out, stack = [], [(0, 0)]
+    out, stack = [], []
     for i, length in enumerate([*lcp, -1]):
         first = i
         while stack and stack[-1][0] > length:
@@ -229,6 +229,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, least:
     named = _named(docs, key, text)
     runs = cut(named.select("doc", "row", "text").mapInArrow(_find_runs(least, window), "doc long, row long, s long, e long, a long, f long, c long"), "repeat-runs")
     shared = runs.groupBy("f").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
+    # Written, so that a join of two plain tables follows, in which a crowded anchor can be split.
+    shared = cut(shared, "repeat-anchors")
     met = cut(runs.join(shared.select("f", (F.col("lo") < F.col("hi")).alias("mixed")), "f"), "repeat-shared")
 
     first = F.min(F.struct("doc", "row", "s", "e", "a")).alias("r")
