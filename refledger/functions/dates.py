@@ -18,7 +18,7 @@ OPEN_END = "9999-12-31"
 
 def strict_date(col: Column) -> Column:
     """A DATE for a well-formed `yyyy-MM-dd` that exists in the calendar, else NULL."""
-    return F.when(col.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(col, "yyyy-MM-dd"))
+    return F.when(col.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_date(col, "yyyy-MM-dd"))
 
 
 def _from_parts(year: Column, month: Column, day: Column) -> Column:
@@ -58,12 +58,12 @@ def date_words(col: Column, words: Sequence[str], value: Column) -> Column:
 
 def is_stale(as_of: Column, snapshot: str) -> Column:
     """Does a well-formed as-of date lie after the snapshot the data was taken from?"""
-    return F.coalesce(as_of.rlike(r"^\d{4}-\d{2}-\d{2}$") & (as_of > snapshot), F.lit(False))
+    return F.coalesce(as_of.rlike(r"^\d{4}-\d{2}-\d{2}\z") & (as_of > snapshot), F.lit(False))
 
 
 def is_superseded(as_of: Column, effective: str, changed: Column) -> Column:
     """Is a repriced item asked for on or after the day its new price takes effect?"""
-    well_formed = as_of.rlike(r"^\d{4}-\d{2}-\d{2}$") & (as_of >= effective)
+    well_formed = as_of.rlike(r"^\d{4}-\d{2}-\d{2}\z") & (as_of >= effective)
     return F.coalesce(well_formed & changed, F.lit(False))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
@@ -16,7 +15,7 @@ WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{2
 # Units whose gap to the number before them is closed, and the surface format of a code.
 ASCII_GAP_UNITS = ("mg", "mcg", "gm", "ml", "iu", "g")
 CJK_GAP_UNITS = ("毫克", "公絲")
-CODE_PATTERN = "^[A-Z0-9]{10}$"
+CODE_PATTERN = r"^[A-Z0-9]{10}\z"
 # Punctuation that carries its own visual space.
 FULL_WIDTH_PUNCTUATION = "：，、。；（）〔〕「」『』？！·—…"
 # Numeral words one to ten.
@@ -29,7 +28,7 @@ NON_ASCII = r"[^\x00-\x7F]"
 
 @F.pandas_udf(StringType())
 def _nfkc_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+    return texts.str.normalize("NFKC")
 
 
 def nfkc(col: Column) -> Column:
@@ -124,25 +123,61 @@ def split_steps(col: Column, markers: str = f"[{''.join(NUMERALS)}]、") -> Colu
     return F.filter(steps, lambda s: s != "")
 
 
+_LATIN, _TIGHT = "[A-Za-z0-9]", f"[-{FULL_WIDTH_PUNCTUATION}]"
+
+
+def _spaced(before: Column, line: Column) -> Column:
+    """Does the seam between two texts take a space? An empty line has no side of its own."""
+    return (before.rlike(rf"{_LATIN}\z") | line.rlike(f"^{_LATIN}")) & ~(before.rlike(rf"{_TIGHT}\z") | line.rlike(f"^{_TIGHT}"))
+
+
+def seam_exceptions(lines: Column, exceptions: Sequence[tuple[str, str]]) -> Column:
+    """Per line, the first exception (tail of the text so far, head of the line) that its seam matches; else -1.
+
+    The text so far is carried only as far back as the longest tail reaches, so an exception may reach over
+    several short lines.
+    """
+    reach = max([1, *(len(after) for after, _ in exceptions)])
+
+    def step(done: Column, line: Column) -> Column:
+        tail, which = done["tail"], F.lit(-1)
+        for i, (after, head) in reversed(list(enumerate(exceptions))):
+            which = F.when(tail.endswith(after) & line.startswith(head), i).otherwise(which)
+        which = F.when(tail == "", -1).otherwise(which)
+        space = F.when((tail != "") & (which == -1) & _spaced(tail, line), " ").otherwise("")
+        return F.struct(F.concat(done["found"], F.array(which)).alias("found"), F.right(F.concat(tail, space, line), F.lit(reach)).alias("tail"))
+
+    start = F.struct(F.array().cast("array<int>").alias("found"), F.lit("").alias("tail"))
+    return F.aggregate(lines, start, step)["found"]
+
+
 def rejoin(lines: Column, exceptions: Sequence[tuple[str, str]] = ()) -> Column:
     """Join hard-wrapped lines into one text.
 
     A seam takes one space if either side is an ASCII letter or digit, unless a side is a hyphen or
-    full-width punctuation, or the seam is listed as (tail of the line before, head of the line
-    after) in `exceptions`. Every seam is judged on its own, so the work is linear in the text.
+    full-width punctuation, or the seam is listed as (tail of the text so far, head of the line) in
+    `exceptions`. Blank lines at the start vanish; of others the first leaves a space behind a letter or digit.
+    Without exceptions every seam is judged on its own, so the work is linear in the text.
     """
-    latin, tight = "[A-Za-z0-9]", f"[-{FULL_WIDTH_PUNCTUATION}]"
-
-    def seam(line: Column, i: Column) -> Column:
-        before = F.get(lines, i - 1)
-        spaced = (before.rlike(f"{latin}$") | line.rlike(f"^{latin}")) & ~(
-            before.rlike(f"{tight}$") | line.rlike(f"^{tight}")
-        )
-        for after, head in exceptions:
-            spaced = spaced & ~(before.endswith(after) & line.startswith(head))
-        return F.concat(F.when((i > 0) & spaced, F.lit(" ")).otherwise(F.lit("")), line)
-
-    return F.array_join(F.transform(lines, seam), "")
+    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i) != "")
+    places = F.when(F.size(lines) > 0, places).otherwise(F.array().cast("array<int>"))
+    excepted = seam_exceptions(lines, exceptions) if exceptions else None
+
+    def piece(i: Column, n: Column) -> Column:
+        line, above = F.get(lines, i), F.get(places, n - 1)
+        before = F.get(lines, above)
+        spaced = _spaced(before, line)
+        if excepted is not None:
+            spaced = spaced & (F.get(excepted, i) == -1)
+        # A blank line between takes the space of a seam, and the next line sees that space.
+        parted = (i - above > 1) & before.rlike(rf"{_LATIN}\z")
+        apart = F.concat(F.lit(" "), F.when(line.rlike(f"^{_LATIN}"), " ").otherwise(""))
+        space = F.when(n == 0, "").when(parted, apart).when(spaced, " ").otherwise("")
+        return F.concat(space, line)
+
+    last = F.try_element_at(places, F.lit(-1))
+    open_end = (last < F.size(lines) - 1) & F.get(lines, last).rlike(rf"{_LATIN}\z")
+    return F.concat(F.array_join(F.transform(places, piece), ""), F.when(open_end, " ").otherwise(""))
 
 
 def strip_suffix(col: Column, suffixes: Sequence[str]) -> Column:
@@ -178,8 +213,8 @@ def required_count(col: Column, before: str = "符合以下至少", after: str =
 
 
 def threshold(col: Column, pattern: str) -> Column:
-    """The number a threshold text states; NULL if it states none."""
-    return F.try_to_number(F.regexp_extract(col, pattern, 1), F.lit("9" * 18)).cast("bigint")
+    """The number a threshold text states, as a whole decimal; NULL if it states none."""
+    return F.regexp_extract(col, pattern, 1).try_cast("decimal(38,0)")
 
 
 def stated_numbers(col: Column, pattern: str) -> Column:

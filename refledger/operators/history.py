@@ -50,7 +50,8 @@ def asof_one(
     A sweep, not a join on the key: each period marks its start (+1) and the day after its end (-1).
     Marks are first added up per key and day, so a key has at most one mark and one ask per calendar
     day however many rows it holds, and no pairs of asks and periods are formed. Where the running
-    count is one, the covering period is the started one that ends last.
+    count is one, the covering period is the started one that ends last. A period that ends before it
+    starts, or lacks a date, covers no day.
     """
     body = F.struct(F.col(END), F.col(START), *payload)
     nobody = F.lit(None).cast(periods.select(body.alias("b")).schema["b"].dataType)
@@ -60,7 +61,8 @@ def asof_one(
     )
     closed = F.filter(events, lambda e: (e.step == 1) | (F.col(END) < F.lit(OPEN_END).cast("date")))
     marks = (
-        periods.select(on, F.inline(closed))
+        periods.where(F.col(START) <= F.col(END))
+        .select(on, F.inline(closed))
         .groupBy(on, "day")
         .agg(F.sum("step").alias("step"), F.max("period").alias("period"))
         .withColumn("asked", F.lit(False))

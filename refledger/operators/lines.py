@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refledger.functions.text import NUMERALS, WS, insert_at, rejoin, required_count, split_ordinal, strip, strip_suffix
+from refledger.functions.text import NUMERALS, WS, insert_at, rejoin, required_count, seam_exceptions, split_ordinal, strip, strip_suffix
 from refledger.operators.prefix import block, numbered, running
 from refledger.sources.workspace import cut
 
@@ -43,24 +43,29 @@ def slice_between(
     """Lines after each marker and before the next; the last marker only closes.
 
     Each marker is sought after the one before it. Returns the lines with their `section`, and the
-    (document, marker) pairs that were not found. A document without all markers has no sections.
+    markers that a document lacks. Only lines that are markers meet in one row per document.
     """
     names = list(markers)
-    found = lines.groupBy(doc).agg(F.min(F.when(markers[names[0]], F.col(ord))).alias(names[0]))
-    for i, name in enumerate(names[1:], 1):
-        hits = lines.where(markers[name]).select(doc, F.col(ord).alias("__ord"))
-        later = F.when(F.col("__ord") > F.col(names[i - 1]), F.col("__ord"))
-        known = [F.max(n).alias(n) for n in names[:i]]
-        found = found.join(hits, doc, "left").groupBy(doc).agg(*known, F.min(later).alias(name))
-    missing = found.select(
-        doc,
-        F.explode(F.filter(F.array(*[F.when(F.col(n).isNull(), n) for n in names]), lambda m: m.isNotNull())).alias("marker"),
+    which = F.filter(F.array(*[F.when(hit, F.lit(name)) for name, hit in markers.items()]), lambda m: m.isNotNull())
+    hits = lines.select(doc, F.col(ord).alias("__at"), F.explode_outer(which).alias("__marker"))
+    per_doc = hits.groupBy(doc).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("__marker") == name, F.col("__at")))).alias(f"__hits_{i}") for i, name in enumerate(names)]
     )
-    section = F.when(F.lit(False), "")
-    for name, nxt in zip(names, names[1:]):
-        section = section.when((F.col(ord) > F.col(name)) & (F.col(ord) < F.col(nxt)), name)
-    cut = lines.join(found.na.drop(), doc).withColumn("section", section).where("section IS NOT NULL")
-    return cut.drop(*names), missing
+    found = per_doc.withColumn("__at_0", F.try_element_at("__hits_0", F.lit(1)))
+    for i in range(1, len(names)):
+        above = F.col(f"__at_{i - 1}")
+        later = F.filter(f"__hits_{i}", lambda at: at > above)
+        found = found.withColumn(f"__at_{i}", F.try_element_at(later, F.lit(1)))
+    places = [f"__at_{i}" for i in range(len(names))]
+    found = found.select(doc, *places)
+    lacking = F.array(*[F.when(F.col(at).isNull(), F.lit(name)) for at, name in zip(places, names)])
+    missing = found.select(doc, F.explode(F.filter(lacking, lambda m: m.isNotNull())).alias("marker"))
+    section = F.lit(None).cast("string")
+    for at, nxt, name in zip(places, places[1:], names):
+        section = F.when((F.col(ord) > F.col(at)) & (F.col(ord) < F.col(nxt)), name).otherwise(section)
+    whole = found.na.drop(subset=places)
+    cut_out = lines.join(whole, doc).withColumn("section", section).where("section IS NOT NULL")
+    return cut_out.drop(*places), missing
 
 
 def reinsert_orphans(
@@ -117,11 +122,8 @@ def items_of(
 
 def unfired(items: DataFrame, exceptions: Sequence[tuple[str, str]]) -> DataFrame:
     """Named seams (after, before) that occur in no item: each must occur at least once."""
-    seams = F.zip_with("lines", F.slice("lines", F.lit(2), F.size("lines")), lambda a, b: F.struct(a.alias("l"), b.alias("r")))
-    fired = [
-        F.count_if(F.exists(seams, lambda s: F.endswith(s["l"], F.lit(a)) & F.startswith(s["r"], F.lit(b)))).alias(f"n{i}")
-        for i, (a, b) in enumerate(exceptions)
-    ]
+    items = items.select(seam_exceptions(F.col("lines"), exceptions).alias("__seams"))
+    fired = [F.count_if(F.array_contains("__seams", i)).alias(f"n{i}") for i in range(len(exceptions))]
     pairs = [
         F.struct(F.lit(a).alias("after"), F.lit(b).alias("before"), F.col(f"n{i}").alias("n"))
         for i, (a, b) in enumerate(exceptions)
@@ -141,6 +143,9 @@ def running_ids(df: DataFrame, keys: Sequence[str], group: str, name: str, ord:
 
 
 class Rules(NamedTuple):
+    """`tiers`: doc, ord, tier_id, label, and the count rule that its heading states inline, if any."""
+
+    tiers: DataFrame
     criteria: DataFrame
     factors: DataFrame
     violations: DataFrame
@@ -161,6 +166,8 @@ def lines_to_rules(
     a tier label sets the tier; one that ends with a colon opens a group and states its prerequisite; an
     indented item belongs to the group; any other is a criterion of its own and closes the group. In the
     second section a numbered item is a factor; one that asks for at least N of its parts is a parent.
+    What follows a tier's label on its line is the tier's count rule. An item without an ordinal is a violation
+    and no row.
     """
     sliced, missing = slice_between(lines, doc, markers, ord)
     first, second, _ = markers
@@ -171,9 +178,10 @@ def lines_to_rules(
     start = F.col("line").rlike(ITEM_START)
     items = cut(items_of(fold_lines(text_lines, keys, start, ord), keys, ord=ord), "rule-items")
 
-    tier = F.when(F.lit(False), "")
-    for label, tier_id in tier_labels:
-        tier = tier.when(F.col("text").startswith(label), tier_id)
+    tier, label = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for name, tier_id in tier_labels:
+        tier = tier.when(F.col("text").startswith(name), tier_id)
+        label = label.when(F.col("text").startswith(name), name)
     parsed = split_ordinal(F.col("text"))
     defs = items.where(F.col("section") == first).withColumns(
         {"tier_here": tier, "ordinal": parsed["ordinal"], "body": parsed["body"]}
@@ -191,10 +199,16 @@ def lines_to_rules(
     ).when(closes, F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("prerequisite")))
     folds = {"tier_id": ("last", F.col("tier_here")), "grp": ("last", group)}
     headed = cut(running(defs, [doc], ["ord"], block("ord"), folds), "rule-headings")
+    tiers = headed.where("tier_here IS NOT NULL").select(doc, "ord", "tier_id", label.alias("label"), "text").select(
+        doc, "ord", "tier_id", "label", F.nullif(F.substr("text", F.length("label") + 1), F.lit("")).alias("count_rule")
+    )
     member = F.col("tier_here").isNull() & ~opens
-    rows = headed.where(member & F.col("tier_id").isNotNull() & (alone | F.col("grp.at").isNotNull()))
+    inside = member & F.col("tier_id").isNotNull() & (alone | F.col("grp.at").isNotNull())
+    rows = headed.where(inside & F.col("body").isNotNull())
+    # Flat items are numbered in brackets, nested ones with digits; another ordinal opens an item, but is not kept.
+    bracketed = F.col("ordinal").rlike("^[(（]")
     rows = rows.select(
-        doc, "ord", "tier_id", "ordinal", F.col("body").alias("text"), alone.alias("flat"),
+        doc, "ord", "tier_id", F.when(bracketed == alone, F.col("ordinal")).alias("ordinal"), F.col("body").alias("text"), alone.alias("flat"),
         F.when(~alone, F.col("grp.at")).alias("group_at"),
         F.when(~alone, F.col("grp.heading")).alias("group_heading"),
         F.when(~alone, F.col("grp.prerequisite")).alias("prerequisite"),
@@ -221,23 +235,25 @@ def lines_to_rules(
     words = F.array(*[F.lit(n) for n in NUMERALS])
     is_top = F.col("text").rlike(top)
     body = F.when(is_top, F.regexp_extract("text", top, 2)).otherwise(parsed["body"])
-    number = F.when(is_top, F.array_position(words, F.regexp_extract("text", top, 1)))
+    word = F.regexp_extract("text", top, 1)
+    number = F.when(is_top, F.array_position(words, word))
+    ordinal = F.when(is_top, F.concat(word, F.lit("、"))).when(parsed["ordinal"].rlike("^[(（]"), parsed["ordinal"])
     parts = items.where(F.col("section") == second).withColumns(
-        {"is_top": is_top, "body": body, "factor_id": F.concat(F.lit("factor-"), number.cast("string"))}
+        {"is_top": is_top, "body": body, "ordinal": ordinal, "factor_id": F.concat(F.lit("factor-"), number.cast("string"))}
     ).withColumn("required", F.when(F.col("is_top"), required_count(F.col("body"))))
     parent = F.when(
         F.col("is_top"),
         F.struct(F.when(F.col("required").isNotNull(), F.col("factor_id")).alias("id")),
     )
     under = running(parts, [doc], ["ord"], block("ord"), {"parent": ("last", parent)})
-    kept = under.where(F.col("is_top") | F.col("parent.id").isNotNull()).withColumn(
+    kept = under.where((F.col("is_top") | F.col("parent.id").isNotNull()) & F.col("body").isNotNull()).withColumn(
         "parent_id", F.when(~F.col("is_top"), F.col("parent.id"))
     )
     placed = numbered(
         kept.withColumn("__p", F.coalesce("parent_id", F.lit(""))), [doc, "__p"], ["ord"], block("ord"), "n"
     )
     factors = placed.select(
-        doc, "ord", "parent_id", "required", F.col("body").alias("text"),
+        doc, "ord", "parent_id", "ordinal", "required", F.col("body").alias("text"),
         F.coalesce(F.concat(F.col("parent_id"), F.lit("-"), F.col("n").cast("string")), F.col("factor_id")).alias("factor_id"),
     )
 
@@ -246,7 +262,9 @@ def lines_to_rules(
 
     no_tier = headed.where("tier_id IS NULL")
     no_group = headed.where(member & ~alone & F.col("tier_id").isNotNull() & F.col("grp.at").isNull())
-    no_suffix = headed.where(opens & strip_suffix(F.col("body"), group_suffixes).isNull())
+    no_suffix = headed.where(opens & F.col("body").isNotNull() & strip_suffix(F.col("body"), group_suffixes).isNull())
+    bare = headed.where((inside | opens) & F.col("tier_id").isNotNull() & F.col("body").isNull())
+    bare_part = under.where(~F.col("is_top") & F.col("parent.id").isNotNull() & F.col("body").isNull())
     orphaned = under.where(~F.col("is_top") & F.col("parent.id").isNull())
     found = (
         broken(missing, F.lit(None), F.concat(F.lit("missing "), F.col("marker")))
@@ -255,5 +273,7 @@ def lines_to_rules(
         .unionByName(broken(no_group, F.col("ord"), F.lit("nested item outside a group")))
         .unionByName(broken(no_suffix, F.col("ord"), F.lit("unknown group wording")))
         .unionByName(broken(orphaned, F.col("ord"), F.lit("part outside a factor")))
+        .unionByName(broken(bare, F.col("ord"), F.lit("item without ordinal")))
+        .unionByName(broken(bare_part, F.col("ord"), F.lit("item without ordinal")))
     )
-    return Rules(criteria, factors, found)
+    return Rules(tiers, criteria, factors, found)

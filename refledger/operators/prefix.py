@@ -15,8 +15,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = "__chunk"
-BLOCK = 1 << 16
+CHUNK, GROUP = "__chunk", "__group"
+BLOCK, CHUNKS = 1 << 16, 1 << 12
 
 
 def block(order: str, size: int = BLOCK) -> Column:
@@ -38,26 +38,28 @@ def running(
     *,
     inclusive: bool = True,
     reverse: bool = False,
+    nested: bool = False,
 ) -> DataFrame:
     """Add one column per fold: `sum`, `max`, or `last` (the last value that is not NULL).
 
-    `order` must be total within a key and `chunk` must rise with it; keys are not NULL. With
+    `order` must be total within a key and `chunk` must rise with it; a NULL key is a group like any other. With
     `inclusive=False` a row's own value does not count, so `last` of a struct is a lag. With
     `reverse=True` the fold runs from the far end, so the same is a lead.
     """
     keys = list(keys)
     way = F.desc if reverse else F.asc
     values = {name: f"__v_{name}" for name in folds}
-    base = df.withColumn(CHUNK, chunk)
+    # One struct of all keys: unlike its fields it is never NULL, so rows with NULL keys meet in joins as well.
+    base = df.withColumn(CHUNK, chunk).withColumn(GROUP, F.struct(*keys) if keys else F.lit(True))
     for name, (_, value) in folds.items():
         base = base.withColumn(values[name], value)
 
     local_window = (
-        Window.partitionBy(*keys, CHUNK)
+        Window.partitionBy(GROUP, CHUNK)
         .orderBy(*[way(c) for c in order])
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    before = Window.partitionBy(*keys).orderBy(way(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(GROUP).orderBy(way(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct(*order)
 
     local, total, carried, merged = [], [], [], []
@@ -83,11 +85,20 @@ def running(
         else:
             raise ValueError(f"unknown fold {kind}")
 
-    rows = base.select(*df.columns, CHUNK, *local)
-    carry = base.groupBy(*keys, CHUNK).agg(*total).select(*keys, CHUNK, *carried)
+    rows = base.select(*df.columns, GROUP, CHUNK, *local)
+    totals = base.groupBy(GROUP, CHUNK).agg(*total)
+    if keys or nested:
+        carry = totals.select(GROUP, CHUNK, *carried)
+    else:
+        # A table without keys has one total for each chunk of all its rows: these are folded in chunks again.
+        again = {f"__c_{name}": (kind, F.col(f"__c_{name}")) for name, (kind, _) in folds.items()}
+        totals = totals.withColumnRenamed(CHUNK, "__at").withColumnsRenamed({f"__c_{name}": f"__t_{name}" for name in folds})
+        again = {name: (kind, F.col(name.replace("__c_", "__t_", 1))) for name, (kind, _) in again.items()}
+        carry = running(totals.drop(GROUP), [], ["__at"], F.floor(F.col("__at") / CHUNKS), again, inclusive=False, reverse=reverse, nested=True)
+        carry = carry.select(F.lit(True).alias(GROUP), F.col("__at").alias(CHUNK), *again)
     # A first chunk takes over nothing. Most groups have no other, so what is left to join is small.
     carry = carry.where(reduce(or_, [F.col(f"__c_{name}").isNotNull() for name in folds]))
-    return rows.join(carry, [*keys, CHUNK], "left").select(*[F.col(c) for c in df.columns], *merged)
+    return rows.join(carry, [GROUP, CHUNK], "left").select(*[F.col(c) for c in df.columns], *merged)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Ordered rules with three-valued answers, evaluated over a population.
 
-A rule set is a parameter of the job, like a schema, with a checked upper size. Answers are long rows;
+A rule set is a parameter of the job, like a schema. Answers are long rows;
 one aggregate brings each subject's answers into one row (an absent answer is NULL, hence unknown, never
 "no"), and all logic from there on is expressions within that row. So a population of any size costs
 one shuffle, pre-aggregated on the map side.
@@ -27,8 +27,6 @@ from refledger.functions.truth import (
 )
 from refledger.operators.stage import computed
 
-MAX_RULES = 2000  # a rule set is a published document; beyond this it is no parameter
-
 
 class Tier(NamedTuple):
     tier_id: str
@@ -103,11 +101,6 @@ class RuleSet(NamedTuple):
         return out + [("factor", f.factor_id) for f in self.factors]
 
 
-def _check(rules: RuleSet) -> None:
-    if len(rules.ids()) > MAX_RULES:
-        raise ValueError(f"{len(rules.ids())} rules; a rule set holds at most {MAX_RULES}")
-
-
 def _answer(kind: str, id_: str) -> Column:
     return F.col(f"`{kind}:{id_}`")
 
@@ -121,7 +114,6 @@ def latest_answers(log: DataFrame, subject: Sequence[str], answer: str = "answer
 
 def answer_sheet(subjects: DataFrame, answers: DataFrame, rules: RuleSet, subject: Sequence[str]) -> DataFrame:
     """One row per subject with a nullable column per (kind, id). Answers to unknown ids are not read."""
-    _check(rules)
     sheet = answers.groupBy(*subject).agg(
         *[
             F.bool_or(F.when((F.col("kind") == kind) & (F.col("id") == id_), F.col("answer"))).alias(f"{kind}:{id_}")

@@ -157,9 +157,10 @@ BINDINGS: dict[str, str] = {
                conv_id * 100000 + turn AS ord
         FROM {conversations}""",
     # Request log: a name, an amount, a date in one of several spellings, a filter word. The test table is
-    # one file, hence one split; mining costs more than a shuffle of its lines, so they are spread first.
+    # one file, hence one split; mining costs more than a shuffle of its lines, so they are spread first, over as
+    # many partitions as the session's settings and the size of the rows give.
     "request_log": """
-        SELECT /*+ REPARTITION(16) */ o_orderkey AS request_id, p_name, p_brand, p_size, o_orderstatus AS st, o_orderpriority AS pr,
+        SELECT /*+ REPARTITION */ o_orderkey AS request_id, p_name, p_brand, p_size, o_orderstatus AS st, o_orderpriority AS pr,
                CAST(o_orderdate AS DATE) AS odate,
                CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN p_name || ' ' || p_brand
                     ELSE p_name || ' ' || p_brand || ' ' || CAST(p_size AS STRING) || '.50 MG '

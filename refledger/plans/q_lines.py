@@ -23,7 +23,7 @@ def markers():
 
 
 def rules_of(t: Tables):
-    return lines.lines_to_rules(cut(t["rule_lines"], "lines"), "doc", markers(), TIERS, SUFFIXES, PAGE)
+    return lines.lines_to_rules(t["rule_lines"], "doc", markers(), TIERS, SUFFIXES, PAGE)
 
 
 @query(
@@ -163,19 +163,24 @@ CRITERIA_SQL = """
                 CASE WHEN sub = 0 THEN tier_id || '-' || CAST(n_tier AS STRING) ELSE tier_id || '-' || CAST(g AS STRING) || '-' || CAST(sub AS STRING) END AS criterion_id,
                 CASE WHEN sub = 0 THEN '' ELSE name END AS prerequisite, CASE sub WHEN 0 THEN '(二)' WHEN 1 THEN '1.' ELSE '2.' END AS ordinal,
                 CASE sub WHEN 0 THEN 'flat ' || name WHEN 2 THEN '第' || CAST(size AS STRING) || '項'
-                     ELSE 'view of ' || CASE WHEN st = 'F' THEN left(name, 3) || '²' || substr(name, 4) ELSE name END || ' m' END AS text FROM n""",
+                     ELSE 'view of ' || CASE WHEN st = 'F' THEN left(name, 3) || '²' || substr(name, 4) ELSE name END || ' m' END AS text,
+                CASE WHEN sub = 0 THEN '' ELSE '(一)' || name || '，包含：' END AS group_heading,
+                CAST(ln * 10 + CASE sub WHEN 1 THEN 1 WHEN 2 THEN 4 ELSE 0 END AS BIGINT) AS ord FROM n""",
 )
 def k12(t: Tables):
     found = rules_of(t).criteria
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return found.select("doc", "tier_id", blank("group_id"), "criterion_id", blank("prerequisite"), "ordinal", "text")
+    return found.select(
+        "doc", "tier_id", blank("group_id"), "criterion_id", blank("prerequisite"), "ordinal", "text", blank("group_heading"),
+        F.col("ord").cast("bigint").alias("ord"),
+    )
 
 
 FACTORS_SQL = """
-    SELECT doc, 'factor-' || CAST(ln AS STRING) AS factor_id, '' AS parent_id, CASE WHEN st = 'O' THEN 2 ELSE 0 END AS required,
+    SELECT doc, 'factor-' || CAST(ln AS STRING) AS factor_id, substr('一二三四五六七', ln, 1) || '、' AS ordinal, '' AS parent_id, CASE WHEN st = 'O' THEN 2 ELSE 0 END AS required,
            name || CASE WHEN st = 'O' THEN '符合以下至少二項：' ELSE '' END AS text FROM {rule_parts}
-    UNION ALL SELECT doc, 'factor-' || CAST(ln AS STRING) || '-1', 'factor-' || CAST(ln AS STRING), 0, 'part one' FROM {rule_parts} WHERE st = 'O'
-    UNION ALL SELECT doc, 'factor-' || CAST(ln AS STRING) || '-2', 'factor-' || CAST(ln AS STRING), 0, 'part two of-' || name FROM {rule_parts} WHERE st = 'O'
+    UNION ALL SELECT doc, 'factor-' || CAST(ln AS STRING) || '-1', '(一)', 'factor-' || CAST(ln AS STRING), 0, 'part one' FROM {rule_parts} WHERE st = 'O'
+    UNION ALL SELECT doc, 'factor-' || CAST(ln AS STRING) || '-2', '(二)', 'factor-' || CAST(ln AS STRING), 0, 'part two of-' || name FROM {rule_parts} WHERE st = 'O'
 """
 
 
@@ -183,11 +188,39 @@ FACTORS_SQL = """
 def k12_factors(t: Tables):
     found = rules_of(t).factors
     return found.select(
-        "doc", "factor_id", F.coalesce("parent_id", F.lit("")).alias("parent_id"),
+        "doc", "factor_id", "ordinal", F.coalesce("parent_id", F.lit("")).alias("parent_id"),
         F.coalesce("required", F.lit(0).cast("bigint")).alias("required"), "text",
     )
 
 
+@query(
+    "k12_lines_to_tiers",
+    """SELECT doc, CAST(2 AS BIGINT) AS ord, 'a' AS tier_id, '一、Tier A：' AS label, 'one of ' || CAST(COUNT(*) AS STRING) AS count_rule FROM {rule_parts} GROUP BY doc
+       UNION ALL SELECT doc, ln * 10, 'b', '二、Tier B：', '' FROM {rule_parts} WHERE flag = 'R'""",
+)
+def k12_tiers(t: Tables):
+    """A tier whose heading states a count rule on the same line keeps it."""
+    n = t["rule_parts"].groupBy("doc").agg(F.count("*").cast("string").alias("n"))
+    stated = F.when(F.col("line") == TIERS[0][0], F.concat("line", F.lit("one of "), "n")).otherwise(F.col("line"))
+    told = t["rule_lines"].join(n, "doc").withColumn("line", stated).drop("n")
+    found = lines.lines_to_rules(told, "doc", markers(), TIERS, SUFFIXES, PAGE).tiers
+    return found.select("doc", F.col("ord").cast("bigint").alias("ord"), "tier_id", "label", F.coalesce("count_rule", F.lit("")).alias("count_rule"))
+
+
+@query(
+    "k12_items_without_ordinal",
+    """SELECT doc, MIN(ln) * 10 AS ord, 'item without ordinal' AS violation FROM {rule_parts} WHERE flag = 'N'
+       GROUP BY doc HAVING MIN(ln) = (SELECT MIN(p.ln) FROM {rule_parts} p WHERE p.doc = rule_parts.doc)""",
+)
+def k12_bare(t: Tables):
+    """The section's first item, if flat, loses its ordinal: no line before it can take it in."""
+    first = t["rule_parts"].groupBy("doc").agg(F.min("ln").alias("first"))
+    bare = (F.col("ord") == F.col("first") * 10) & F.col("line").startswith("(二) flat")
+    told = t["rule_lines"].join(first, "doc").withColumn("line", F.when(bare, F.regexp_replace("line", "^[(]二[)] flat", "● flat")).otherwise(F.col("line")))
+    found = lines.lines_to_rules(told.drop("first"), "doc", markers(), TIERS, SUFFIXES, PAGE).violations
+    return found.select("doc", "ord", "violation")
+
+
 @query(
     "k12_layout_violations",
     """SELECT doc, violation, COUNT(*) AS n FROM (

@@ -137,8 +137,10 @@ def b19(t: Tables):
 
 @query(
     "b20_rejoin_lines",
-    r"""WITH s AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY ord) AS prev FROM {o_lines}),
-             j AS (SELECT doc_id, ord, CASE WHEN prev IS NULL THEN '' WHEN (regexp_matches(prev, '[A-Za-z0-9]$') OR regexp_matches(line, '^[A-Za-z0-9]'))
+    r"""WITH s AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY ord) AS prev, lag(ord) OVER (PARTITION BY doc_id ORDER BY ord) AS above
+                   FROM {o_lines} WHERE line <> ''),
+             j AS (SELECT doc_id, ord, CASE WHEN prev IS NULL THEN '' WHEN ord - above > 1 AND regexp_matches(prev, '[A-Za-z0-9]$')
+                     THEN ' ' || CASE WHEN regexp_matches(line, '^[A-Za-z0-9]') THEN ' ' ELSE '' END WHEN (regexp_matches(prev, '[A-Za-z0-9]$') OR regexp_matches(line, '^[A-Za-z0-9]'))
                      AND NOT (regexp_matches(prev, '-$') OR regexp_matches(line, '^-')) AND NOT (ends_with(prev, 'the.') AND starts_with(line, 'The'))
                      THEN ' ' ELSE '' END || line AS part FROM s)
         SELECT doc_id, md5(string_agg(part, '' ORDER BY ord)) AS digest FROM j GROUP BY doc_id""",
@@ -247,7 +249,7 @@ def b26(t: Tables):
     numbers_ = text.stated_numbers(window, r"C<(\d+)mg/dL")
     return t["part"].select(
         "p_partkey",
-        text.threshold(cell, r"≧(\d+)mg/dL$").alias("stated"),
+        text.threshold(cell, r"≧(\d+)mg/dL$").cast("bigint").alias("stated"),
         F.array_contains(text.stated_numbers(window, r"≧(\d+)mg/dL"), F.col("p_size").cast("string")).alias("in_window"),
         F.size(numbers_).cast("bigint").alias("n_numbers"),
     )

@@ -29,9 +29,9 @@ def drift(published: DataFrame, derived: DataFrame) -> DataFrame:
 
 
 def read_version(df: DataFrame, path: str, version: str) -> DataFrame | None:
-    """The published rows of a version, or None if it is not there."""
+    """The published rows of a version by their own schema, or None if it is not there."""
     try:
-        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{VERSION}={version}")
+        return df.sparkSession.read.parquet(f"{path}/{VERSION}={version}")
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -62,7 +62,9 @@ def publish(
     if there is None:
         rows.write.mode("errorifexists").parquet(target)
         return "written"
-    if not drift(there, rows).limit(1).collect():
+    # Another schema is other content, whatever the rows.
+    same = [(f.name, f.dataType) for f in there.schema] == [(f.name, f.dataType) for f in rows.schema]
+    if same and not drift(there, rows).limit(1).collect():
         return "unchanged"
     if on_conflict == "refuse":
         raise ValueError(f"version {version} is published with other content")
