@@ -12,9 +12,9 @@ from refledger.functions.dates import strict_date
 from refledger.functions.mentions import UNIT_ORDER, UNSPECIFIED, mentions, rank_of, union_mentions
 from refledger.functions.numbers import is_zero
 from refledger.functions.text import classify, generics
-from refledger.operators.history import asof_one
+from refledger.operators.history import asof_one, covered_once
 from refledger.operators.lookup import Dataset, gate
-from refledger.operators.prefix import block, numbered
+from refledger.operators.prefix import block, numbered, ranked
 
 PAGE_SIZE = 30  # fixed value: rows a result page shows
 
@@ -50,9 +50,7 @@ def facet_rank(facets: DataFrame, group: Sequence[str] = ()) -> DataFrame:
         F.col("amount"),
         F.col("key"),
     ]
-    # Few rows: facets are already counted.
-    place = Window.partitionBy(*group).orderBy(*order)
-    return facets.withColumn("rank", F.row_number().over(place).cast("bigint"))
+    return ranked(facets, group, order, "rank")
 
 
 def by_facet(doses: Column, key: Column) -> Column:
@@ -87,9 +85,8 @@ def generic_counts(rows: DataFrame, names: Column, class_of, chosen: Column, gro
 
 
 def largest_first(counts: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Place of each name: largest count first, the name breaks ties. Few rows: names are counted."""
-    place = Window.partitionBy(*group).orderBy(F.desc("n"), "name")
-    return counts.withColumn("rank", F.row_number().over(place).cast("bigint"))
+    """Place of each name: largest count first, the name breaks ties."""
+    return ranked(counts, group, [F.desc("n"), F.col("name")], "rank")
 
 
 def page(matches: DataFrame, group: Sequence[str], ord: str = "ord", size: int = PAGE_SIZE) -> DataFrame:
@@ -119,8 +116,9 @@ def class_listing(
 ) -> ClassListing:
     """All items of a class that carry a price on a date. Request columns: `request_id, class, as_of`.
 
-    Both ends of the effective range are tested. Prices are resolved once per item and distinct date,
-    for all classes, since each date's class counts are part of the answer.
+    Both ends of the effective range are tested. Each asked date's counts of all classes are part of the
+    answer: they come from stretches of days with one price per item, added up per class and day, and no item
+    is expanded for them. Items are looked up one by one only for the classes and dates asked for.
     """
     every = [*labels, other]
     flagged = requests.withColumn(
@@ -136,14 +134,24 @@ def class_listing(
     classed = items.select(
         "code", "ord", "ingredient", F.explode(classify(F.col("ingredient"), labels, other)).alias("class")
     )
-    dated = classed.join(F.broadcast(class_days), "class")
-    priced = asof_one(dated, periods, "code", "as_of_date", ["price_raw"])
     zero = is_zero(F.col("price_raw"))
-    found = priced.groupBy("class", "as_of").agg(
-        F.count_if(~zero).alias("n_matches"), F.count_if(zero).alias("excluded_zero")
+    stretches = classed.select("code", "class").join(covered_once(periods, "code", ["price_raw"]), "code")
+    step = F.array(
+        F.struct(F.col("from_day").alias("day"), F.lit(1).alias("step")), F.struct(F.col("next_day").alias("day"), F.lit(-1).alias("step"))
     )
-    counts = class_days.select("class", "as_of").join(found, ["class", "as_of"], "left").na.fill(0)
-    matches = priced.where(~zero).join(F.broadcast(asks), ["class", "as_of"], "left_semi")
+    marks = stretches.select("class", zero.alias("zero"), F.inline(step)).where("day IS NOT NULL")
+    n = lambda flag: F.sum(F.when(flag, F.col("step")).otherwise(0))
+    marks = marks.groupBy("class", "day").agg(n(~F.coalesce("zero", F.lit(False))).alias("n_matches"), n(F.col("zero")).alias("excluded_zero"))
+    asked_days = class_days.select("class", F.col("as_of_date").alias("day"), "as_of")
+    # Classes times calendar days, whatever the number of items.
+    sofar = Window.partitionBy("class").orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = marks.unionByName(asked_days, allowMissingColumns=True).select(
+        "class", "as_of", *[F.coalesce(F.sum(c).over(sofar), F.lit(0)).alias(c) for c in ("n_matches", "excluded_zero")]
+    )
+    found = found.where("as_of IS NOT NULL")
+    counts = found
+    dated = classed.join(asks.withColumn("as_of_date", strict_date(F.col("as_of"))), "class")
+    matches = asof_one(dated, periods, "code", "as_of_date", ["price_raw"]).where(~zero)
     named = generic_counts(
         matches.withColumn("names", generics(F.col("ingredient"), name_pattern)),
         F.col("names"),

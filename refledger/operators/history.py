@@ -38,6 +38,23 @@ def to_history(rows: DataFrame, key: str, attrs: Sequence[str], ord: str = "ord"
     return periods.join(first_attributes(rows, key, attrs, ord), key)
 
 
+def _marks(periods: DataFrame, on: str, payload: Sequence[str]) -> DataFrame:
+    """Per key and day: how many periods start less how many ended the day before, and the last of those that start."""
+    body = F.struct(F.col(END), F.col(START), *payload)
+    nobody = F.lit(None).cast(periods.select(body.alias("b")).schema["b"].dataType)
+    events = F.array(
+        F.struct(F.col(START).alias("day"), F.lit(1).alias("step"), body.alias("period")),
+        F.struct(F.date_add(END, 1).alias("day"), F.lit(-1).alias("step"), nobody.alias("period")),
+    )
+    closed = F.filter(events, lambda e: (e.step == 1) | (F.col(END) < F.lit(OPEN_END).cast("date")))
+    return (
+        periods.where(F.col(START) <= F.col(END))
+        .select(on, F.inline(closed))
+        .groupBy(on, "day")
+        .agg(F.sum("step").alias("step"), F.max("period").alias("period"))
+    )
+
+
 def asof_one(
     asks: DataFrame,
     periods: DataFrame,
@@ -53,20 +70,7 @@ def asof_one(
     count is one, the covering period is the started one that ends last. A period that ends before it
     starts, or lacks a date, covers no day.
     """
-    body = F.struct(F.col(END), F.col(START), *payload)
-    nobody = F.lit(None).cast(periods.select(body.alias("b")).schema["b"].dataType)
-    events = F.array(
-        F.struct(F.col(START).alias("day"), F.lit(1).alias("step"), body.alias("period")),
-        F.struct(F.date_add(END, 1).alias("day"), F.lit(-1).alias("step"), nobody.alias("period")),
-    )
-    closed = F.filter(events, lambda e: (e.step == 1) | (F.col(END) < F.lit(OPEN_END).cast("date")))
-    marks = (
-        periods.where(F.col(START) <= F.col(END))
-        .select(on, F.inline(closed))
-        .groupBy(on, "day")
-        .agg(F.sum("step").alias("step"), F.max("period").alias("period"))
-        .withColumn("asked", F.lit(False))
-    )
+    marks = _marks(periods, on, payload).withColumn("asked", F.lit(False))
     asked = asks.select(on, F.col(as_of).alias("day")).distinct().withColumn("asked", F.lit(True))
     sweep = (
         Window.partitionBy(on).orderBy("day", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -80,6 +84,18 @@ def asof_one(
     return asks.join(answers, [on, as_of])
 
 
+def covered_once(periods: DataFrame, on: str, payload: Sequence[str]) -> DataFrame:
+    """Stretches of days that exactly one of a key's periods covers: `from_day`, `next_day` (open if NULL), payload."""
+    marks = _marks(periods, on, payload)
+    sweep = Window.partitionBy(on).orderBy("day")
+    running = sweep.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stretches = marks.select(
+        on, F.col("day").alias("from_day"), F.lead("day").over(sweep).alias("next_day"),
+        F.sum("step").over(running).alias("covering"), F.max("period").over(running).alias("period"),
+    )
+    return stretches.where("covering = 1").select(on, "from_day", "next_day", *[F.col(f"period.{c}") for c in payload])
+
+
 def covering_one(history: Column, as_of: Column) -> Column:
     """The same for a nested ARRAY of periods: no shuffle, for rows that carry their own history."""
     covering = F.filter(history, lambda p: (p[START] <= as_of) & (as_of <= p[END]))

@@ -54,10 +54,13 @@ def gate(as_of: Column, version: Column, dataset: Dataset, bounds: str) -> Colum
 
 
 def resolve_version(requests: DataFrame, registry: DataFrame) -> DataFrame:
-    """Requests that name no version, or the registry's current one. A blank version names none."""
-    current = registry.select("current_version")
-    named = F.coalesce(F.when(F.trim("dataset_version") != "", F.col("dataset_version")), F.col("current_version"))
-    return requests.join(current, named == F.col("current_version"))
+    """Requests that name no version, or their dataset's current one in the registry. A blank version names none.
+
+    `registry` holds one row per dataset: dataset, current_version.
+    """
+    named = F.when(F.trim("dataset_version") != "", F.col("dataset_version"))
+    known = requests.join(registry.select("dataset", "current_version"), "dataset")
+    return known.where(F.coalesce(named, F.col("current_version")) == F.col("current_version"))
 
 
 def match_code(queries: DataFrame, code: str, items: DataFrame, item_code: str = "code") -> DataFrame:

@@ -15,6 +15,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refledger.sources.workspace import cut
+
 CHUNK, GROUP = "__chunk", "__group"
 BLOCK, CHUNKS = 1 << 16, 1 << 12
 
@@ -101,6 +103,23 @@ def running(
     return rows.join(carry, [GROUP, CHUNK], "left").select(*[F.col(c) for c in df.columns], *merged)
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """Row number per key along any order, from one; ties are numbered anyhow.
+
+    Rows are dealt out by ranges of keys and order and written, each with the range it fell into. Ranges are numbered on
+    their own, and their sizes added up: one small row per key and range is all that meets in one task.
+    """
+    keys = list(keys)
+    spread = cut(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn(CHUNK, F.spark_partition_id()), "ranges")
+    spread = spread.withColumn(GROUP, F.struct(*keys) if keys else F.lit(True))
+    before = Window.partitionBy(GROUP).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = spread.groupBy(GROUP, CHUNK).agg(F.count("*").alias("__size"))
+    sizes = sizes.select(GROUP, CHUNK, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(GROUP, CHUNK).orderBy(*order))
+    rows = spread.withColumn("__place", place).join(sizes, [GROUP, CHUNK])
+    return rows.select(*df.columns, (F.col("__before") + F.col("__place")).cast("bigint").alias(name))
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, name: str) -> DataFrame:
     """Row number per key, from one."""
     return running(df, keys, order, chunk, {name: ("sum", F.lit(1).cast("bigint"))})

@@ -147,8 +147,8 @@ BINDINGS: dict[str, str] = {
     # Criteria over the parts: each brand is a group whose prerequisite is its first name.
     "criteria": """
         SELECT 'C' || CAST(p_partkey AS STRING) AS criterion_id, p_brand AS group_id, p_name || '。' AS text,
-               MIN(p_name) OVER (PARTITION BY p_brand) AS prerequisite_label, p_partkey AS ord
-        FROM {part}""",
+               prerequisite_label, p_partkey AS ord
+        FROM {part} JOIN (SELECT p_brand AS of_brand, MIN(p_name) AS prerequisite_label FROM {part} GROUP BY p_brand) ON of_brand = p_brand""",
     # Turns of a conversation as a self-referencing table: every turn but the first names the first.
     "turns": """
         SELECT CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING) AS factor_id,

@@ -63,23 +63,26 @@ def b14(t: Tables):
     "b15_mention_key",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, price_raw,
               CASE WHEN contains(price_raw, '.') THEN rtrim(rtrim(trim(price_raw), '0'), '.') ELSE trim(price_raw) END AS digits
-       FROM {price_texts} WHERE regexp_full_match(price_raw, '[1-9][0-9]*[.][0-9]+')""",
+       FROM {price_texts}""",
 )
 def b15(t: Tables):
-    rows = t["price_texts"].where(F.col("price_raw").rlike("^[1-9][0-9]*[.][0-9]+$"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price_raw", plain_number(F.col("price_raw")).alias("digits"))
+    """Every price text, blanks, zeros and a hyphen among them."""
+    return t["price_texts"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price_raw", plain_number(F.trim("price_raw")).alias("digits"))
 
 
 @query(
     "b16_first_occurrence",
-    """SELECT code, CAST(COUNT(DISTINCT raw) AS BIGINT) AS n FROM {o_raw_mentions} WHERE fld = 1 GROUP BY code""",
+    """SELECT i.code, f.fld, CAST(COUNT(DISTINCT raw) AS BIGINT) AS n FROM {items} i CROSS JOIN (VALUES (1), (2)) f(fld)
+       LEFT JOIN {o_raw_mentions} m ON m.code = i.code AND m.fld = f.fld GROUP BY i.code, f.fld""",
 )
 def b16(t: Tables):
-    """An ingredient written twice over states each mention once."""
-    twice = F.concat_ws("+", "ingredient", "ingredient")
-    raws = F.regexp_extract_all(twice, F.lit(mention_pattern(list(ITEM_UNITS), ["GM"])), 0)
-    rows = t["items"].select("code", F.size(distinct_first(raws)).cast("bigint").alias("n"))
-    return rows.where("n > 0")
+    """A field written twice over states each mention once; both fields of every item."""
+
+    def raws(field: str):
+        return F.regexp_extract_all(F.concat_ws("+", field, field), F.lit(mention_pattern(list(ITEM_UNITS), ["GM"])), 0)
+
+    sizes = [F.struct(F.lit(i).alias("fld"), F.size(distinct_first(raws(c))).cast("bigint").alias("n")) for i, c in ((1, "ingredient"), (2, "name_en"))]
+    return t["items"].select("code", F.inline(F.array(*sizes)))
 
 
 @query(

@@ -139,14 +139,14 @@ def c08b(t: Tables):
 
 @query(
     "a12_version_resolve",
-    """SELECT request_id, current_version FROM {requests} r,
-         (SELECT MAX(n_name) AS m, 'v1' AS current_version FROM {nation})
-       WHERE COALESCE(NULLIF(trim(dataset_version), ''), current_version) = current_version""",
+    """SELECT request_id, n_name AS dataset, 'v' || CAST(n_regionkey AS STRING) AS current_version FROM {requests} JOIN {nation} ON n_nationkey = request_id % 25
+       WHERE COALESCE(NULLIF(trim(dataset_version), ''), 'v' || CAST(n_regionkey AS STRING)) = 'v' || CAST(n_regionkey AS STRING)""",
 )
 def a12(t: Tables):
-    """The registry's current version; requests that name another get no row."""
-    registry = t["nation"].agg(F.max("n_name").alias("source")).withColumn("current_version", F.lit("v1"))
-    return lookup.resolve_version(t["requests"], registry).select("request_id", "current_version")
+    """Nations as datasets with a current version each; requests that name another version get no row."""
+    registry = t.sql("SELECT n_nationkey, n_name AS dataset, 'v' || CAST(n_regionkey AS STRING) AS current_version FROM {nation}")
+    named = t["requests"].join(registry.select("n_nationkey", "dataset"), F.pmod("request_id", F.lit(25)) == F.col("n_nationkey"))
+    return lookup.resolve_version(named, registry).select("request_id", "dataset", "current_version")
 
 
 @query(

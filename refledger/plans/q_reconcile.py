@@ -146,9 +146,9 @@ def k05(t: Tables):
 
 
 CODES_SQL = """
-    WITH g AS (SELECT *, COALESCE(TRY_CAST(as_of AS DATE) IS NOT NULL AND as_of BETWEEN '1995-06-01' AND '2001-12-31', false)
+    WITH g AS MATERIALIZED (SELECT *, COALESCE(TRY_CAST(as_of AS DATE) IS NOT NULL AND as_of BETWEEN '1995-06-01' AND '2001-12-31', false)
                       AND rule_id IN (SELECT rule_id FROM {listed}) AS ok FROM {rule_requests}),
-         p AS (SELECT r.rule_id, l.code, MIN(price_raw) AS price_raw FROM g r JOIN {listed} l ON l.rule_id = r.rule_id AND r.ok
+         p AS MATERIALIZED (SELECT r.rule_id, l.code, MIN(price_raw) AS price_raw FROM g r JOIN {listed} l ON l.rule_id = r.rule_id AND r.ok
                JOIN {periods} p ON p.code = l.code AND CAST(r.as_of AS DATE) BETWEEN p.start_date AND p.end_date GROUP BY ALL HAVING COUNT(*) = 1),
          c AS (SELECT g.rule_id, l.pos, l.code, p.price_raw FROM g JOIN {listed} l ON l.rule_id = g.rule_id AND g.ok
                LEFT JOIN p ON p.rule_id = l.rule_id AND p.code = l.code)

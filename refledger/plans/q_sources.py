@@ -95,10 +95,31 @@ def a03(t: Tables):
     return found.select("check_id", "key", "detail")
 
 
-@query("a04_file_fingerprint")
+@query(
+    "a04_file_fingerprint",
+    """SELECT CAST(n_nationkey AS STRING) AS nation, sha256(n_name || chr(10) || CAST(n_regionkey AS STRING) || chr(10)) AS sha256,
+              CAST(strlen(n_name) + 3 AS BIGINT) AS bytes,
+              CASE n_nationkey WHEN 3 THEN 'sha256' WHEN 5 THEN 'bytes' WHEN 7 THEN 'not pinned' ELSE '' END AS finding FROM {nation}
+       UNION ALL SELECT '99', '', -1, 'missing' FROM {nation} WHERE n_nationkey = 0""",
+)
 def a04(t: Tables):
-    """SHA-256 and size of every file of the scale factor."""
-    return scans.fingerprint(t.spark, f"{t.sf_dir}/*.parquet")
+    """Each nation written as a file of its own, and compared with pins of which four are wrong."""
+    path, n = fresh_path(t.spark, "nations"), t["nation"]
+    text = n.select("n_nationkey", F.concat_ws("\n", "n_name", F.col("n_regionkey").cast("string")).alias("value"))
+    text.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    files = scans.fingerprint(t.spark, f"{path}/*/*.txt", name=F.regexp_extract("path", "n_nationkey=([0-9]+)/", 1))
+    pins = text.select(
+        F.col("n_nationkey").cast("string").alias("name"),
+        F.when(F.col("n_nationkey") == 3, "x").otherwise(F.sha2(F.concat("value", F.lit("\n")), 256)).alias("sha256"),
+        (F.octet_length("value") + F.when(F.col("n_nationkey") == 5, 2).otherwise(1)).cast("bigint").alias("bytes"),
+    ).where("name <> '7'")
+    pins = pins.unionByName(pins.where("name = '0'").withColumn("name", F.lit("99")))
+    odd = scans.compare_fingerprints(files, pins)
+    told = files.join(odd, "name", "full")
+    return told.select(
+        F.col("name").alias("nation"), F.coalesce("sha256", F.lit("")).alias("sha256"), F.coalesce("bytes", F.lit(-1).cast("bigint")).alias("bytes"),
+        F.coalesce("finding", F.lit("")).alias("finding"),
+    )
 
 
 @query(

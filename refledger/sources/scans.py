@@ -12,6 +12,7 @@ from refledger.operators.contracts import violations
 
 # --- Fixed values: the manifest's tag ------------------------------------------------------------
 MANIFEST_SCHEMA = "storage-manifest/v1"
+ENTRY_KEYS = ("declaredName", "sha256", "bytes", "recordCount")
 # -------------------------------------------------------------------------------------------------
 
 MANIFEST = (
@@ -64,7 +65,14 @@ def ends_with_newline(spark: SparkSession, path: str, dataset: str) -> DataFrame
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(path, multiLine=True, mode="FAILFAST")
+    """Manifests, one per file, with `odd_keys`: names of file entries that do not have exactly the declared keys."""
+    text = spark.read.text(path, wholetext=True).select("value")
+    rows = text.select(F.from_json("value", MANIFEST, {"mode": "FAILFAST"}).alias("row"), F.get_json_object("value", "$.files").alias("raw"))
+    # Values of an entry as text: a map keeps keys that a schema would drop unseen.
+    entries = F.from_json("raw", "array<map<string, string>>")
+    exact = lambda e: F.array_sort(F.map_keys(e)) == F.array(*[F.lit(k) for k in sorted(ENTRY_KEYS)])
+    odd = F.transform(F.filter(entries, lambda e: ~exact(e)), lambda e: F.coalesce(F.try_element_at(e, F.lit("declaredName")), F.lit("")))
+    return rows.select("row.*", F.coalesce(odd, F.array().cast("array<string>")).alias("odd_keys"))
 
 
 def check_manifest(
@@ -98,21 +106,40 @@ def check_manifest(
     )
     return (
         violations(head_rows, "manifest", version, F.lit(""), F.col("rule"))
+        .unionByName(violations(manifest.select(F.explode("odd_keys").alias("name")), "manifest_keys", version, F.col("name"), F.lit("not the declared keys")))
         .unionByName(violations(repeated, "manifest_repeat", version, F.col("declaredName"), F.col("n")))
         .unionByName(violations(odd, "manifest_file", version, F.col("declaredName"), detail))
     )
 
 
-def fingerprint(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """SHA-256 and size of each file. A file is one value here, so files over 2 GB are out of reach."""
+def fingerprint(spark: SparkSession, path: str | Sequence[str], name: Column | None = None) -> DataFrame:
+    """SHA-256 and size of each file, named by the end of its path or by `name`, an expression over `path`.
+
+    A file is one value here, so files over 2 GB are out of reach.
+    """
     files = spark.read.format("binaryFile").load(path)
+    own = F.element_at(F.split("path", "/"), -1) if name is None else name
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
+        own.alias("name"),
         F.sha2("content", 256).alias("sha256"),
         F.col("length").alias("bytes"),
     )
 
 
+def compare_fingerprints(files: DataFrame, pinned: DataFrame) -> DataFrame:
+    """(name, finding) of each file whose digest or size is not as pinned, is not pinned, or is missing.
+
+    `pinned` holds name, sha256, bytes: of a manifest, of a pin, or of both checked one after the other.
+    """
+    a = files.select("name", F.struct("sha256", "bytes").alias("own"))
+    b = pinned.select("name", F.struct("sha256", "bytes").alias("due"))
+    finding = (
+        F.when(F.col("own").isNull(), "missing").when(F.col("due").isNull(), "not pinned")
+        .when(~F.col("own.sha256").eqNullSafe(F.col("due.sha256")), "sha256").when(~F.col("own.bytes").eqNullSafe(F.col("due.bytes")), "bytes")
+    )
+    return a.join(b, "name", "full").select("name", finding.alias("finding")).where("finding IS NOT NULL")
+
+
 def dataset_digest(files: DataFrame, group: Sequence[str], name: str = "name", sha: str = "sha256") -> DataFrame:
     """Hash of a dataset's file hashes joined in name order. A dataset lists its files in one manifest."""
     hashes = F.transform(F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(sha).alias("h")))), lambda f: f["h"])

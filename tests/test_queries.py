@@ -1,23 +1,19 @@
-"""Registered queries beside their SQL at the smallest scale. `REFLEDGER_ALL=1` runs every one."""
+"""Every registered query beside its SQL at the smallest scale."""
 
 from __future__ import annotations
 
-import os
 import re
 from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
+from refledger.plans.registry import QUERIES
 from tests.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = (
-    "d01_asof_interval_join", "d01_asof_overlapping_periods", "e01_to_history", "f01_interval_overlaps", "f02_interval_gaps",
-    "k01_master_lookup", "k02_announcement_lookup", "k03_class_listing", "k04_exception_listing", "k07_stratify", "d04_term_search",
-    "d14_multi_source_merge", "d14_merge_conflicts", "e03_facet_counts", "f04_fold_lines", "j03_resolve_overlaps", "a07_drift_check", "k09_build_master",
-)
-NAMES = sorted(entry.queries()) if os.environ.get("REFLEDGER_ALL") else SAMPLE
+entry.queries()
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
