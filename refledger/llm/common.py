@@ -23,13 +23,18 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({SPACES})"), F.lit(1))).cast("long"), F.lit(0).cast("long"))
 
 
+def sized(few: DataFrame) -> DataFrame:
+    """A side of a join, to be sent to the other side if it has no more than a million rows of a few bytes."""
+    return F.broadcast(few) if few.count() <= FEW_IDS else few.hint("merge")
+
+
 def by_ids(docs: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Semi or anti join of wide rows with distinct ids.
 
     Up to a million ids are sent to the rows, which then stay where they are; beyond that both sides are
     shuffled. The ids are counted first, so `ids` should be a written table or cheap.
     """
-    return docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids.hint("merge"), on, how)
+    return docs.join(sized(ids), on, how)
 
 
 def first_of_id(docs: DataFrame, key: str) -> DataFrame:

@@ -15,15 +15,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from refledger.llm.common import components
+from refledger.llm.common import by_ids, components, sized
 from refledger.sources.workspace import cut
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """`doc`, `no` (from 1) and `line` without white space at its ends; blank lines are none."""
+    """`doc`, `no` (from 1), `line` without white space at its ends, its hash `lid` and length `n`; blank lines are none."""
     named = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     split = named.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    return split.select("doc", (F.col("no") + 1).alias("no"), F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").alias("line")).where("line <> ''")
+    bare = split.select("doc", (F.col("no") + 1).alias("no"), F.btrim("line", F.lit(" \t\n\x0b\x0c\r")).alias("line")).where("line <> ''")
+    return bare.select("*", F.xxhash64("line").alias("lid"), F.length("line").alias("n"))
 
 
 def allowed(length: Column, edits: int, per: int) -> Column:
@@ -31,21 +32,41 @@ def allowed(length: Column, edits: int, per: int) -> Column:
     return F.least(F.lit(edits), F.floor(length / per)).cast("int")
 
 
+def _edge(length: Column, parts: int) -> Column:
+    """Size of a line's first and last segment: a multiple of four, so that lines of similar length have equal ones."""
+    even = F.floor(length / parts).cast("int")
+    return F.when(even >= 4, even - F.pmod(even, F.lit(4))).otherwise(even)
+
+
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i (from 1) of a line; later segments are the longer ones."""
-    base, longer = F.floor(length / parts).cast("int"), F.pmod(length, F.lit(parts))
-    short = parts - longer
-    start = (i - 1) * base + F.greatest(F.lit(0), i - 1 - short)
-    return start.cast("int"), (base + F.when(F.lit(i) > short, 1).otherwise(0)).cast("int")
+    """Start (from 0) and length of segment i (from 1) of a line; those in the middle share what the ends leave."""
+    if parts < 3:
+        base = F.floor(length / parts).cast("int")
+        return (F.lit(0), base) if i < parts else ((i - 1) * base, length - (i - 1) * base)
+    edge = _edge(length, parts)
+    if i == 1:
+        return F.lit(0), edge
+    if i == parts:
+        return length - edge, edge
+    rest, inner = length - 2 * edge, parts - 2
+    base, longer = F.floor(rest / inner).cast("int"), F.pmod(rest, F.lit(inner))
+    short = inner - longer
+    start = edge + (i - 2) * base + F.greatest(F.lit(0), i - 2 - short)
+    return start.cast("int"), (base + F.when(F.lit(i - 1) > short, 1).otherwise(0)).cast("int")
+
+
+def _key(i: int, parts: int, length: Column, line: Column, at: Column, size: Column) -> Column:
+    """Key of a segment: its number, the length of the line it belongs to, and its content.
+
+    The first and the last segment lie at the line's ends whatever its length, and their size stands for it.
+    """
+    of = [] if parts >= 3 and i in (1, parts) else [length]
+    return F.xxhash64(F.lit(i), *of, F.substr(line, at + 1, size))
 
 
 def index_keys(line: Column, length: Column, edits: int) -> Column:
     parts = edits + 1
-    keys = []
-    for i in range(1, parts + 1):
-        start, size = _segment(length, i, parts)
-        keys.append(F.xxhash64(F.lit(i), length, F.substr(line, start + 1, size)))
-    return F.array(*keys)
+    return F.array(*[_key(i, parts, length, line, *_segment(length, i, parts)) for i in range(1, parts + 1)])
 
 
 def probe_keys(line: Column, length: Column, edits: int) -> Column:
@@ -62,7 +83,7 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
             for shift in range(max(1 - i, less - (parts - i)), min(i - 1, less + parts - i) + 1):
                 at = start + shift
                 fits = (at >= 0) & (at + size <= length) & (size > 0)
-                keys.append(F.when(fits, F.xxhash64(F.lit(i), target, F.substr(line, at + 1, size))))
+                keys.append(F.when(fits, _key(i, parts, target, line, at, size)))
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
@@ -165,8 +186,21 @@ def parity(line: Column) -> Column:
     return run(line)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, edits: int, per: int) -> DataFrame:
-    """Links (a, b) between nodes, from pairs (x, y) of line numbers; numbers that collide bring all their lines."""
+def _texts(told: DataFrame, lids: DataFrame) -> DataFrame:
+    """Each distinct line among the hashes once: `node` (its MD5), `lid`, `line`, `n`. Lines whose hashes collide are all there."""
+    lids = cut(lids.distinct(), "line-wanted")
+    some = by_ids(told, lids, "lid", "left_semi").select(_node().alias("node"), "lid", "line", "n")
+    return cut(some.groupBy("node", "lid", "n").agg(F.first("line").alias("line")), "line-texts")
+
+
+def _node() -> Column:
+    return F.unhex(F.md5("line"))
+
+
+def _verified(pairs: DataFrame, told: DataFrame, edits: int, per: int) -> DataFrame:
+    """Links (a, b) between nodes, from pairs (x, y) of line hashes."""
+    pairs = cut(pairs, "line-pairs")
+    lines = _texts(told, pairs.select(F.explode(F.array("x", "y")).alias("lid")))
     one = lines.select(F.col("lid").alias("x"), F.col("node").alias("a"), F.col("line").alias("line_a"), F.col("n").alias("n_a"))
     two = lines.select(F.col("lid").alias("y"), F.col("node").alias("b"), F.col("line").alias("line_b"), F.col("n").alias("n_b"))
     met = pairs.join(one, "x").join(two, "y").withColumn("limit", allowed(F.least("n_a", "n_b"), edits, per))
@@ -174,29 +208,37 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int, per: int) -> DataF
     return met.where(close_enough(F.col("line_a"), F.col("line_b"), F.col("limit"))).select("a", "b")
 
 
-def similar_lines(lines: DataFrame, *, edits: int = 2, per: int = 10, hot: int = 64) -> DataFrame:
-    """Links (a, b) between distinct lines (`node`, `lid`, `line`, `n`) that connect all lines within reach.
+def _distinct(postings: DataFrame) -> DataFrame:
+    """Dealt out by key first, so that the join on the key finds them where they are."""
+    return postings.repartition("k").dropDuplicates(["k", "lid"])
+
+
+def similar_lines(told: DataFrame, *, edits: int = 2, per: int = 10, hot: int = 64) -> DataFrame:
+    """Links (a, b) between distinct lines' nodes that connect all lines within reach; `told` as `lines_of` gives it.
 
+    Only hashes of segments and lines are shuffled; texts follow for the lines that a candidate pair names.
     A segment in over `hot` lines is not expanded into all its pairs: its lines are compared with the
     smallest of them first, and after that only lines that are still unconnected and whose character parities
     allow it. The links are then fewer than all, but connect the same lines.
     """
-    some = lines.where(F.col("n") >= per)
-    index = some.select(F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("k"), "lid")
-    probes = some.select(F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("k"), "lid")
+    some = told.where(F.col("n") >= per)
+    keys = lambda of: some.select(F.explode(of(F.col("line"), F.col("n"), edits)).alias("k"), "lid")
+    index = cut(_distinct(keys(index_keys)), "line-index")
     busy = cut(index.groupBy("k").agg(F.count("*").alias("m"), F.min("lid").alias("x")).where(F.col("m") > hot), "line-hot")
-    quiet = index.join(busy, "k", "left_anti").withColumnRenamed("lid", "x")
-    met = quiet.join(probes.withColumnRenamed("lid", "y"), "k").where("x <> y")
+    # Of a busy key only the smallest line stands for all; its pairs keep the key.
+    asked = index.join(sized(busy), "k", "left").where("m IS NULL OR lid = x")
+    asked = asked.select("k", F.when(F.col("m").isNotNull(), F.col("k")).alias("of"), F.col("lid").alias("x"))
+    met = asked.join(_distinct(keys(probe_keys)).withColumnRenamed("lid", "y"), "k").where("x <> y")
+    met = cut(met.select("of", "x", "y").distinct(), "line-met")
     pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    links = cut(_verified(pairs, lines, edits, per), "line-links")
+    links = cut(_verified(pairs, told, edits, per), "line-links")
     if busy.isEmpty():
         return links
-    held = cut(index.join(busy.select("k"), "k").withColumn("own", F.lit(True)).unionByName(probes.join(busy.select("k"), "k").withColumn("own", F.lit(False))), "line-busy")
-    star = held.join(busy.select("k", "x"), "k").where("lid <> x").select("x", F.col("lid").alias("y")).distinct()
-    links = cut(links.unionByName(_verified(star, lines, edits, per)), "line-links")
     labels = components(links)
-    wanted = held.select("lid").distinct()
-    marked = lines.join(wanted, "lid", "left_semi").join(labels, "node", "left")
+    held = by_ids(index, busy.select("k"), "k", "left_semi").withColumn("own", F.lit(True))
+    held = held.unionByName(met.where("of IS NOT NULL").select(F.col("of").alias("k"), F.col("y").alias("lid"), F.lit(False).alias("own")))
+    held = cut(held, "line-busy")
+    marked = _texts(told, held.select("lid")).join(labels, "node", "left")
     marked = cut(marked.select("lid", "n", F.coalesce("label", "node").alias("label"), parity(F.col("line")).alias("bits")), "line-marked")
     full = held.join(marked, "lid")
     x, y = full.where("own").alias("x"), full.where("NOT own").alias("y")
@@ -206,7 +248,7 @@ def similar_lines(lines: DataFrame, *, edits: int = 2, per: int = 10, hot: int =
         & (F.abs(F.col("x.n") - F.col("y.n")) <= edits) & (apart <= 2 * edits)
     )
     rest = x.join(y, near).select(F.least("x.lid", "y.lid").alias("x"), F.greatest("x.lid", "y.lid").alias("y")).distinct()
-    return links.unionByName(_verified(rest, lines, edits, per))
+    return links.unionByName(_verified(rest, told, edits, per))
 
 
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, edits: int = 2, per: int = 10) -> DataFrame:
@@ -217,11 +259,8 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     smallest document and number; rows that share an id share their numbers.
     """
     told = lines_of(docs, key, text).where("doc IS NOT NULL")
-    node = F.unhex(F.md5("line"))
-    lines = told.groupBy(node.alias("node")).agg(F.first("line").alias("line"))
-    lines = cut(lines.select("node", F.xxhash64("line").alias("lid"), "line", F.length("line").alias("n")), "lines")
-    labels = components(similar_lines(lines, edits=edits, per=per))
-    places = cut(told.select("doc", "no", node.alias("node")), "line-places")
+    labels = components(similar_lines(told, edits=edits, per=per))
+    places = cut(told.select("doc", "no", _node().alias("node")), "line-places")
     first = places.groupBy("node").agg(F.min(F.struct("doc", "no")).alias("first"))
     known = first.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     heads = known.groupBy("label").agg(F.min(F.struct("first", "node")).alias("head"))
