@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refledger.llm import ann, decontaminate, language, line_dedup, mixing, near_dup, repeats, shards, token_count, url_graph
+from refledger.llm import ann, decontaminate, language, line_dedup, mixing, near_dup, oracles, repeats, shards, token_count, url_graph
 from refledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,9 +37,10 @@ URL_RULES = [
 ]
 
 
-@query("op2_link_trust")
+@query("op2_link_trust", oracles.link_trust(URL_RULES))
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_graph.judge(table(spark, sf_dir, "pages"), url_graph.rules_of(spark, URL_RULES))
+    judged = url_graph.judge(table(spark, sf_dir, "pages"), url_graph.rules_of(spark, URL_RULES))
+    return judged.withColumns({c: F.round(c, 6) for c in ("trust", "distrust")})
 
 
 @query("op3_language")
@@ -59,7 +60,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 N_SHARDS = 24
 
 
-@query("op5_rendezvous")
+@query("op5_rendezvous", oracles.rendezvous(N_SHARDS))
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = {s: 1.0 for s in range(N_SHARDS)}
     return shards.assign(table(spark, sf_dir, "documents"), even, grown=even | {N_SHARDS: 1.0})
