@@ -41,6 +41,12 @@ def stop_on_any(checks: DataFrame) -> None:
         raise ValueError(f"contract broken: {first[0].check_id} on {first[0].dataset}: {first[0].detail}")
 
 
+def findings(steps: dict[str, DataFrame]) -> DataFrame:
+    """One row per step of a build, with the number of its findings: step, n_findings."""
+    counted = [df.agg(F.count("*").alias("n_findings")).select(F.lit(step).alias("step"), "n_findings") for step, df in steps.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def expect_count(df: DataFrame, n: int | Column, dataset: str) -> DataFrame:
     counted = df.agg(F.count("*").alias("n")).where(F.col("n") != n)
     return violations(counted, "count", dataset, F.lit(""), F.col("n"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from refledger.functions.dates import strict_date
 from refledger.functions.numbers import is_zero
-from refledger.functions.text import CODE_PATTERN, is_code, norm_code, norm_name, search_text
+from refledger.functions.text import CODE_PATTERN, is_code, nfkc, norm_code, norm_name, search_text
 from refledger.operators.history import asof_one
 from refledger.operators.search import haystack, search
 from refledger.sources.workspace import cut
@@ -63,6 +63,11 @@ def resolve_version(requests: DataFrame, registry: DataFrame) -> DataFrame:
     return known.where(F.coalesce(named, F.col("current_version")) == F.col("current_version"))
 
 
+def folded(col: Column) -> Column:
+    """The fold of a text that is folded already."""
+    return col
+
+
 def match_code(queries: DataFrame, code: str, items: DataFrame, item_code: str = "code") -> DataFrame:
     """Items whose code equals the normalised query, if that has the shape of a code."""
     shaped = queries.where(is_code(F.col(code), CODE_PATTERN))
@@ -80,9 +85,9 @@ def code_then_terms(queries: DataFrame, items: DataFrame, fields: Sequence[str])
     Distinct queries and haystacks are each read several times, and folding them runs in Python, so
     they are written once. Items may bring their haystack along as column `hay`.
     """
-    asked = queries.select("query").distinct().select(
-        "query", norm_code(F.col("query")).alias("as_code"), search_text(F.col("query")).alias("as_text")
-    )
+    asked = queries.select("query").distinct().select("query", nfkc(F.col("query")).alias("folded"))
+    # Folded once, before both forms.
+    asked = asked.select("query", norm_code(F.col("folded"), folded).alias("as_code"), search_text(F.col("folded"), fold=folded).alias("as_text"))
     shaped = F.when(is_code(F.col("as_code")), F.col("as_code"))
     tried = cut(asked.join(items.select("code", "ord"), shaped == F.col("code"), "left"), "tried-queries")
     by_code = tried.where("code IS NOT NULL").select("query", "code", "ord")
@@ -155,9 +160,8 @@ def announcement_lookup(
     Only the lower end of the effective range is tested, and the gap before a unit is kept.
     """
     flagged, asks = gated(requests, dataset, "lower")
-    asked = asks.select("query").distinct().select(
-        "query", norm_code(F.col("query")).alias("as_code"), norm_name(F.col("query")).alias("as_text")
-    )
+    asked = asks.select("query").distinct().select("query", nfkc(F.col("query")).alias("folded"))
+    asked = asked.select("query", norm_code(F.col("folded"), folded).alias("as_code"), norm_name(F.col("folded"), folded).alias("as_text"))
     by_code = match_code(asked, "as_code", records.select("code", "ord")).select("query", "code", "ord")
     phrases = asked.where(~is_code(F.col("as_code")))
     sought = with_haystack(records, fields, norm_name).select("code", "ord", "hay")

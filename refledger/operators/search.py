@@ -13,6 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from refledger.sources.workspace import cut
+
+SPLIT = 1 << 16  # texts of a gram that one part holds
+
 # Normalised fields and terms hold no line feed, so it keeps the fields of a haystack apart.
 FIELD_SEP = "\n"
 
@@ -27,23 +31,22 @@ def holds_all(hay: Column, terms: Column) -> Column:
     return F.forall(terms, lambda t: F.contains(hay, t))
 
 
-def _grams(text: Column, size: int) -> Column:
-    whole = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1))),
-        lambda i: F.substring(text, i, F.lit(size)),
-    )
+def _grams(chars: Column, size: int) -> Column:
+    """Distinct grams of a text that is given as its characters: linear in the text."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - size, F.lit(0)))
+    whole = F.transform(starts, lambda i: F.concat(*[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(size)]))
     return F.array_distinct(F.filter(whole, lambda g: F.length(g) == size))
 
 
-def _postings(texts: DataFrame) -> DataFrame:
-    """(hay, gram) for each distinct gram of one to three letters."""
-    places = texts.select("hay", F.explode(F.sequence(F.lit(1), F.length("hay"))).alias("at"))
-    sizes = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
-    grams = places.select("hay", "at", sizes.alias("size")).select(
-        "hay", "at", "size", F.substring("hay", F.col("at"), F.col("size")).alias("gram")
-    )
-    # Only the first place of a gram counts; the last places are too short for the longer ones.
-    return grams.where((F.length("gram") == F.col("size")) & (F.position("gram", "hay") == F.col("at"))).select("hay", "gram")
+def _chars(text: Column) -> Column:
+    return F.split(text, "")
+
+
+def postings(texts: DataFrame) -> DataFrame:
+    """(hay, gram) for each distinct gram of one to three letters of distinct texts."""
+    chars = texts.select("hay", _chars(F.col("hay")).alias("chars"))
+    grams = F.concat(*[_grams(F.col("chars"), size) for size in (1, 2, 3)])
+    return chars.select("hay", F.explode(grams).alias("gram"))
 
 
 def search(queries: DataFrame, query: str, items: DataFrame, hay: str, *, phrase: bool = False) -> DataFrame:
@@ -57,17 +60,16 @@ def search(queries: DataFrame, query: str, items: DataFrame, hay: str, *, phrase
         return F.filter(F.array(text) if phrase else F.split(text, " "), lambda t: t != "")
 
     has_trigram = F.exists("terms", lambda t: F.length(t) >= 3)
-    trigrams = F.flatten(F.transform("terms", lambda t: _grams(t, 3)))
+    trigrams = F.flatten(F.transform("terms", lambda t: _grams(_chars(t), 3)))
     wanted = (
         queries.select(F.col(query).alias("query"))
         .distinct()
         .withColumn("terms", terms_of(F.col("query")))
         .select("query", F.explode(F.array_distinct(F.when(has_trigram, trigrams).otherwise(F.col("terms")))).alias("gram"))
     )
-    # Texts are small but fan out into grams and candidates, so their partitions must not be merged.
-    spread = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = items.select(F.col(hay).alias("hay")).repartition(spread, "hay").distinct()
-    posted = _postings(texts)
+    # Grams are counted and then joined: they are made once, of texts that are spread before they fan out.
+    texts = items.select(F.col(hay).alias("hay")).repartition("hay").distinct()
+    posted = cut(postings(texts), "postings")
     frequency = (
         posted.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     )
@@ -77,7 +79,12 @@ def search(queries: DataFrame, query: str, items: DataFrame, hay: str, *, phrase
         .groupBy("query")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
         .where("rarest.n > 0")
-        .select("query", "rarest.gram", terms_of(F.col("query")).alias("terms"))
+        .select("query", "rarest.gram", "rarest.n", terms_of(F.col("query")).alias("terms"))
     )
-    hits = posted.join(rarest, "gram").where(holds_all(F.col("hay"), F.col("terms"))).select("query", "hay")
+    # A gram in many texts is split: its texts by a hash, and each of its queries goes to every part.
+    parts = F.ceil(F.col("n") / SPLIT).cast("int")
+    crowded = frequency.where(F.col("n") > SPLIT).select("gram", parts.alias("parts"))
+    dealt = posted.join(crowded, "gram", "left").withColumn("part", F.pmod(F.xxhash64("hay"), F.coalesce("parts", F.lit(1))).cast("int"))
+    sent = rarest.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    hits = dealt.join(sent, ["gram", "part"]).where(holds_all(F.col("hay"), F.col("terms"))).select("query", "hay")
     return hits.withColumnsRenamed({"query": query, "hay": hay}).join(items, hay)

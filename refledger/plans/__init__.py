@@ -4,6 +4,7 @@
 def all_queries() -> None:
     """Import every module that registers queries."""
     from refledger.plans import (  # noqa: F401
+        q_builds,
         q_contracts,
         q_facets,
         q_history,

@@ -170,25 +170,29 @@ def a13(t: Tables):
 FLAT = StructType([StructField(c, StringType()) for c in ("code", "name_en", "price", "start", "end")] + [StructField("row_no", LongType())])
 
 
-@query(
-    "k09_build_master",
-    """SELECT p.code, i.name_en, row_number() OVER (PARTITION BY p.code ORDER BY start_date, end_date, p.ord) AS seq,
-              strftime(start_date, '%Y-%m-%d') AS start_date, strftime(end_date, '%Y-%m-%d') AS end_date, price_raw
-       FROM {periods} p JOIN {items} i USING (code)""",
-)
-def k09(t: Tables):
-    """The whole build: strict scan, packed dates, contracts, history, publish."""
+def flat_rows(t: Tables) -> DataFrame:
+    """Periods as a delivered file holds them, with packed dates."""
 
     def packed(col: str):
         day = F.col(col)
         era = F.concat(F.lpad((F.year(day) - 1911).cast("string"), 3, " "), F.date_format(day, "MMdd"))
         return F.when(day == F.lit("9999-12-31").cast("date"), "9991231").otherwise(era)
 
-    flat = t["periods"].join(t["items"].select("code", "name_en"), "code").select(
+    return t["periods"].join(t["items"].select("code", "name_en"), "code").select(
         "code", "name_en", F.col("price_raw").alias("price"), packed("start_date").alias("start"),
         packed("end_date").alias("end"), F.col("ord").alias("row_no"),
     )
-    scanned = scans.scan_csv_strict(t.spark, written_csv(flat, "flat"), FLAT, blanks=True)
+
+
+@query(
+    "k09_build_master",
+    """SELECT p.code, i.name_en, row_number() OVER (PARTITION BY p.code ORDER BY start_date, end_date, p.ord) AS seq,
+              strftime(start_date, '%Y-%m-%d') AS start_date, strftime(end_date, '%Y-%m-%d') AS end_date, price_raw
+       FROM {periods} p JOIN {items} i USING (code)""",
+)
+def k09(t: Tables):
+    """The whole build: strict scan, packed dates, contracts, history, publish."""
+    scanned = scans.scan_csv_strict(t.spark, written_csv(flat_rows(t), "flat"), FLAT, blanks=True)
     rows = cut(
         scanned.select(
             "code", "name_en", F.col("price").alias("price_raw"), era_packed_date(F.col("start")).alias("start_date"),
