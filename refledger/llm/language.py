@@ -99,7 +99,7 @@ def judge(text: str | None, model: Model, compressors: Sequence[zstandard.ZstdCo
     return model.languages[best], min(1.0, max(0.0, margin)), len(plain)
 
 
-def identify(text: Column, model: Model, min_margin: float = 0.01, min_evidence: int = 200) -> Column:
+def identify(text: Column, model: Model, min_margin: float = 0.01, min_evidence: int = 500) -> Column:
     """Struct of `lang`, `score` (the margin, from 0 to 1), `evidence` (bytes) and `rejected` for a text.
 
     Rejected are texts without a letter, and texts with at least `min_evidence` bytes of letters whose margin
