@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session. A local folder serves only a local master, as in tests."""
+    """`spark.checkpoint.dir` of the session; where it is unset, a local master, as in tests, gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
@@ -20,8 +20,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def workspace(spark: SparkSession) -> str:
+    """The application's own folder within the shared one."""
+    return f"{shared_folder(spark)}/refledger-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Drop all tables that this application has written on its way; DataFrames that read them end with it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(workspace(spark))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -140,3 +140,20 @@ def test_another_schema_is_other_content(spark, tmp_path):
         with pytest.raises(ValueError):
             publish(other, path, "v1")
     assert publish(rows.select("id"), path, "v1", on_conflict="replace") == "replaced"
+
+
+def test_written_tables_are_dropped(spark):
+    """In a session of its own setting: other tests still read theirs."""
+    import os
+
+    from refledger.sources import workspace
+
+    own = workspace.workspace
+    try:
+        workspace.workspace = lambda spark: own(spark) + "-alone"
+        path = workspace.fresh_path(spark, "t")
+        spark.range(3).write.parquet(path)
+        assert os.path.isdir(path.removeprefix("file:"))
+        assert workspace.clear(spark) and not os.path.exists(path.removeprefix("file:"))
+    finally:
+        workspace.workspace = own
