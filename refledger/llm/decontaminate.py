@@ -26,6 +26,7 @@ from refledger.sources.workspace import cut
 
 NUMBER, NAME, UNIT, UNKNOWN, NOTHING = 1, 2, 3, 0, (1 << 24) - 1
 FIRST_WORD = 8
+MEMO = 50_000  # raw tokens whose codes a worker keeps at hand
 
 _IS_NUMBER, _IS_NAME, _IS_UNIT, _ENDS, _GLUED = 1, 2, 4, 8, 16
 
@@ -84,7 +85,7 @@ class Coder:
     def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Tokens that count, their template codes and their raw codes."""
         memo, tokens, starts = self.memo, [], []
-        if len(memo) > 1_000_000:
+        if len(memo) > MEMO:
             memo.clear()
         for line in text.split("\n"):
             starts.append(len(tokens))
@@ -261,8 +262,9 @@ def find_leaks(
         def run(batches: Iterator[pa.RecordBatch], wire=wire) -> Iterator[pa.RecordBatch]:
             index = wire.value
             for batch in batches:
-                rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_pylist([{"doc": d, **m} for d, t in rows for m in index.matches(t)], wire_schema)
+                # One text at a time becomes a Python string.
+                rows = zip(batch.column(0), batch.column(1))
+                yield pa.RecordBatch.from_pylist([{"doc": d.as_py(), **m} for d, t in rows for m in index.matches(t.as_py())], wire_schema)
 
         rows = named.mapInArrow(run, schema)
         found = rows if found is None else found.unionByName(rows)
