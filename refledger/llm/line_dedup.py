@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refledger.llm.common import by_ids, components, sized
+from refledger.llm.near_dup import _mixed, _powers
 from refledger.sources.workspace import cut
 
 
@@ -32,59 +34,90 @@ def allowed(length: Column, edits: int, per: int) -> Column:
     return F.least(F.lit(edits), F.floor(length / per)).cast("int")
 
 
-def _edge(length: Column, parts: int) -> Column:
-    """Size of a line's first and last segment: a multiple of four, so that lines of similar length have equal ones."""
-    even = F.floor(length / parts).cast("int")
-    return F.when(even >= 4, even - F.pmod(even, F.lit(4))).otherwise(even)
+def _segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start (from 0) and size of segment i (from 1) of lines of these lengths.
 
-
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i (from 1) of a line; those in the middle share what the ends leave."""
+    Of three or more segments the first and the last have a multiple of four characters, so that lines of similar
+    length have equal ones; those in the middle share the rest.
+    """
+    even = length // parts
     if parts < 3:
-        base = F.floor(length / parts).cast("int")
-        return (F.lit(0), base) if i < parts else ((i - 1) * base, length - (i - 1) * base)
-    edge = _edge(length, parts)
-    if i == 1:
-        return F.lit(0), edge
-    if i == parts:
-        return length - edge, edge
-    rest, inner = length - 2 * edge, parts - 2
-    base, longer = F.floor(rest / inner).cast("int"), F.pmod(rest, F.lit(inner))
-    short = inner - longer
-    start = edge + (i - 2) * base + F.greatest(F.lit(0), i - 2 - short)
-    return start.cast("int"), (base + F.when(F.lit(i - 1) > short, 1).otherwise(0)).cast("int")
-
-
-def _key(i: int, parts: int, length: Column, line: Column, at: Column, size: Column) -> Column:
-    """Key of a segment: its number, the length of the line it belongs to, and its content.
-
-    The first and the last segment lie at the line's ends whatever its length, and their size stands for it.
+        start = (i - 1) * even
+        return start, (even if i < parts else length - start)
+    edge = np.where(even >= 4, even - even % 4, even)
+    if i in (1, parts):
+        return (np.zeros_like(length) if i == 1 else length - edge), edge
+    base, longer = np.divmod(length - 2 * edge, parts - 2)
+    short = parts - 2 - longer
+    return edge + (i - 2) * base + np.maximum(0, i - 2 - short), base + (i - 1 > short)
+
+
+def _places(length: np.ndarray, edits: int, probe: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Segments to index, or substrings to probe with: number, start, size, and length of the line they belong to.
+
+    A line probes for lines that are shorter by 0 to `edits` characters. A match of segment i with i - 1 edits or
+    fewer before it, and no more than are left behind it, suffices: that bounds how far the substring can lie
+    from the segment's own place.
     """
-    of = [] if parts >= 3 and i in (1, parts) else [length]
-    return F.xxhash64(F.lit(i), *of, F.substr(line, at + 1, size))
-
-
-def index_keys(line: Column, length: Column, edits: int) -> Column:
     parts = edits + 1
-    return F.array(*[_key(i, parts, length, line, *_segment(length, i, parts)) for i in range(1, parts + 1)])
+    for less in range(edits + 1 if probe else 1):
+        target = length - less
+        for i in range(1, parts + 1):
+            start, size = _segment(target, i, parts)
+            shifts = range(max(1 - i, less - (parts - i)), min(i - 1, less + parts - i) + 1) if probe else (0,)
+            for shift in shifts:
+                yield i, start + shift, size, target
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of a line's substrings that may be a segment of a line shorter by 0 to `edits` characters.
+def keys_of(lines: list[str], edits: int, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of each line, and the number of the line that each belongs to.
 
-    A match of segment i with i - 1 edits or fewer before it, and no more than are left behind it, suffices:
-    that bounds how far the substring can lie from the segment's own place.
+    A key is a segment's number, its content, and the length of its line; for the first and the last of three or
+    more segments, which lie at the line's ends whatever its length, their size stands for it.
     """
-    parts, keys = edits + 1, []
-    for less in range(edits + 1):
-        target = length - less
-        for i in range(1, parts + 1):
-            start, size = _segment(target, i, parts)
-            for shift in range(max(1 - i, less - (parts - i)), min(i - 1, less + parts - i) + 1):
-                at = start + shift
-                fits = (at >= 0) & (at + size <= length) & (size > 0)
-                keys.append(F.when(fits, _key(i, parts, target, line, at, size)))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    data = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32)
+    length = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    begin = np.concatenate(([0], np.cumsum(length)))[:-1]
+    up, down = _powers(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
+    nothing = np.uint64(0xFFFFFFFFFFFFFFFF)
+    found = []
+    for i, start, size, target in _places(length, edits, probe):
+        fits = (start >= 0) & (start + size <= length) & (size > 0)
+        a = begin + np.where(fits, start, 0)
+        b = a + np.where(fits, size, 0)
+        of = size if edits >= 2 and i in (1, edits + 1) else target
+        hashed = _mixed((sums[b] - sums[a]) * down[a] + _mixed((of * (edits + 2) + i).astype(np.uint64)))
+        found.append(np.where(fits, hashed, nothing))
+    keys = np.sort(np.stack(found, axis=1), axis=1)
+    kept = keys != nothing
+    kept[:, 1:] &= keys[:, 1:] != keys[:, :-1]
+    return keys[kept].view(np.int64), np.repeat(np.arange(len(lines)), kept.sum(axis=1))
+
+
+def _postings(edits: int, probe: bool):
+    schema = pa.schema([("k", pa.int64()), ("lid", pa.int64())])
+
+    def some(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str]]]:
+        """Lines of a batch in portions of bounded size."""
+        ids, lines, size = [], [], 0
+        for lid, line in zip(batch.column(0), batch.column(1)):
+            ids.append(lid.as_py())
+            lines.append(line.as_py())
+            size += len(lines[-1])
+            if size >= 1 << 18:
+                yield ids, lines
+                ids, lines, size = [], [], 0
+        if lines:
+            yield ids, lines
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, lines in some(batch):
+                keys, owner = keys_of(lines, edits, probe)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(ids)[owner])], schema=schema)
+
+    return run
 
 
 def within(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) -> np.ndarray:
@@ -221,14 +254,14 @@ def similar_lines(told: DataFrame, *, edits: int = 2, per: int = 10, hot: int =
     smallest of them first, and after that only lines that are still unconnected and whose character parities
     allow it. The links are then fewer than all, but connect the same lines.
     """
-    some = told.where(F.col("n") >= per)
-    keys = lambda of: some.select(F.explode(of(F.col("line"), F.col("n"), edits)).alias("k"), "lid")
-    index = cut(_distinct(keys(index_keys)), "line-index")
+    some = told.where(F.col("n") >= per).select("lid", "line")
+    keys = lambda probe: some.mapInArrow(_postings(edits, probe), "k long, lid long")
+    index = cut(_distinct(keys(False)), "line-index")
     busy = cut(index.groupBy("k").agg(F.count("*").alias("m"), F.min("lid").alias("x")).where(F.col("m") > hot), "line-hot")
     # Of a busy key only the smallest line stands for all; its pairs keep the key.
     asked = index.join(sized(busy), "k", "left").where("m IS NULL OR lid = x")
     asked = asked.select("k", F.when(F.col("m").isNotNull(), F.col("k")).alias("of"), F.col("lid").alias("x"))
-    met = asked.join(_distinct(keys(probe_keys)).withColumnRenamed("lid", "y"), "k").where("x <> y")
+    met = asked.join(_distinct(keys(True)).withColumnRenamed("lid", "y"), "k").where("x <> y")
     met = cut(met.select("of", "x", "y").distinct(), "line-met")
     pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     links = cut(_verified(pairs, told, edits, per), "line-links")

@@ -383,3 +383,16 @@ def test_banded_automaton(cases):
     points = lambda t: np.frombuffer(t.encode("utf-32-le"), dtype=np.int32)
     got = line_dedup.within([(points(a), points(b)) for a, b, _ in cases], [k for *_, k in cases])
     assert got.tolist() == [helpers.levenshtein(a, b) <= k for a, b, k in cases]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab c", min_size=1, max_size=40), st.integers(0, 3), st.randoms(use_true_random=False))
+def test_lines_within_reach_share_a_key(line, edits, r):
+    other = list(line)
+    for _ in range(r.randrange(edits + 1)):
+        i = r.randrange(len(other) + 1)
+        other[i : i + r.randrange(2)] = r.choice(["x", "a", ""])
+    short, long = sorted((line, "".join(other)), key=len)
+    if len(short) > edits:
+        own, asked = (set(line_dedup.keys_of([t], edits, probe)[0].tolist()) for t, probe in ((short, False), (long, True)))
+        assert own & asked
