@@ -1,8 +1,9 @@
 """Benchmark decontamination by templates.
 
 Tokens become codes: numbers, names and units turn into typed placeholders, all else stays as it is in lower
-case. Windows of codes of the benchmark's items are looked up in the documents; hits on one diagonal (the same
-offset between document and item) belong to one alignment. An alignment whose slots are filled consistently,
+case. Windows of codes of the benchmark's items are looked up in the documents; a window with few literal words
+is widened until it holds enough of them. Hits on one diagonal (the same offset between document and item)
+belong to one alignment. An alignment whose slots are filled consistently,
 each value of the item by one value of the document and the other way round, is the item with new parameters.
 """
 
@@ -22,11 +23,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from refledger.llm.common import by_ids
+from refledger.llm.near_dup import _U64, _mixed, _powers
 from refledger.sources.workspace import cut
 
 NUMBER, NAME, UNIT, UNKNOWN, NOTHING = 1, 2, 3, 0, (1 << 24) - 1
 FIRST_WORD = 8
 MEMO = 50_000  # raw tokens whose codes a worker keeps at hand
+LEAST = 3  # literal words that the template of a whole item needs, where the item has fewer than a window asks for
 
 _IS_NUMBER, _IS_NAME, _IS_UNIT, _ENDS, _GLUED = 1, 2, 4, 8, 16
 
@@ -119,7 +122,8 @@ class Coder:
 def _windows(code: np.ndarray, raw: np.ndarray, width: int, literals: int) -> Iterator[tuple[int, tuple]]:
     """Position and key of every window whose tokens the benchmark may know.
 
-    A window with too few literal words would match anything of its shape, so its raw values are its key.
+    A window with too few literal words would match anything of its shape, so its raw values are its key; its
+    template is looked up within a stretch of `_stretches`.
     """
     if len(code) < width:
         return
@@ -134,6 +138,44 @@ def _windows(code: np.ndarray, raw: np.ndarray, width: int, literals: int) -> It
             yield int(i), (-1, *raw[i : i + width].tolist())
 
 
+def _stretches(code: np.ndarray, width: int, literals: int, whole: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and hash of all stretches that stand for windows with too few literal words.
+
+    From each such window's begin onwards, and from its end backwards, a stretch reaches just as far as it takes to
+    hold `literals` literal words; where it ends follows from the codes alone. Besides, stretches of the lengths
+    `whole` are those of items that have too few literal words in all. Only stretches of up to `longest` tokens that
+    the benchmark may know are returned.
+    """
+    none = np.empty(0, np.int64)
+    known = np.concatenate(([0], np.cumsum(code != UNKNOWN)))
+    n = len(code) - width + 1
+    wide = n > 0 and longest > width and bool((known[width:] - known[:n] == width).any())
+    whole = whole[whole <= len(code)]
+    if not wide and not len(whole):
+        return none, none, none
+    plain = np.concatenate(([0], np.cumsum(code >= FIRST_WORD)))
+    begins, ends = [none], [none]
+    if wide:
+        few = np.flatnonzero((plain[width:] - plain[:n] < literals) & (known[width:] - known[:n] == width))
+        # The first end with enough literal words behind a begin, and the last begin with enough before an end.
+        end = np.searchsorted(plain, plain[few] + literals, side="left")
+        begin = np.searchsorted(plain, plain[few + width] - literals, side="right") - 1
+        begins += [few[end <= len(code)], begin[begin >= 0]]
+        ends += [end[end <= len(code)], few[begin >= 0] + width]
+    for w in whole:
+        n = len(code) - w + 1
+        begins.append(np.flatnonzero((plain[w:] - plain[:n] >= LEAST) & (plain[w:] - plain[:n] < literals)))
+        ends.append(begins[-1] + w)
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    fits = (known[end] - known[begin] == end - begin) & (end - begin <= longest)
+    begin, end = begin[fits], end[fits]
+    if not len(begin):
+        return none, none, none
+    up, down = _powers(len(code))
+    sums = np.concatenate((np.zeros(1, _U64), np.cumsum(_mixed(code.astype(_U64) + _U64(1)) * up[: len(code)], dtype=_U64)))
+    return begin, end, _mixed((sums[end] - sums[begin]) * down[begin]).view(np.int64)
+
+
 @dataclass
 class Index:
     """Windows of a bounded part of the benchmark."""
@@ -141,35 +183,53 @@ class Index:
     coder: Coder
     items: list[tuple[object, list[str], np.ndarray, np.ndarray]]
     windows: dict[int, dict[tuple, list[tuple[int, int]]]]
+    stretches: dict[tuple[int, int], list[tuple[int, int]]]
+    whole: np.ndarray
+    longest: int
     width: int
     literals: int
 
     @staticmethod
     def of(rows: list[tuple[object, str]], width: int, literals: int) -> Index:
-        coder, items, windows = Coder(), [], defaultdict(lambda: defaultdict(list))
+        coder, items, windows, stretches, whole, longest = Coder(), [], defaultdict(lambda: defaultdict(list)), defaultdict(list), set(), 0
         for key, text in rows:
             tokens, code, raw = coder.tokens(text)
             if tokens:
                 w = min(width, len(tokens))
                 for i, k in _windows(code, raw, w, min(literals, w)):
                     windows[w][k].append((len(items), i))
+                n_plain = int((code >= FIRST_WORD).sum())
+                own = {len(tokens)} if LEAST <= n_plain < min(literals, len(tokens)) else set()
+                for i, end, h in set(zip(*(x.tolist() for x in _stretches(code, width, literals, np.array([*own], np.int64), 1 << 62)))):
+                    stretches[end - i, h].append((len(items), i))
+                    longest = max(longest, end - i)
+                whole |= own
                 items.append((key, tokens, code, raw))
         coder.learning = False
         coder.memo.clear()
-        return Index(coder, items, {w: dict(found) for w, found in windows.items()}, width, literals)
+        return Index(coder, items, {w: dict(found) for w, found in windows.items()}, dict(stretches), np.array(sorted(whole), np.int64), longest, width, literals)
 
     def matches(self, text: str) -> Iterator[dict]:
         """The leaked items of a text, each with its best alignment and the characters that it covers."""
         if not self.windows:
             return
         tokens, code, raw = self.coder.tokens(text)
-        covered: dict[tuple[int, int], set[int]] = defaultdict(set)
+        covered: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
         for w, index in self.windows.items():
             for at, key in _windows(code, raw, w, min(self.literals, w)):
                 for item, i in index.get(key, ()):
-                    covered[item, at - i].update(range(i, i + w))
+                    covered[item, at - i].add((i, i + w))
+        if self.stretches:
+            for at, end, h in zip(*(x.tolist() for x in _stretches(code, self.width, self.literals, self.whole, self.longest))):
+                for item, i in self.stretches.get((end - at, h), ()):
+                    if (self.items[item][2][i : i + end - at] == code[at:end]).all():
+                        covered[item, at - i].add((i, i + end - at))
         best: dict[int, tuple] = {}
-        for (item, shift), places in covered.items():
+        for (item, shift), ranges in covered.items():
+            places, reached = set(), 0
+            for lo, hi in sorted(ranges):
+                places.update(range(max(lo, reached), hi))
+                reached = max(reached, hi)
             _, words, codes, raws = self.items[item]
             enough = max(min(self.width, len(words)), min(20, -(-3 * len(words) // 5)))
             same = {i for i in places if raws[i] == raw[i + shift]}
@@ -235,7 +295,9 @@ def find_leaks(
 
     One row per document row and leaked item, of the item's best alignment. An item leaks if aligned tokens
     reach three fifths of it, or 20 tokens, and never fewer than a window; an item shorter than a window must
-    appear whole. `kind` is `exact` or `reparameterised`. Documents without a leak have no row. Null and
+    appear whole. With other parameters, aligned stretches hold `literals` literal words each; an item that has
+    only three in all must appear whole, and one that has fewer beside its slots is found with its own values only:
+    its template would match anything of its shape. `kind` is `exact` or `reparameterised`. Documents without a leak have no row. Null and
     empty texts of either table match nothing; repeated rows are judged each; an empty table gives no rows.
 
     The benchmark is dealt to parts of about `part_chars` characters and each part's windows travel with the

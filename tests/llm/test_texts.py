@@ -182,6 +182,32 @@ def test_slots_must_be_filled_consistently(spark):
     assert set(found) == {(0, 1)} and found[0, 1].changed == 10
 
 
+def test_leaks_dense_in_slots(spark):
+    """Few literal words in every window of eight, or in the whole item, under the parameters of the queries."""
+    items = [
+        (1, "then Anna gives Berta 2 and Carla 3 while Doris gives Emma 4 and Fanny 5"),
+        (2, "What is 3 times 4?"),
+        (3, "so 2 4 6 8 10 12 14 16 18 make one even row"),
+        (4, "11 22 33 44 55 66 77 88 99"),
+        (5, "take 1 2 3 4 from 5 6 7 8 giving 9"),
+    ]
+    texts = [
+        "Once then Xena gives Yara 8 and Zoe 9 while Vera gives Wilma 6 and Ulla 7 again",
+        "then Xena gives Xena 8 and Zoe 8 while Zoe gives Xena 8 and Ulla 7",
+        "Tell me: what is 12 times 70?",
+        "so 1 3 5 7 9 11 13 15 17 make one even row",
+        "here are 11 22 33 44 55 66 77 88 99 and 21 32 43 54 65 76 87 98 19",
+        "21 32 43 54 65 76 87 98 19",
+        "take 9 8 7 6 from 5 4 3 2 giving 1",
+        "1 2 3 4 " * 3000,
+    ]
+    found = leaks(spark, texts, items)
+    assert set(found) == {(0, 1), (2, 2), (3, 3), (4, 4), (6, 5)}
+    assert {k for k, r in found.items() if r.kind == "reparameterised"} == {(0, 1), (2, 2), (3, 3), (6, 5)}
+    assert found[2, 2].changed == 2 and found[2, 2].coverage == 1.0
+    assert found[3, 3].changed == 9 and found[3, 3].coverage == 1.0
+
+
 def test_leaks_of_nothing(spark):
     assert leaks(spark, ["some text"], items=[]) == {}
     assert leaks(spark, []) == {}
