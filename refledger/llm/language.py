@@ -35,6 +35,23 @@ def letters(text: str) -> bytes:
     return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf8", "replace")
 
 
+def shares(texts: Sequence[bytes], total: int) -> bytes:
+    """One text of at most `total` bytes from equal shares of all texts; what short ones leave goes to the longer ones.
+
+    A share is taken from the middle of its text, where headings and closing lines are not.
+    """
+    given, left = {}, total
+    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: (len(texts[i]), i))):
+        given[i] = max(0, min(len(texts[i]), left // (len(texts) - done) - 1))
+        left -= given[i] + 1
+    parts = []
+    for i, text in enumerate(texts):
+        at = (len(text) - given[i]) // 2
+        # Bytes of a letter that the cut has split are left out.
+        parts.append(text[at : at + given[i]].decode("utf8", "ignore").encode("utf8"))
+    return b" ".join(p for p in parts if p)
+
+
 def fit(
     rows: DataFrame,
     text: str = "text",
@@ -49,27 +66,29 @@ def fit(
 ) -> Model:
     """Dictionaries from a bounded sample of labelled rows.
 
-    The sample holds at most `docs_per_language` texts of up to `longest` characters per language, chosen by
-    a hash of their key: that bound, times the number of languages, is all that reaches the driver. Null
-    texts, null languages and texts without letters teach nothing. Of an empty table comes a model that
+    The sample holds at most `docs_per_language` texts per language, chosen by a hash of their key and text, and of
+    each one, whatever its length, the first `longest` characters of its words: that bound, times the number of
+    languages, is all that reaches the driver. A language is learned from `dictionary_bytes` of them, 32 KiB by
+    default, in equal shares of all its sampled texts. Null texts, null languages and texts without letters teach nothing. Of an empty table comes a model that
     calls every text unknown. A tie between languages goes to the one with more labelled rows.
     """
-    labelled = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    labelled = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    fits = F.length("text") <= longest
-    counts = {r["lang"]: (r["n"], r["m"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(fits).alias("m")).collect()}
-    order = sorted(counts, key=lambda g: (-counts[g][0], g))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    order = sorted(counts, key=lambda g: (-counts[g], g))
     if not order:
         return Model((), (), level, piece)
     # About four times as many rows as are wanted pass a threshold on the hash; the rest never leaves the scan.
-    share = F.create_map(*[F.lit(x) for g in order for x in (g, min(1.0, 4.0 * docs_per_language / max(1, counts[g][1])))])
-    near = labelled.where(fits & (F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)))
+    share = F.create_map(*[F.lit(x) for g in order for x in (g, min(1.0, 4.0 * docs_per_language / counts[g]))])
+    near = labelled.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    # What is no letter goes before the cut, so that every excerpt has letters.
+    near = near.withColumn("text", F.left(F.trim(F.regexp_replace("text", r"[^\p{L}\p{Nl}\p{No}]+", " ")), F.lit(longest)))
     w = Window.partitionBy("lang").orderBy("h", "text")
     sample = near.withColumn("i", F.row_number().over(w)).where(F.col("i") <= docs_per_language).select("lang", "i", "text").collect()
     texts: dict[str, list[tuple[int, bytes]]] = {g: [] for g in order}
     for r in sample:
         texts[r["lang"]].append((r["i"], letters(r["text"])))
-    learned = [(g, b" ".join(t for _, t in sorted(texts[g]))[:dictionary_bytes]) for g in order]
+    learned = [(g, shares([t for _, t in sorted(texts[g])], dictionary_bytes)) for g in order]
     # Content of under eight bytes cannot serve as a dictionary.
     learned = [(g, content) for g, content in learned if len(content) >= 8]
     return Model(tuple(g for g, _ in learned), tuple(content for _, content in learned), level, piece)

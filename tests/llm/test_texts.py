@@ -57,6 +57,26 @@ def test_language_edges(spark, documents):
     assert {r.doc_id for r in kept.collect()} == {i for i, f in found.items() if not f.rejected}
 
 
+def test_language_of_long_texts_only(spark, documents):
+    """A language of which every labelled text is long is learned, and from all of its sampled texts."""
+    rows = documents.where("lang IN ('en', 'de')").select("doc_id", "text", "lang")
+    once = {r.lang: r.t for r in rows.groupBy("lang").agg(F.concat_ws(" ", F.collect_list("text")).alias("t")).collect()}
+    long = F.when(F.col("lang") == "de", F.concat(F.repeat(F.lit("0" * 99 + " "), 300), F.repeat(F.concat("text", F.lit(" ")), 60))).otherwise(F.col("text"))
+    model = language.fit(rows.withColumn("text", long))
+    assert set(model.languages) == {"en", "de"}
+    compressors = language._compressors(model)
+    assert {g: language.judge(t[-4000:], model, compressors)[0] for g, t in once.items()} == {"en": "en", "de": "de"}
+
+
+def test_dictionaries_are_equal_shares():
+    texts = [bytes([97 + i]) * n for i, n in enumerate((50_000, 10, 30_000, 40_000))]
+    made = language.shares(texts, 3_000)
+    held = [made.count(bytes([97 + i])) for i in range(4)]
+    assert len(made) <= 3_000 and held[1] == 10 and min(held[0], *held[2:]) > 980 and max(held) - min(held[0], *held[2:]) <= 2
+    assert language.shares([], 100) == b"" and language.shares([b"", b"ab"], 100) == b"ab"
+    assert language.shares(["é".encode() * 50], 52).decode("utf8") == "é" * 25
+
+
 def test_language_of_nothing(spark, documents):
     empty = documents.limit(0)
     model = language.fit(empty)
