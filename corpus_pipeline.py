@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refledger.llm import decontaminate, language, mixing, near_dup, shards
-from refledger.llm.common import by_ids, first_of_id, table
+from refledger.llm.common import by_ids, numbered_texts, table
 from refledger.sources.workspace import cut
 
 
@@ -19,10 +19,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    found = near_dup.near_duplicates(docs, shingle=5, num=80, den=100)
-    dropped = cut(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped-ids")
-    return first_of_id(by_ids(docs, dropped, "doc_id", "left_anti"), "doc_id").select(*docs.columns)
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Rows that share an id, or have none, are documents of their own if their texts differ; in a group, documents with
+    an id of their own go before them.
+    """
+    named = numbered_texts(docs, "doc_id", "text", "__number")
+    found = near_dup.near_duplicates(named, "__number", shingle=5, num=80, den=100)
+    dropped = cut(found.where(~F.col("kept")).select("__number").distinct(), "dropped-ids")
+    return by_ids(named, dropped, "__number", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

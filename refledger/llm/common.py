@@ -37,12 +37,20 @@ def by_ids(docs: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> Da
     return docs.join(sized(ids), on, how)
 
 
-def first_of_id(docs: DataFrame, key: str) -> DataFrame:
-    """One row per id; rows without an id stay. Only ids that really repeat are shuffled with their texts."""
+def numbered_texts(docs: DataFrame, key: str, text: str, number: str) -> DataFrame:
+    """One row per id and text, with a `number` of its own; all columns must be orderable.
+
+    A row whose id is its alone is numbered by that id. Rows that share an id or have none are numbered by 62 bits of
+    a hash of id and text, above all smaller ids; of equal ones the smallest row stays. Only these are shuffled with
+    their texts.
+    """
     repeated = cut(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated-ids")
-    single = by_ids(docs, repeated, key, "left_anti")
-    several = by_ids(docs, repeated, key, "left_semi").dropDuplicates([key])
-    return single.unionByName(several.select(*single.columns))
+    alone = by_ids(docs, repeated, key, "left_anti").where(F.col(key).isNotNull())
+    shared = by_ids(docs, repeated, key, "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    by_hash = F.shiftrightunsigned(F.xxhash64(key, text), 2).bitwiseOR(F.lit(1 << 62))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    shared = shared.select(by_hash.alias(number), F.struct(*names).alias("r")).groupBy(number).agg(F.min("r").alias("r")).select("r.*", number)
+    return alone.withColumn(number, F.col(key).cast("long")).unionByName(cut(shared, "shared-ids"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -333,7 +333,11 @@ def find_leaks(
     return found.select(F.col("doc").alias(key), F.col("item").alias(item), "kind", "matched", "coverage", "changed", "start", "end")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents without a leaked item, with their own columns only."""
-    leaked = cut(find_leaks(docs, benchmark, key, **options).select(key).distinct(), "leaked-ids")
-    return by_ids(docs, leaked, key, "left_anti").select(*docs.columns)
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents without a leaked item, with their own columns only.
+
+    Leaked texts are told by their hash, whatever their id: rows without an id go as well, and other rows of an id stay.
+    """
+    named = docs.withColumn("__text", F.unhex(F.md5(F.col(text))))
+    leaked = cut(find_leaks(named, benchmark, "__text", text, **options).select("__text").distinct(), "leaked-texts")
+    return by_ids(named, leaked, "__text", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

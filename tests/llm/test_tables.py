@@ -252,6 +252,26 @@ def test_pipeline_edges(spark, edge):
     assert (rows.count() == 0) == (edge == "empty")
 
 
+def test_ids_do_not_stand_for_documents(spark):
+    """Rows of a shared id stay or go by their own texts, and a leak needs no id to go."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    plain = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    row = lambda i, text: (i, text, "en", "src0", len(text))
+    rows = [row(1, plain("a")), row(2, plain("b")), row(2, plain("c")), row(2, plain("a")), row(2, plain("c")), row(None, plain("d"))]
+    rows += [row(None, plain("d")), row(None, plain("e")), row(None, plain("b") + " more"), row(2, plain("f") + " " + leak), row(None, plain("g") + " " + leak)]
+    rows = spark.createDataFrame(rows, docs.schema)
+    near = corpus_pipeline.cut(corpus_pipeline.drop_near_duplicates(spark, rows, SF), "near")
+    kept = [(r.doc_id, r.text.split()[0][0]) for r in near.collect()]
+    assert sorted(x for _, x in kept) == list("abcdefg")
+    assert {(1, "a"), (2, "c"), (None, "d"), (None, "e"), (2, "f"), (None, "g")} <= set(kept)
+    again = corpus_pipeline.drop_near_duplicates(spark, rows.repartition(7), SF).collect()
+    assert sorted(map(str, again)) == sorted(map(str, near.collect()))
+    clean = corpus_pipeline.drop_benchmark_leaks(spark, near, SF)
+    assert clean.columns == docs.columns
+    assert sorted(r.text[0] for r in clean.collect()) == list("abcde")
+
+
 # --- Registered queries ------------------------------------------------------------------------------------
 
 
