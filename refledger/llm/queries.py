@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refledger.llm import ann, decontaminate, language, line_dedup, mixing, near_dup, oracles, repeats, shards, token_count, url_graph
+from refledger.llm import ann, decontaminate, language, line_dedup, merkle, mixing, near_dup, oracles, repeats, shards, spelling
+from refledger.llm import token_count, token_files, url_graph
 from refledger.llm.common import table
+from refledger.sources.workspace import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +93,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lines")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), edits=2, per=10)
+
+
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query("op11_merkle", oracles.manifest())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = merkle.record_digest([F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in FIELDS])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, changed)
+    proved = merkle.manifest(docs, FIELDS, also={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    told = proved.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_spelling", oracles.spelling())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query("op13_token_orc")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fresh_path(spark, "token-ids")
+    token_files.write_ids(table(spark, sf_dir, "documents"), files)
+    return token_files.read_ids(spark, files).select("doc_id", "start", "n_tokens", token_files.ids_crc32(F.col("ids")).alias("ids_crc32"))

@@ -97,6 +97,16 @@ def _split(chunk: int, overlap: int):
     return run
 
 
+def stable_pieces(text: str, size: int) -> Iterator[str]:
+    """A text in pieces of about `size` characters that are encoded apart, cut where no token can run across."""
+    start = 0
+    while start < len(text):
+        place = _STABLE.search(text, start + size)
+        end = place.start() if place else len(text)
+        yield text[start:end]
+        start = end
+
+
 def stable_ends(text: str, ids: list[int], lengths: np.ndarray, lo: int, hi: int) -> tuple[list[int], list[int]]:
     """Stable places from character lo to hi, and the number of tokens before each of them."""
     places = [m.start() for m in _STABLE.finditer(text, max(1, lo), max(1, hi))]
