@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from refledger.functions.text import same_without_ws
 from refledger.operators import history
 from refledger.operators.prefix import block, numbered
+from refledger.operators.words import held_words
 
 
 def violations(rows: DataFrame, check_id: str, dataset: str, key: Column, detail: Column) -> DataFrame:
@@ -169,8 +170,17 @@ def expect_nonempty(df: DataFrame, cols: Sequence[str], dataset: str, key: Seque
     return expect_valid(df, rules, dataset, key).withColumn("check_id", F.lit("nonempty"))
 
 
-def expect_absent(df: DataFrame, cols: Sequence[str], words: Sequence[str], dataset: str, key: Sequence[str]) -> DataFrame:
-    """Words that must occur in none of the columns, letter case counting."""
+# Words of a sequence that may stand in the plan; more of them become a table.
+FEW_WORDS = 32
+
+
+def expect_absent(df: DataFrame, cols: Sequence[str], words: Sequence[str] | DataFrame, dataset: str, key: Sequence[str]) -> DataFrame:
+    """Words that must occur in none of the columns, letter case counting; a table of words has a column `word`."""
+    if not isinstance(words, DataFrame) and len(words) > FEW_WORDS:
+        words = df.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    if isinstance(words, DataFrame):
+        found = held_words(df.select(_key(key).alias("k"), *cols), cols, words)
+        return violations(found.select("k", F.explode("held").alias("word")), "absent", dataset, F.col("k"), F.col("word"))
     pairs = F.array(*[F.struct(F.lit(w).alias("word"), F.col(c).alias("text")) for w in words for c in cols])
     found = F.array_distinct(F.transform(F.filter(pairs, lambda p: F.contains(p.text, p.word)), lambda p: p.word))
     rows = df.select(_key(key).alias("k"), F.explode(found).alias("word"))

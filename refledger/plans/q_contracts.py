@@ -143,6 +143,38 @@ def h12(t: Tables):
     return contracts.expect_absent(t["items"], ["ingredient", "name_en", "name_zh"], words, "items", ["code"])
 
 
+# Word lists as tables that grow with the data: words of the benchmark, and of two columns of parts.
+LISTED_SQL = "SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM {benchmark}) WHERE length(w) >= 4"
+PART_WORDS_SQL = "SELECT DISTINCT p_type AS word FROM {part} UNION SELECT DISTINCT p_brand FROM {part} UNION SELECT DISTINCT p_name FROM {part} WHERE p_partkey % 9 = 0"
+
+
+def listed(t: Tables):
+    words = t["benchmark"].select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("word"))
+    return words.where(F.length("word") >= 4).distinct()
+
+
+@query(
+    "h11_forbidden_word_table",
+    f"""WITH w AS ({LISTED_SQL}) SELECT 'absent' AS check_id, 'documents' AS dataset, CAST(doc_id AS STRING) AS key, word AS detail
+        FROM {{documents}} JOIN w ON contains(text, word)""",
+)
+def h11_table(t: Tables):
+    """Every word of the benchmark that a document holds, also inside a longer word."""
+    return contracts.expect_absent(t["documents"], ["text"], listed(t), "documents", ["doc_id"])
+
+
+@query(
+    "h12_absent_word_table",
+    f"""WITH w AS ({PART_WORDS_SQL}) SELECT 'absent' AS check_id, 'items' AS dataset, code AS key, word AS detail FROM {{items}} JOIN w
+        ON contains(ingredient, word) OR contains(name_en, word) OR contains(name_zh, word)""",
+)
+def h12_table(t: Tables):
+    part = t["part"]
+    names = part.where("p_partkey % 9 = 0").select("p_name")
+    words = part.select("p_type").union(part.select("p_brand")).union(names).toDF("word")
+    return contracts.expect_absent(t["items"], ["ingredient", "name_en", "name_zh"], words, "items", ["code"])
+
+
 @query(
     "h13_framed_blocks",
     """SELECT 'framed' AS check_id, 'documents' AS dataset, CAST(doc_id AS STRING) || '|' || CAST(ord AS STRING) AS key, rule AS detail FROM (

@@ -8,6 +8,7 @@ from refledger.functions.mentions import ITEM_UNITS, UNIT_ORDER, distinct_first,
 from refledger.functions.numbers import plain_number
 from refledger.functions.text import classify, generics
 from refledger.operators import facets, lookup, reconcile
+from refledger.operators.words import label_rows
 from refledger.plans.bindings import DATASET
 from refledger.plans.registry import Tables, query
 
@@ -94,6 +95,21 @@ def b17(t: Tables):
     return t["items"].select("code", F.explode(classify(F.col("ingredient"), CLASSES, OTHER)).alias("label"))
 
 
+@query(
+    "b17_labels_of_a_table",
+    """WITH l AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS label, upper(p_name) AS word FROM {part}
+                  UNION SELECT lower(p_type), upper(p_type) FROM {part} WHERE p_size % 2 = 0 AND p_type <> 'PROMO'),
+            f AS (SELECT DISTINCT code, label FROM {items} JOIN l ON contains(upper(ingredient), word))
+       SELECT code, label FROM f UNION ALL SELECT code, 'other' FROM {items} WHERE code NOT IN (SELECT code FROM f)""",
+)
+def b17_table(t: Tables):
+    """Classes whose names are rows: a part's name under its first word, and types."""
+    part = t["part"]
+    names = part.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("label"), F.upper("p_name").alias("word"))
+    types = part.where("p_size % 2 = 0 AND p_type <> 'PROMO'").select(F.lower("p_type"), F.upper("p_type"))
+    return label_rows(t["items"], "ingredient", names.union(types), OTHER).select("code", "label")
+
+
 @query(
     "b18_generic_names",
     """SELECT DISTINCT code, unnest(regexp_extract_all(upper(ingredient), '[A-Z]+ RING|PROMO')) AS name FROM {items}""",
