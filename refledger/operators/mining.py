@@ -88,24 +88,23 @@ DETECTORS: tuple[Detector, ...] = (
 )
 
 
-def _spans(hits: Column, gaps: Column, detector: Detector, today: Column, announced: Column) -> Column:
-    """Hits with offsets. A hit starts after all gaps up to it and all hits before it."""
-
-    def span(raw: Column, i: Column) -> Column:
-        start = F.length(F.array_join(F.slice(gaps, F.lit(1), i + 1), "")) + F.length(
-            F.array_join(F.slice(hits, F.lit(1), i), "")
-        )
-        facet = detector.facet(raw, today, announced)
-        return F.struct(
-            start.alias("start"),
-            (start + F.length(raw)).alias("end"),
-            F.lit(detector.kind).alias("kind"),
-            raw.alias("raw"),
-            facet["value"].alias("value"),
-            facet["label"].alias("label"),
-        )
-
-    return F.transform(hits, span)
+def sums_before(values: Column) -> Column:
+    """Per element of an array of lengths, the sum of those before it.
+
+    The array is folded in rows of about its root, so a long one costs little more than its length.
+    """
+
+    def run(part: Column, start: Column) -> Column:
+        first = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(part, first, step)["out"]
+
+    width = F.ceil(F.sqrt(F.size(values))).cast("int")
+    places = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int"))
+    rows = F.transform(places, lambda i: F.slice(values, i * width + 1, width))
+    totals = F.transform(rows, lambda row: F.aggregate(row, F.lit(0), lambda acc, v: acc + v))
+    blocked = F.flatten(F.zip_with(rows, run(totals, F.lit(0)), run))
+    return F.when(F.size(values) < 2, F.transform(values, lambda v: F.lit(0))).otherwise(blocked)
 
 
 def detect(
@@ -115,48 +114,99 @@ def detect(
     announced: str,
     detectors: Sequence[Detector] = DETECTORS,
 ) -> DataFrame:
-    """Add `hits`, all detectors' spans in order of priority, valid or not."""
-    found = requests
-    for i, d in enumerate(detectors):
-        found = found.withColumns(
-            {
-                f"__hit{i}": F.regexp_extract_all(F.col(text), F.lit(d.pattern), 0),
-                f"__gap{i}": F.split(F.col(text), d.pattern, -1),
-            }
-        )
-    spans = [
-        _spans(F.col(f"__hit{i}"), F.col(f"__gap{i}"), d, F.col(today), F.col(announced))
-        for i, d in enumerate(detectors)
-    ]
-    return computed(found.select(*requests.columns, F.concat(*spans).alias("hits")))
+    """Add `hits`, all detectors' spans in order of priority, valid or not, each detector's in text order."""
+    here = range(len(detectors))
+
+    def length_of(i: int) -> Column:
+        """Lengths of a detector's hits, each with the gap before it."""
+        return F.transform(f"__hit{i}", lambda raw, n: F.length(F.get(f"__gap{i}", n)) + F.length(raw))
+
+    def spans(i: int) -> Column:
+        d = detectors[i]
+
+        def span(raw: Column, n: Column) -> Column:
+            end = F.get(F.col("__at")[i], n) + F.get(F.col("__len")[i], n)
+            facet = d.facet(raw, F.col(today), F.col(announced))
+            return F.struct(
+                (end - F.length(raw)).alias("start"),
+                end.alias("end"),
+                F.lit(d.kind).alias("kind"),
+                raw.alias("raw"),
+                facet["value"].alias("value"),
+                facet["label"].alias("label"),
+                F.lit(i).alias("rank"),
+            )
+
+        return F.transform(f"__hit{i}", span)
+
+    found = requests.withColumns({f"__hit{i}": F.regexp_extract_all(F.col(text), F.lit(detectors[i].pattern), 0) for i in here})
+    found = found.withColumns({f"__gap{i}": F.split(F.col(text), detectors[i].pattern, -1) for i in here})
+    found = computed(found).withColumn("__len", F.array(*map(length_of, here)))
+    found = computed(computed(found).withColumn("__at", F.transform("__len", sums_before)))
+    return computed(found.select(*requests.columns, F.concat(*map(spans, here)).alias("hits")))
 
 
 def drop_invalid(hits: Column) -> Column:
     return F.filter(hits, lambda s: s["value"].isNotNull())
 
 
-def resolve_spans(hits: Column) -> Column:
-    """Keep each hit that overlaps none kept before it; the result is in text order."""
-    kept = F.reduce(
-        hits,
-        F.filter(hits, lambda s: F.lit(False)),
-        lambda acc, s: F.when(
-            F.exists(acc, lambda k: (s["start"] < k["end"]) & (k["start"] < s["end"])), acc
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    return F.array_sort(kept)
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once: each mention of a binary column within a lambda would copy it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def resolve_spans(hits: Column, text: Column, ranks: int = len(DETECTORS)) -> Column:
+    """Keep each hit that overlaps none kept before it; the result is in text order. `hits` is a computed column.
+
+    Hits of one rank, that is of one detector, never overlap each other. So ranks are swept one after another over a
+    cover, a text of one byte a character that marks what earlier ranks hold: a hit reads and paints its own stretch only,
+    and a line costs its length and its hits for every rank.
+    """
+
+    def painted(cover: Column, own: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            since = F.coalesce(F.get(own, i - 1)["end"], F.lit(0))
+            return F.concat(F.substring(cover, since + 1, s["start"] - since).cast("string"), F.repeat(F.lit("1"), s["end"] - s["start"]))
+
+        since = F.try_element_at(own, F.lit(-1))["end"]
+        tail = F.substring(cover, since + 1, F.octet_length(cover)).cast("string")
+        whole = F.concat(F.array_join(F.transform(own, piece), ""), tail).cast("binary")
+        return F.when(F.size(own) > 0, whole).otherwise(cover)
+
+    def sweep(acc: Column, r: Column) -> Column:
+        def free(s: Column) -> Column:
+            return F.instr(F.substring(acc["cover"], s["start"] + 1, s["end"] - s["start"]).cast("string"), "1") == 0
+
+        def kept(own: Column) -> Column:
+            return F.struct(F.concat(acc["kept"], own).alias("kept"), painted(acc["cover"], own).alias("cover"))
+
+        return _held(F.filter(hits, lambda s: (s["rank"] == r) & free(s)), kept)
+
+    cover = F.repeat(F.lit("0"), F.length(text)).cast("binary")
+    start = F.struct(F.filter(hits, lambda s: F.lit(False)).alias("kept"), cover.alias("cover"))
+    swept = F.aggregate(F.array(*map(F.lit, range(ranks))), start, sweep)["kept"]
+    return F.when(F.size(hits) > 1, F.array_sort(swept)).otherwise(hits)
+
+
+def residual(text: Column, wide: Column, spans: Column) -> Column:
+    """The text less its spans, each replaced by a space, whitespace collapsed.
+
+    Pieces are cut from `wide`, a computed column with the text at four bytes a character (UTF-32), where a place is found
+    without counting up to it.
+    """
 
+    def pieces(held: Column) -> Column:
+        def cut_at(since: Column, length: Column) -> Column:
+            return F.decode(F.substring(held, 4 * since + 1, 4 * length), "UTF-32")
 
-def residual(text: Column, spans: Column) -> Column:
-    """The text less its spans, each replaced by a space, whitespace collapsed."""
+        def piece(s: Column, i: Column) -> Column:
+            since = F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+            return cut_at(since, s["start"] - since)
 
-    def piece(s: Column, i: Column) -> Column:
-        from_ = F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
-        return F.substring(text, from_ + 1, s["start"] - from_)
+        since = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
+        return F.concat(F.transform(spans, piece), F.array(cut_at(since, F.length(text) - since)))
 
-    tail_from = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0))
-    tail = F.substring(text, tail_from + 1, F.length(text))
-    return collapse(F.array_join(F.concat(F.transform(spans, piece), F.array(tail)), " "))
+    return F.when(F.size(spans) > 0, collapse(F.array_join(_held(wide, pieces), " "))).otherwise(collapse(text))
 
 
 def last_of(spans: Column, kind: str) -> Column:
@@ -178,16 +228,17 @@ def mine(
 ) -> DataFrame:
     """Requests with `spans`, the residual `search_text`, and the controls the line implies."""
     hits = detect(requests, text, today, announced, detectors).withColumn("hits", drop_invalid(F.col("hits")))
-    spans = computed(hits).withColumn("spans", resolve_spans(F.col("hits"))).drop("hits")
-    return computed(spans).withColumns(
+    spans = computed(hits).withColumn("spans", resolve_spans(F.col("hits"), F.col(text), len(detectors))).drop("hits")
+    mined = computed(spans.withColumn("__wide", F.encode(F.col(text), "UTF-32")))
+    return mined.withColumns(
         {
-            "search_text": residual(F.col(text), F.col("spans")),
+            "search_text": residual(F.col(text), F.col("__wide"), F.col("spans")),
             "dose_key": last_of(F.col("spans"), "dose")["value"],
             "dose_label": last_of(F.col("spans"), "dose")["label"],
             "filter": last_of(F.col("spans"), "announcement")["value"],
             "mined_as_of": last_of(F.col("spans"), "date")["value"],
         }
-    )
+    ).drop("__wide")
 
 
 def plain_lines(requests: DataFrame, text: str, detectors: Sequence[Detector] = DETECTORS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from refledger.operators import mining
 from refledger.operators.screen import search_page
+from refledger.operators.stage import computed
 from refledger.plans.bindings import DATASET
 from refledger.plans.registry import Tables, query
 
@@ -76,8 +77,8 @@ def j03(t: Tables):
 def f10(t: Tables):
     """Spans that survive the priority of detectors."""
     hits = mining.detect(t["request_log"], *ARGS)
-    kept = mining.resolve_spans(mining.drop_invalid(F.col("hits")))
-    return _plain(hits.select("request_id", F.inline(kept)))
+    valid = computed(hits.withColumn("hits", mining.drop_invalid(F.col("hits"))))
+    return _plain(valid.select("request_id", F.inline(mining.resolve_spans(F.col("hits"), F.col("line")))))
 
 
 def _spans(t: Tables):
