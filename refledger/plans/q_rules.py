@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refledger.functions.truth import all_of, any_of, as_word, count_bounds, k_of_n, same_fact, tier_of_count
-from refledger.operators import rules
+from refledger.operators import bitrules, rules
 from refledger.plans.registry import Tables, query
 from refledger.plans.ruleset import RULES
+from refledger.sources.workspace import cut
 
 SUBJECT = ["user_id", "week"]
 
@@ -233,8 +234,7 @@ def i12(t: Tables):
     return rules.label_answers(answers(t), labels).select(*SUBJECT, "kind", "id", "label")
 
 
-@query(
-    "k07_stratify",
+K07_SQL = (
     MISSING_SQL
     + ", p AS ("
     + POSSIBLE_SQL
@@ -243,10 +243,12 @@ def i12(t: Tables):
          SELECT x.user_id, x.week, CASE WHEN path IN ('criterion', 'count') THEN 'determined' ELSE 'undetermined' END AS status,
                 CASE path WHEN 'criterion' THEN (['a', 'b', 'c'])[y] WHEN 'count' THEN (['', '', '', 'many', 'one', 'none'])[lo] ELSE '' END AS tier_id,
                 COALESCE(possible, '') AS possible, COALESCE(missing, '') AS missing
-         FROM x LEFT JOIN pp ON pp.user_id = x.user_id AND pp.week = x.week LEFT JOIN mm ON mm.user_id = x.user_id AND mm.week = x.week""",
+         FROM x LEFT JOIN pp ON pp.user_id = x.user_id AND pp.week = x.week LEFT JOIN mm ON mm.user_id = x.user_id AND mm.week = x.week"""
 )
-def k07(t: Tables):
-    return assessed(t).select(
+
+
+def k07_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(
         *SUBJECT,
         "status",
         F.coalesce("tier_id", F.lit("")).alias("tier_id"),
@@ -255,6 +257,67 @@ def k07(t: Tables):
     )
 
 
+@query("k07_stratify", K07_SQL)
+def k07(t: Tables):
+    return k07_columns(assessed(t))
+
+
+@query("k07_stratify_on_bit_planes", K07_SQL)
+def k07_planes(t: Tables):
+    """The same assessment with the rules as data: bitmaps of answers, and one plan for rule sets of any size."""
+    return k07_columns(bitrules.stratify(t["subjects"], answers(t), RULES, SUBJECT))
+
+
+# A rule set that grows with the data: every part is a criterion, every brand of a tier a group.
+PART_RULES = "SELECT p_partkey AS ord, 't' || CAST(p_size % 3 AS STRING) AS tier_id, p_brand || '-t' || CAST(p_size % 3 AS STRING) AS group_id FROM {part}"
+
+
+@query(
+    "k07_rules_of_a_table",
+    f"""WITH c AS ({PART_RULES}), firsts AS (SELECT group_id, tier_id, MIN(ord) AS first, COUNT(*) AS n FROM c GROUP BY group_id, tier_id),
+       b AS (SELECT o_custkey, l_partkey AS ord, MAX(l_quantity) >= 45 AS yes, COUNT(*) AS lines FROM {{lineitem}} JOIN {{orders}} ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey),
+       g AS (SELECT o_custkey, c.group_id, SUM(lines) >= 2 AS need, BOOL_OR(yes) AS any_yes, COUNT(*) AS answered FROM b JOIN c ON c.ord = b.ord GROUP BY o_custkey, c.group_id),
+       v AS (SELECT k.c_custkey, f.tier_id, f.first, f.group_id, f.n, need, answered,
+                    CASE WHEN need = false OR (answered = f.n AND NOT any_yes) THEN false WHEN need AND any_yes THEN true END AS truth
+             FROM {{customer}} k CROSS JOIN firsts f LEFT JOIN g ON g.o_custkey = k.c_custkey AND g.group_id = f.group_id),
+       t AS (SELECT c_custkey, tier_id, CASE WHEN BOOL_OR(COALESCE(truth, false)) THEN true WHEN COUNT(truth) = COUNT(*) THEN false END AS truth FROM v GROUP BY c_custkey, tier_id),
+       y AS (SELECT c_custkey, MIN(tier_id) FILTER (truth) AS held, MIN(tier_id) FILTER (truth IS NULL) AS unknown FROM t GROUP BY c_custkey),
+       p AS (SELECT *, CASE WHEN held IS NOT NULL AND (unknown IS NULL OR unknown > held) THEN 'criterion' WHEN held IS NOT NULL THEN 'blocked'
+                            WHEN unknown IS NULL THEN 'count' ELSE 'open' END AS path FROM y),
+       s AS (SELECT t.c_custkey, t.tier_id FROM t JOIN p ON p.c_custkey = t.c_custkey WHERE t.truth IS NULL AND (path = 'open' OR (path = 'blocked' AND t.tier_id < held))),
+       m AS (SELECT v.c_custkey, SUM(CASE WHEN need IS NULL THEN 1 ELSE 0 END + CASE WHEN COALESCE(need, true) THEN v.n - COALESCE(answered, 0) ELSE 0 END) AS n
+             FROM v JOIN s ON s.c_custkey = v.c_custkey AND s.tier_id = v.tier_id WHERE v.truth IS NULL GROUP BY v.c_custkey),
+       r AS (SELECT v.c_custkey, arg_min(b.ord, v.first * 1000000000 + b.ord) AS ord FROM v JOIN p ON p.c_custkey = v.c_custkey AND p.held = v.tier_id AND path = 'criterion'
+             JOIN c ON c.group_id = v.group_id JOIN b ON b.o_custkey = v.c_custkey AND b.ord = c.ord AND b.yes WHERE v.truth GROUP BY v.c_custkey)
+       SELECT p.c_custkey, path, CASE path WHEN 'criterion' THEN held WHEN 'count' THEN 'rest' ELSE '' END AS tier_id, COALESCE(CAST(r.ord AS STRING), '') AS criterion_id,
+              CAST(CASE path WHEN 'open' THEN 1 WHEN 'blocked' THEN 1 ELSE 0 END + COALESCE((SELECT COUNT(*) FROM s WHERE s.c_custkey = p.c_custkey), 0) AS BIGINT) AS n_possible,
+              CAST(COALESCE(m.n, 0) AS BIGINT) AS n_missing
+       FROM p LEFT JOIN m ON m.c_custkey = p.c_custkey LEFT JOIN r ON r.c_custkey = p.c_custkey""",
+)
+def k07_table(t: Tables):
+    """Customers by what they bought: a large purchase of a part meets its criterion, two purchases in a group its prerequisite."""
+    own = t.sql(PART_RULES)
+    criteria = own.select(
+        "ord", F.col("ord").cast("string").alias("criterion_id"), "tier_id", "group_id", F.lit("h").alias("heading"),
+        F.col("group_id").alias("prerequisite"), F.concat(F.lit("part "), "ord").alias("text"),
+    )
+    tiers = t.spark.createDataFrame([(i + 1, x, i + 1, x, None) for i, x in enumerate(("t0", "t1", "t2", "rest"))], "ord long, tier_id string, order int, label string, count_rule string")
+    factors = t.spark.createDataFrame([], "ord long, factor_id string, text string, parent_id string, required int")
+    ruleset = bitrules.rules_of(tiers, criteria, factors, criterion_tiers=("t0", "t1", "t2"), measure=None, breaks=((0, "rest"),))
+    bought = t["lineitem"].join(t["orders"], F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("ord"))
+    bought = cut(bought.agg((F.max("l_quantity") >= 45).alias("answer"), F.count("*").alias("lines")), "purchases")
+    met = bought.select("c_custkey", F.lit("criterion").alias("kind"), F.col("ord").cast("string").alias("id"), "answer")
+    grouped = bought.join(own, "ord").groupBy("c_custkey", F.col("group_id").alias("id")).agg((F.sum("lines") >= 2).alias("answer"))
+    told = met.unionByName(grouped.select("c_custkey", F.lit("prerequisite").alias("kind"), "id", "answer"))
+    found = bitrules.stratify(t["customer"].select("c_custkey"), told, ruleset, ["c_custkey"])
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    return found.select(
+        "c_custkey", "path", F.coalesce("tier_id", F.lit("")).alias("tier_id"), F.coalesce("reason.criterion_id", F.lit("")).alias("criterion_id"),
+        F.when(F.col("possible").isNull(), 0).otherwise(count("possible")).cast("bigint").alias("n_possible"),
+        F.when(F.col("missing").isNull(), 0).otherwise(count("missing")).cast("bigint").alias("n_missing"),
+    )
+
+
 @query(
     "g06_next_question",
     MISSING_SQL + " SELECT user_id, week, kind, id FROM q QUALIFY row_number() OVER (PARTITION BY user_id, week ORDER BY o) = 1",
