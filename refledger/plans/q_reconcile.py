@@ -155,10 +155,21 @@ CODES_SQL = """
 """
 
 
-@query(
-    "d07_resolve_code_list",
-    CODES_SQL + "SELECT rule_id, pos, code, COALESCE(price_raw, 'unresolved') AS price_raw FROM c",
-)
+# Distinct (code, day) pairs first: each step is a table, and every join is on equal keys.
+RESOLVED_SQL = """
+    WITH r AS MATERIALIZED (SELECT rule_id, TRY_CAST(as_of AS DATE) AS day FROM {rule_requests} WHERE as_of BETWEEN '1995-06-01' AND '2001-12-31'),
+         l AS MATERIALIZED (SELECT rule_id, pos, code FROM {listed}),
+         s AS MATERIALIZED (SELECT code, start_date, end_date, price_raw FROM {periods}),
+         a AS MATERIALIZED (SELECT r.rule_id, r.day, l.pos, l.code FROM r JOIN l ON l.rule_id = r.rule_id WHERE r.day IS NOT NULL),
+         d AS MATERIALIZED (SELECT DISTINCT code, day FROM a),
+         h AS MATERIALIZED (SELECT d.code, d.day, MIN(price_raw) AS price_raw, COUNT(*) AS n FROM d JOIN s ON s.code = d.code
+               WHERE d.day >= s.start_date AND d.day <= s.end_date GROUP BY d.code, d.day)
+    SELECT a.rule_id, a.pos, a.code, CASE WHEN h.n = 1 THEN h.price_raw ELSE 'unresolved' END AS price_raw
+    FROM a LEFT JOIN h ON h.code = a.code AND h.day = a.day
+"""
+
+
+@query("d07_resolve_code_list", RESOLVED_SQL)
 def d07(t: Tables):
     codes = reconcile.exception_listing(t["rule_requests"], t["listed"], t["items"], t["periods"], DATASET)[1]
     return codes.select("rule_id", "pos", "code", F.coalesce("price_raw", F.lit("unresolved")).alias("price_raw"))

@@ -95,33 +95,50 @@ def a03(t: Tables):
     return found.select("check_id", "key", "detail")
 
 
+LINE_SQL = "CAST(c_custkey AS STRING) || '|' || c_name || '|' || c_mktsegment"
+
+
 @query(
     "a04_file_fingerprint",
-    """SELECT CAST(n_nationkey AS STRING) AS nation, sha256(n_name || chr(10) || CAST(n_regionkey AS STRING) || chr(10)) AS sha256,
-              CAST(strlen(n_name) + 3 AS BIGINT) AS bytes,
-              CASE n_nationkey WHEN 3 THEN 'sha256' WHEN 5 THEN 'bytes' WHEN 7 THEN 'not pinned' ELSE '' END AS finding FROM {nation}
-       UNION ALL SELECT '99', '', -1, 'missing' FROM {nation} WHERE n_nationkey = 0""",
+    f"""WITH f AS (SELECT c_custkey // 100 AS grp, string_agg({LINE_SQL} || chr(10), '' ORDER BY c_custkey) AS body FROM {{customer}} GROUP BY c_custkey // 100)
+        SELECT CAST(grp AS STRING) AS name, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS bytes,
+               CASE grp % 7 WHEN 3 THEN 'sha256' WHEN 5 THEN 'bytes' WHEN 6 THEN 'not pinned' ELSE '' END AS finding FROM f
+        UNION ALL SELECT 'lost', '', -1, 'missing'""",
 )
 def a04(t: Tables):
-    """Each nation written as a file of its own, and compared with pins of which four are wrong."""
-    path, n = fresh_path(t.spark, "nations"), t["nation"]
-    text = n.select("n_nationkey", F.concat_ws("\n", "n_name", F.col("n_regionkey").cast("string")).alias("value"))
-    text.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
-    files = scans.fingerprint(t.spark, f"{path}/*/*.txt", name=F.regexp_extract("path", "n_nationkey=([0-9]+)/", 1))
-    pins = text.select(
-        F.col("n_nationkey").cast("string").alias("name"),
-        F.when(F.col("n_nationkey") == 3, "x").otherwise(F.sha2(F.concat("value", F.lit("\n")), 256)).alias("sha256"),
-        (F.octet_length("value") + F.when(F.col("n_nationkey") == 5, 2).otherwise(1)).cast("bigint").alias("bytes"),
-    ).where("name <> '7'")
-    pins = pins.unionByName(pins.where("name = '0'").withColumn("name", F.lit("99")))
-    odd = scans.compare_fingerprints(files, pins)
-    told = files.join(odd, "name", "full")
+    """A file of every hundred customers, read in blocks, and compared with pins of which some are wrong."""
+    path = fresh_path(t.spark, "customers")
+    line = F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")
+    rows = t["customer"].select(F.floor(F.col("c_custkey") / 100).alias("grp"), "c_custkey", line.alias("value"))
+    dealt = rows.repartition("grp").sortWithinPartitions("grp", "c_custkey")
+    dealt.select("grp", "value").write.partitionBy("grp").text(path)
+    files = cut(scans.streamed_fingerprint(t.spark, f"{path}/*/*.txt", name=F.regexp_extract("path", "grp=([0-9]+)/", 1)), "fingerprints")
+    # Pins come from the rows, not from the files.
+    held = F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "value"))), lambda r: F.concat(r["value"], F.lit("\n")))
+    bodies = rows.groupBy("grp").agg(F.array_join(held, "").alias("body"))
+    pins = bodies.where("grp % 7 <> 6").select(
+        F.col("grp").cast("string").alias("name"), F.when(F.col("grp") % 7 == 3, "x").otherwise(F.sha2("body", 256)).alias("sha256"),
+        (F.octet_length("body") + F.when(F.col("grp") % 7 == 5, 1).otherwise(0)).cast("bigint").alias("bytes"),
+    )
+    pins = pins.unionByName(t.spark.range(1).select(F.lit("lost").alias("name"), F.lit("x").alias("sha256"), F.lit(1).cast("bigint").alias("bytes")))
+    told = files.join(scans.compare_fingerprints(files, pins), "name", "full")
     return told.select(
-        F.col("name").alias("nation"), F.coalesce("sha256", F.lit("")).alias("sha256"), F.coalesce("bytes", F.lit(-1).cast("bigint")).alias("bytes"),
+        "name", F.coalesce("sha256", F.lit("")).alias("sha256"), F.coalesce("bytes", F.lit(-1).cast("bigint")).alias("bytes"),
         F.coalesce("finding", F.lit("")).alias("finding"),
     )
 
 
+@query("a04_scale_factor_files")
+def a04_files(t: Tables):
+    """Every file of the scale factor: SHA-256 and size, a tree of its byte ranges, and whether a second way agrees."""
+    path = f"{t.sf_dir}/*.parquet"
+    name = F.regexp_extract("path", "([^/]+[.]parquet(/[^/]+)?)$", 1)
+    files = cut(scans.streamed_fingerprint(t.spark, path, name=name), "fingerprints")
+    trees = scans.file_trees(t.spark, path, chunk=1 << 20).select(name.alias("name"), "tree")
+    odd = scans.compare_fingerprints(files, scans.fingerprint(t.spark, path, name=name))
+    return files.join(trees, "name").join(odd, "name", "left").select("name", "sha256", "bytes", "tree", F.coalesce("finding", F.lit("")).alias("finding"))
+
+
 @query(
     "a05_dataset_digest",
     """SELECT conv_id, sha256(string_agg(sha256(text), '' ORDER BY lpad(CAST(turn AS STRING), 6, '0'))) AS digest, COUNT(*) AS n_files

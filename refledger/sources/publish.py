@@ -1,11 +1,19 @@
-"""Write-once publishing of dataset versions, and the test for drift."""
+"""Write-once publishing of dataset versions, and the test for drift.
+
+A version's files are written aside, complete, and then moved to their place in one step that fails if the place is
+taken. So readers see a version whole or not at all, of two writers one publishes, and a job that dies leaves nothing
+but files that no reader lists. A replaced version is moved aside before, and kept.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refledger.operators.contracts import stop_on_any
@@ -38,6 +46,31 @@ def read_version(df: DataFrame, path: str, version: str) -> DataFrame | None:
         raise
 
 
+def _move(spark: SparkSession, old: str, new: str) -> bool:
+    """Move a folder to a place that must be free; False if it is taken or the folder is gone."""
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs
+    source, target = fs.Path(old), fs.Path(new)
+    context = fs.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+    try:
+        context.rename(source, target, none)
+        return True
+    except Py4JJavaError as e:
+        # What is there now tells a lost race from a store that cannot move folders.
+        taken = context.util().exists(target) or not context.util().exists(source)
+        if taken:
+            return False
+        raise OSError(str(e.java_exception)) from e
+
+
+def _stage(rows: DataFrame, path: str, version: str) -> str:
+    """Write rows aside; names that start with an underscore are listed by no reader."""
+    staged = f"{path}/_staged/{version}-{uuid.uuid4().hex}"
+    rows.write.mode("errorifexists").parquet(staged)
+    return staged
+
+
 def publish(
     df: DataFrame,
     path: str,
@@ -50,25 +83,37 @@ def publish(
     """Publish a version once: "written", "unchanged", or "replaced".
 
     Any violation in `checks` stops it. Columns in `drop` are checked but not published. If the version
-    is there with other content, "refuse" raises and "replace" overwrites that version only.
+    is there with other content, "refuse" raises and "replace" puts the new rows in its place; the old ones
+    stay under `_replaced`. `df` may read from the version that it replaces. Of several writers of a version one
+    writes it, and the others find it there; of several that replace it one does, and the others are told.
     """
     if on_conflict not in ("refuse", "replace"):
         raise ValueError(f"unknown on_conflict {on_conflict}")
     if checks is not None:
         stop_on_any(checks)
-    rows = df.drop(*drop)
+    rows, spark = df.drop(*drop), df.sparkSession
     target = f"{path}/{VERSION}={version}"
-    there = read_version(rows, path, version)
+    there, staged = read_version(rows, path, version), None
     if there is None:
-        rows.write.mode("errorifexists").parquet(target)
-        return "written"
+        staged = _stage(rows, path, version)
+        if _move(spark, staged, target):
+            return "written"
+        # Another writer was first: its version counts like any that was there before.
+        there = read_version(rows, path, version)
     # Another schema is other content, whatever the rows.
     same = [(f.name, f.dataType) for f in there.schema] == [(f.name, f.dataType) for f in rows.schema]
     if same and not drift(there, rows).limit(1).collect():
         return "unchanged"
     if on_conflict == "refuse":
         raise ValueError(f"version {version} is published with other content")
-    rows.write.mode("overwrite").parquet(target)
+    staged = staged or _stage(rows, path, version)
+    aside = f"{path}/_replaced/{version}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_replaced")
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    if not _move(spark, target, aside):
+        raise ValueError(f"version {version} is being replaced by another writer")
+    if not _move(spark, staged, target):
+        raise ValueError(f"version {version} was published anew by another writer")
     return "replaced"
 
 

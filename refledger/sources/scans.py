@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refledger.operators.contracts import violations
+from refledger.sources.workspace import cut
 
 # --- Fixed values: the manifest's tag ------------------------------------------------------------
 MANIFEST_SCHEMA = "storage-manifest/v1"
@@ -126,6 +130,91 @@ def fingerprint(spark: SparkSession, path: str | Sequence[str], name: Column | N
     )
 
 
+CHUNK, FANOUT, BLOCK = 64 << 20, 1024, 4 << 20
+
+
+def _opened(path: str):
+    if path.startswith("file:"):
+        return LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    filesystem, place = FileSystem.from_uri(path)
+    return filesystem.open_input_file(place)
+
+
+def _hashed(stream, size: int) -> bytes:
+    """SHA-256 of the next `size` bytes, a block at a time."""
+    out, left = hashlib.sha256(), size
+    while left > 0:
+        block = stream.read(min(BLOCK, left))
+        if not block:
+            raise OSError("a file ended early")
+        out.update(block)
+        left -= len(block)
+    return out.digest()
+
+
+def _ranges_hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges (path, number, since, size) to their digests; a range is read in blocks."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            with _opened(row["path"]) as stream:
+                stream.seek(row["since"])
+                digest = _hashed(stream, row["size"])
+            yield pa.RecordBatch.from_pylist([{"path": row["path"], "number": row["number"], "sha256": digest}], pa.schema([("path", pa.string()), ("number", pa.int64()), ("sha256", pa.binary())]))
+
+
+def _tree(ranges: DataFrame, fanout: int) -> DataFrame:
+    """(path, tree): digests of a file's ranges, `fanout` of them at a time, until one is left; `top` is its last number."""
+    done, nodes, most = None, ranges, ranges.agg(F.max("top")).first()[0] or 0
+    while True:
+        parent = F.floor(F.col("number") / fanout).alias("number")
+        runs = F.transform(F.sort_array(F.collect_list(F.struct("number", "sha256"))), lambda n: F.lower(F.hex(n["sha256"])))
+        held = nodes.groupBy("path", parent).agg(F.unhex(F.sha2(F.array_join(runs, ""), 256)).alias("sha256"), F.floor(F.max("top") / fanout).alias("top"))
+        ended = held.where("top = 0").select("path", F.lower(F.hex("sha256")).alias("tree"))
+        done = ended if done is None else done.unionByName(ended)
+        nodes, most = held.where("top > 0"), most // fanout
+        if not most:
+            return done
+
+
+def listed_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Path and length of files; their content is not read. Spark lists no empty files."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+def file_trees(spark: SparkSession, path: str | Sequence[str], *, chunk: int = CHUNK, fanout: int = FANOUT) -> DataFrame:
+    """Per file: path, `bytes`, `tree`: a digest over the SHA-256 of its byte ranges, for files of any size.
+
+    Ranges of `chunk` bytes are tasks of their own, read in blocks, so one huge file keeps a whole cluster busy and no
+    task holds more than a block. Digests of `fanout` ranges are hashed into one until one is left.
+    The digest depends on `chunk` and `fanout`, so both belong to a pin.
+    """
+    files = cut(listed_files(spark, path), "file-list")
+    last = F.greatest(F.ceil(F.col("length") / chunk) - 1, F.lit(0))
+    ranges = files.select("path", "length", last.alias("top"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("number"))
+    since = F.col("number") * chunk
+    ranges = ranges.select("path", "top", "number", since.alias("since"), F.least(F.lit(chunk), F.col("length") - since).alias("size"))
+    # A few ranges a task, whatever files they are of.
+    parts = max(1, min(100_000, ranges.count()))
+    digests = ranges.repartition(parts, "path", "number").mapInArrow(_ranges_hashed, "path string, number long, sha256 binary")
+    digests = cut(digests, "range-digests").join(files.select("path", last.alias("top")), "path")
+    return files.join(_tree(digests, fanout), "path").select("path", F.col("length").alias("bytes"), "tree")
+
+
+def streamed_fingerprint(spark: SparkSession, path: str | Sequence[str], name: Column | None = None) -> DataFrame:
+    """The rows of `fingerprint` for files of any size: a file is read in blocks by one task, which never holds more.
+
+    SHA-256 runs from a file's first byte to its last, so a file is one task; `file_trees` splits files. The store must
+    be one that pyarrow opens (file, hdfs, s3, gs); elsewhere use `fingerprint`.
+    """
+    files = cut(listed_files(spark, path), "file-list")
+    whole = files.select("path", F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("since"), F.col("length").alias("size"))
+    parts = max(1, min(100_000, files.count()))
+    digests = whole.repartition(parts, "path").mapInArrow(_ranges_hashed, "path string, number long, sha256 binary")
+    own = F.element_at(F.split("path", "/"), -1) if name is None else name
+    told = files.join(digests, "path")
+    return told.select(own.alias("name"), F.lower(F.hex("sha256")).alias("sha256"), F.col("length").alias("bytes"))
+
+
 def compare_fingerprints(files: DataFrame, pinned: DataFrame) -> DataFrame:
     """(name, finding) of each file whose digest or size is not as pinned, is not pinned, or is missing.
 

@@ -92,3 +92,80 @@ def test_drift_counts_copies(spark):
 def test_exact_token_is_no_substring(spark):
     df = spark.createDataFrame([("2.6.1,3",), ("2.6.10",), ("12.6.1",)], "s string")
     assert [r.s for r in scans.filter_has_token(df, "s", ["2.6.1"]).collect()] == ["2.6.1,3"]
+
+
+# --- files of any size, and publishing that cannot be half done --------------------------------------
+
+
+def tree_of(body, chunk, fanout):
+    level = [hashlib.sha256(body[i : i + chunk]).hexdigest() for i in range(0, max(1, len(body)), chunk)]
+    while True:
+        level = [hashlib.sha256("".join(level[i : i + fanout]).encode()).hexdigest() for i in range(0, len(level), fanout)]
+        if len(level) == 1:
+            return level[0]
+
+
+def test_trees_and_streams(spark, tmp_path):
+    bodies = {"a b%20": b"x", "even": bytes(range(256)) * 4, "odd": bytes(range(251)) * 41}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    for chunk, fanout in ((256, 2), (100, 3), (1 << 20, 1024)):
+        got = {r.path.rsplit("/", 1)[1]: r for r in scans.file_trees(spark, str(tmp_path), chunk=chunk, fanout=fanout).collect()}
+        assert {n: (r.bytes, r.tree) for n, r in got.items()} == {n: (len(b), tree_of(b, chunk, fanout)) for n, b in bodies.items()}
+    streamed = sorted(tuple(r) for r in scans.streamed_fingerprint(spark, str(tmp_path)).collect())
+    assert streamed == sorted(tuple(r) for r in scans.fingerprint(spark, str(tmp_path)).collect())
+
+
+def test_a_file_over_two_gigabytes(spark, tmp_path):
+    """A sparse file, so it takes no room: three gigabytes of zeros with a few bytes at places that matter."""
+    path, size = tmp_path / "big", 3 << 30
+    with open(path, "wb") as f:
+        f.truncate(size)
+        for at in (0, (1 << 31) - 1, 1 << 31, size - 3):
+            f.seek(at)
+            f.write(b"abc")
+    due, level = hashlib.sha256(), []
+    with open(path, "rb") as f:
+        while block := f.read(256 << 20):
+            due.update(block)
+            level.append(hashlib.sha256(block).hexdigest())
+    (whole,) = scans.streamed_fingerprint(spark, str(path)).collect()
+    assert (whole.bytes, whole.sha256) == (size, due.hexdigest())
+    (tree,) = scans.file_trees(spark, str(path), chunk=256 << 20).collect()
+    assert (tree.bytes, tree.tree) == (size, hashlib.sha256("".join(level).encode()).hexdigest())
+
+
+def test_two_writers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(n):
+        try:
+            return publish(spark.range(n, n + 1000), str(tmp_path), "v1")
+        except ValueError as refused:
+            return str(refused)
+
+    with ThreadPoolExecutor(4) as pool:
+        said = list(pool.map(write, range(4)))
+    assert sorted(said)[-1] == "written" and sum(s == "written" for s in said) == 1
+    first = said.index("written")
+    assert {r.id for r in read_version(spark.range(1), str(tmp_path), "v1").collect()} == set(range(first, first + 1000))
+    assert spark.read.parquet(str(tmp_path)).count() == 1000
+
+
+def test_a_writer_that_fails_half_way(spark, tmp_path):
+    failing = spark.range(0, 100, 1, 4).withColumn("id", F.when(F.col("id") == 99, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="lost"):
+        publish(failing, str(tmp_path), "v1")
+    assert read_version(failing, str(tmp_path), "v1") is None
+    assert publish(spark.range(5), str(tmp_path), "v1") == "written"
+    with pytest.raises(Exception, match="lost"):
+        publish(failing, str(tmp_path), "v1", on_conflict="replace")
+    assert read_version(failing, str(tmp_path), "v1").count() == 5
+
+
+def test_a_version_made_from_the_one_it_replaces(spark, tmp_path):
+    assert publish(spark.range(5), str(tmp_path), "v1") == "written"
+    more = read_version(spark.range(1), str(tmp_path), "v1").unionByName(spark.range(5, 9))
+    assert publish(more, str(tmp_path), "v1", on_conflict="replace") == "replaced"
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path)).select("id").collect()) == list(range(9))
+    assert len(list((tmp_path / "_replaced").iterdir())) == 1
