@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from refledger.sources.workspace import cut
 
 SPLIT = 1 << 16  # texts of a gram that one part holds
+FEW_GRAMS = 1 << 20  # grams of three letters at most that may travel with every task
 
 # Normalised fields and terms hold no line feed, so it keeps the fields of a haystack apart.
 FIELD_SEP = "\n"
@@ -67,12 +68,14 @@ def search(queries: DataFrame, query: str, items: DataFrame, hay: str, *, phrase
         .withColumn("terms", terms_of(F.col("query")))
         .select("query", F.explode(F.array_distinct(F.when(has_trigram, trigrams).otherwise(F.col("terms")))).alias("gram"))
     )
-    # Grams are counted and then joined: they are made once, of texts that are spread before they fan out.
+    wanted = cut(wanted, "wanted-grams")
+    asked = cut(wanted.select("gram").distinct(), "asked-grams")
+    asked = F.broadcast(asked) if asked.count() <= FEW_GRAMS else asked
+    # Grams are counted and then joined: they are made once, of texts that are spread before they fan out, and only
+    # those that a query asks for are written.
     texts = items.select(F.col(hay).alias("hay")).repartition("hay").distinct()
-    posted = cut(postings(texts), "postings")
-    frequency = (
-        posted.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    )
+    posted = cut(postings(texts).join(asked, "gram", "left_semi"), "postings")
+    frequency = posted.groupBy("gram").agg(F.count("*").alias("n"))
     # A gram that no item holds rules its query out.
     rarest = (
         wanted.join(frequency, "gram", "left")
