@@ -17,6 +17,9 @@ from refledger.operators import history
 from refledger.operators.prefix import block, numbered
 from refledger.operators.words import held_words
 
+# Registers of a sketch, as a power of two.
+SKETCH = 12
+
 
 def violations(rows: DataFrame, check_id: str, dataset: str, key: Column, detail: Column) -> DataFrame:
     return rows.select(
@@ -82,10 +85,38 @@ def expect_invariant(df: DataFrame, key: str, cols: Sequence[str], dataset: str,
     return violations(differing, "invariant", dataset, F.col(key), detail)
 
 
-def expect_cardinality(df: DataFrame, cols: Sequence[str], n: int, dataset: str) -> DataFrame:
-    """Columns with more than n distinct values."""
+def _cells(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    cells = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in cols]
+    return df.select(*keys, F.inline(F.array(*cells)))
+
+
+def column_sketches(df: DataFrame, cols: Sequence[str], part: Sequence[str] = ()) -> DataFrame:
+    """Per part and column a sketch of its distinct values: (part columns, field, sketch).
+
+    Sketches of parts are kept with them and add up to that of the whole, so a new part costs a scan of itself. NULL is
+    no value. A sketch has 4,096 registers and a standard error of 1.6 %.
+    """
+    return _cells(df, cols, part).groupBy(*part, "field").agg(F.hll_sketch_agg("value", SKETCH).alias("sketch"))
+
+
+def far_below(sketches: DataFrame, n: int, margin: float = 0.1) -> list[str]:
+    """Columns whose merged sketch is below the bound by a margin of six standard errors."""
+    merged = sketches.groupBy("field").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+    return [r.field for r in merged.where(F.col("n") * (1 + margin) < n).collect()]
+
+
+def expect_cardinality(df: DataFrame, cols: Sequence[str], n: int, dataset: str, sketches: DataFrame | None = None) -> DataFrame:
+    """Columns with more than n distinct values.
+
+    With `sketches`, of `column_sketches`, a column that is far below the bound is not read; the others are counted.
+    """
+    if sketches is not None:
+        clear = set(far_below(sketches, n))
+        cols = [c for c in cols if c not in clear]
+    if not cols:
+        return violations(df.sparkSession.createDataFrame([], "field string, n long"), "cardinality", dataset, F.col("field"), F.col("n"))
     distinct = (
-        df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in cols])))
+        _cells(df, cols)
         .groupBy("field", "value")
         .agg(F.lit(1).alias("one"))
         .where("value IS NOT NULL")

@@ -9,6 +9,7 @@ from refledger.functions.text import is_code
 from refledger.operators import contracts, history
 from refledger.operators.lookup import drop_zero
 from refledger.plans.registry import Tables, query
+from refledger.sources.workspace import cut
 
 
 @query(
@@ -182,3 +183,19 @@ def e02(t: Tables):
 )
 def e15(t: Tables):
     return contracts.expect_cardinality(t["part"], ["p_brand", "p_type", "p_name"], 20, "part")
+
+
+WIDE = ("l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey", "l_partkey", "l_orderkey")
+
+
+@query(
+    "e15_cardinality_by_sketches",
+    " UNION ALL ".join(
+        f"SELECT 'cardinality' AS check_id, 'lineitem' AS dataset, '{c}' AS key, CAST(COUNT(DISTINCT {c}) AS STRING) AS detail FROM {{lineitem}} HAVING COUNT(DISTINCT {c}) > 1500"
+        for c in WIDE
+    ),
+)
+def e15_sketches(t: Tables):
+    """Sketches per line status, merged; only columns near the bound or over it are counted."""
+    kept = cut(contracts.column_sketches(t["lineitem"], WIDE, ["l_linestatus"]).withColumnRenamed("l_linestatus", "part"), "sketches")
+    return contracts.expect_cardinality(t["lineitem"], WIDE, 1500, "lineitem", kept)

@@ -280,3 +280,17 @@ def test_union_of_checks_keeps_shape(spark):
     df = spark.range(3)
     both = reduce(lambda a, b: a.unionByName(b), [contracts.expect_count(df, 1, "a"), contracts.expect_count(df, 3, "b")])
     assert [r.dataset for r in both.collect()] == ["a"]
+
+
+def test_cardinality_by_sketches(spark):
+    """Columns at, near and far from the bound; a clear one is not read at all."""
+    rows = spark.range(3000).selectExpr("id % 7 AS part", "id % 500 AS at_bound", "id % 501 AS over", "id % 490 AS near", "id % 50 AS far", "CAST(NULL AS STRING) AS none", "id AS wide")
+    cols = ["at_bound", "over", "near", "far", "none", "wide"]
+    kept = contracts.column_sketches(rows, cols, ["part"])
+    assert kept.count() == 7 * len(cols)
+    assert set(contracts.far_below(kept, 500)) == {"far", "none"}
+    found = contracts.expect_cardinality(rows, cols, 500, "d", kept)
+    assert sorted((r.key, r.detail) for r in found.collect()) == [("over", "501"), ("wide", "3000")]
+    assert "far" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(contracts.expect_cardinality(rows, cols, 500, "d").collect()) == sorted(found.collect())
+    assert contracts.expect_cardinality(rows, ["far"], 500, "d", kept).collect() == []
