@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -234,3 +235,56 @@ def expect_partition(df: DataFrame, flag: str, dataset: str) -> DataFrame:
     """Rows with and without the flag add up to all rows; a NULL flag breaks that."""
     sums = df.agg(F.count("*").alias("n"), F.count_if(flag).alias("yes"), F.count_if(~F.col(flag)).alias("no"))
     return violations(sums.where("yes + no <> n"), "partition", dataset, F.lit(flag), F.col("n") - F.col("yes") - F.col("no"))
+
+
+class KeyCheck(NamedTuple):
+    """A check on keys of a table: `unique`, `ref` and `children` (both with another table's key), or `same_text`."""
+
+    kind: str
+    dataset: str
+    table: str
+    key: Sequence[str]
+    other: str | None = None
+    other_key: Sequence[str] = ()
+    value: str | None = None
+
+
+def keyed_suite(tables: dict[str, DataFrame], checks: Sequence[KeyCheck]) -> DataFrame:
+    """Violations of all checks, with one scan of each table and one aggregate for all.
+
+    A row tells each check its key, on which side it stands and what it holds; these are added up per check and key, at
+    first within tasks, so a hot key is a few rows by the time it is shuffled. The rows are those of `expect_unique`,
+    `expect_ref`, `expect_children` and `expect_same_text`. A null key refers to nothing and is no reference.
+    """
+
+    def told(n: int, side: int, key: Sequence[str], value: str | None) -> Column:
+        held = F.lit(None) if value is None else F.col(value)
+        missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in key])
+        return F.struct(F.lit(n).alias("n"), F.array(*[F.col(c).cast("string") for c in key]).alias("key"), missing.alias("missing"), F.lit(side).alias("side"), held.cast("string").alias("value"))
+
+    facts: dict[str, list[Column]] = {}
+    for n, check in enumerate(checks):
+        facts.setdefault(check.table, []).append(told(n, 0, check.key, check.value))
+        if check.other is not None:
+            facts.setdefault(check.other, []).append(told(n, 1, check.other_key, None))
+    rows = reduce(DataFrame.unionByName, [tables[name].select(F.inline(F.array(*own))) for name, own in facts.items()])
+    ledger = rows.groupBy("n", "key", "missing").agg(
+        F.count_if(F.col("side") == 0).alias("own"), F.count_if(F.col("side") == 1).alias("there"), F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    kinds = {kind: F.col("n").isin([n for n, c in enumerate(checks) if c.kind == kind]) for kind in ("unique", "ref", "children", "same_text")}
+    unnamed = (F.col("there") == 0) | F.col("missing")
+    broken = (
+        (kinds["unique"] & (F.col("own") > 1))
+        | ((kinds["ref"] | kinds["children"]) & (F.col("own") > 0) & unnamed)
+        | (kinds["same_text"] & ~F.col("missing") & (F.col("low") != F.col("high")))
+    )
+    # References and parents are reported row by row, the others key by key.
+    each = F.when(kinds["ref"] | kinds["children"], F.col("own")).otherwise(F.lit(1))
+    found = ledger.where(broken).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), each)))
+    check_id = F.element_at(F.array(*[F.lit(c.kind if c.kind != "ref" else "reference") for c in checks]), F.col("n") + 1)
+    dataset = F.element_at(F.array(*[F.lit(c.dataset) for c in checks]), F.col("n") + 1)
+    words = F.element_at(F.array(*[F.lit({"ref": "unknown", "children": "none", "same_text": "texts differ"}.get(c.kind, "")) for c in checks]), F.col("n") + 1)
+    key = F.when(F.col("missing") & (kinds["ref"] | kinds["children"]), F.lit(None)).otherwise(F.concat_ws("|", "key"))
+    return found.select(
+        check_id.alias("check_id"), dataset.alias("dataset"), key.alias("key"), F.when(kinds["unique"], F.col("own").cast("string")).otherwise(words).alias("detail")
+    )

@@ -186,13 +186,13 @@ def h13(t: Tables):
     return contracts.expect_framed(rows, F.lit("The"), ".", "line", "documents", ["doc_id", "ord"])
 
 
-@query(
-    "contract_suite_on_sources",
-    """SELECT check_id, COUNT(*) AS n FROM (
+SUITE_SQL = """SELECT check_id, COUNT(*) AS n FROM (
          SELECT 'unique' AS check_id FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1
          UNION ALL SELECT 'children' FROM {orders} WHERE o_orderkey NOT IN (SELECT l_orderkey FROM {lineitem})
-         UNION ALL SELECT 'same_text' FROM {orders} GROUP BY o_custkey HAVING COUNT(DISTINCT o_orderstatus) > 1) GROUP BY check_id""",
-)
+         UNION ALL SELECT 'same_text' FROM {orders} GROUP BY o_custkey HAVING COUNT(DISTINCT o_orderstatus) > 1) GROUP BY check_id"""
+
+
+@query("contract_suite_on_sources", SUITE_SQL)
 def suite(t: Tables):
     """Several checks as one suite; each breach is a row, and clean checks add none."""
     checks = contracts.all_of_checks(
@@ -207,6 +207,21 @@ def suite(t: Tables):
     return checks.groupBy("check_id").agg(F.count("*").alias("n"))
 
 
+@query("contract_suite_in_one_pass", SUITE_SQL)
+def suite_in_one_pass(t: Tables):
+    """The same checks from one scan of each table."""
+    check = contracts.KeyCheck
+    checks = [
+        check("unique", "lineitem", "lineitem", ["l_orderkey", "l_linenumber"]),
+        check("unique", "orders", "orders", ["o_orderkey"]),
+        check("ref", "lineitem", "lineitem", ["l_partkey"], "part", ["p_partkey"]),
+        check("children", "orders", "orders", ["o_orderkey"], "lineitem", ["l_orderkey"]),
+        check("same_text", "orders", "orders", ["o_custkey"], value="o_orderstatus"),
+    ]
+    found = contracts.keyed_suite({name: t[name] for name in ("lineitem", "orders", "part")}, checks)
+    return found.groupBy("check_id").agg(F.count("*").alias("n"))
+
+
 @query(
     "f01_expect_disjoint",
     """SELECT 'disjoint' AS check_id, 'periods' AS dataset, code AS key, COUNT(*) AS n FROM (

@@ -294,3 +294,27 @@ def test_cardinality_by_sketches(spark):
     assert "far" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(contracts.expect_cardinality(rows, cols, 500, "d").collect()) == sorted(found.collect())
     assert contracts.expect_cardinality(rows, ["far"], 500, "d", kept).collect() == []
+
+
+def test_a_suite_in_one_pass(spark, tmp_path):
+    """The rows of the single checks, from one scan of each table."""
+    rng = random.Random(8)
+    child = [(rng.choice([None, *range(12)]), rng.choice([None, 1, 1, 2]), rng.choice([None, "x", "y"])) for _ in range(200)]
+    spark.createDataFrame(child, "k long, m long, v string").write.parquet(str(tmp_path / "child"))
+    spark.createDataFrame([(i,) for i in [*range(5, 20), 7, 7, None]], "p long").write.parquet(str(tmp_path / "parent"))
+    tables = {name: spark.read.parquet(str(tmp_path / name)) for name in ("child", "parent")}
+    check = contracts.KeyCheck
+    checks = [
+        check("unique", "c", "child", ["k", "m"]), check("ref", "c", "child", ["k"], "parent", ["p"]),
+        check("children", "p", "parent", ["p"], "child", ["k"]), check("same_text", "c", "child", ["m"], value="v"),
+    ]
+    found = contracts.keyed_suite(tables, checks)
+    single = contracts.all_of_checks(
+        [
+            contracts.expect_unique(tables["child"], ["k", "m"], "c"), contracts.expect_ref(tables["child"], tables["parent"], "k", "p", "c"),
+            contracts.expect_children(tables["parent"], tables["child"], "p", "k", "p"), contracts.expect_same_text(tables["child"], "m", "v", "c"),
+        ]
+    )
+    told = lambda df: sorted(map(str, df.select("check_id", "dataset", "key", "detail").collect()))
+    assert told(found) == told(single) and len(told(found)) > 20
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
