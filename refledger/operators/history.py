@@ -5,13 +5,16 @@ A period row holds `start_date` and `end_date`, both inclusive; an open end is 9
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refledger.functions.dates import OPEN_END
 from refledger.operators.prefix import numbered, running, year
+from refledger.operators.stage import computed
 
 START, END = "start_date", "end_date"
 
@@ -55,9 +58,56 @@ def _marks(periods: DataFrame, on: str, payload: Sequence[str]) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class StoredHistory:
+    """Marks of periods in a table that is bucketed and sorted by key: see `store_history`."""
+
+    table: str
+    path: str
+    on: str
+    payload: tuple[str, ...]
+    buckets: int
+
+    def marks(self, spark: SparkSession) -> DataFrame:
+        return spark.table(self.table)
+
+    def drop(self, spark: SparkSession) -> None:
+        """Forget the table's name; its files stay for as long as their folder does."""
+        spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+
+def store_history(periods: DataFrame, on: str, payload: Sequence[str], path: str, buckets: int | None = None) -> StoredHistory:
+    """Store a history once by its key, so that any number of later as-of joins shuffles the asked dates only.
+
+    What is stored are the marks of the sweep, which are added up per key and calendar day before they are shuffled: a
+    key with a third of all periods has no more rows than days. A bucket is one file. `buckets`, by default the number
+    of shuffle partitions, should leave a bucket within a task's memory, as a shuffle partition should be. Periods
+    without a key answer nothing and are not stored.
+    """
+    spark = periods.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"refledger_history_{uuid.uuid4().hex}"
+    marks = _marks(periods.where(F.col(on).isNotNull()), on, payload)
+    # In the order in which `asof_one` reads them, so that nothing stands between the scan and its union.
+    marks = marks.select(on, "day", F.lit(False).alias("asked"), "step", "period").repartition(buckets, on)
+    marks.write.bucketBy(buckets, on).sortBy(on, "day").format("parquet").option("path", path).saveAsTable(table)
+    return StoredHistory(table, path, on, tuple(payload), buckets)
+
+
+def open_history(spark: SparkSession, path: str, on: str, buckets: int) -> StoredHistory:
+    """A history that another application stored at `path`, with the key and number of buckets it was stored with."""
+    schema, table = spark.read.parquet(path).schema, f"refledger_history_{uuid.uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {table} ({schema.toDDL()}) USING parquet LOCATION '{path}' "
+        f"CLUSTERED BY (`{on}`) SORTED BY (`{on}`, day) INTO {buckets} BUCKETS"
+    )
+    payload = tuple(f for f in schema["period"].dataType.names if f not in (START, END))
+    return StoredHistory(table, path, on, payload, buckets)
+
+
 def asof_one(
     asks: DataFrame,
-    periods: DataFrame,
+    periods: DataFrame | StoredHistory,
     on: str,
     as_of: str,
     payload: Sequence[str],
@@ -68,10 +118,16 @@ def asof_one(
     Marks are first added up per key and day, so a key has at most one mark and one ask per calendar
     day however many rows it holds, and no pairs of asks and periods are formed. Where the running
     count is one, the covering period is the started one that ends last. A period that ends before it
-    starts, or lacks a date, covers no day.
+    starts, or lacks a date, covers no day. Marks of a stored history are read where they lie: the asked
+    dates are dealt out to its buckets, and nothing of the history is shuffled.
     """
-    marks = _marks(periods, on, payload).withColumn("asked", F.lit(False))
     asked = asks.select(on, F.col(as_of).alias("day")).distinct().withColumn("asked", F.lit(True))
+    if isinstance(periods, StoredHistory):
+        if periods.on != on or not set(payload) <= set(periods.payload):
+            raise ValueError(f"the history is stored by {periods.on} with {periods.payload}")
+        marks, asked = periods.marks(asks.sparkSession), asked.repartition(periods.buckets, on)
+    else:
+        marks = _marks(periods, on, payload).withColumn("asked", F.lit(False))
     sweep = (
         Window.partitionBy(on).orderBy("day", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -79,8 +135,11 @@ def asof_one(
         marks.unionByName(asked, allowMissingColumns=True)
         .select(on, "day", "asked", F.sum("step").over(sweep).alias("covering"), F.max("period").over(sweep).alias("period"))
         .where("asked AND covering = 1")
-        .select(on, F.col("day").alias(as_of), "period.*")
+        .select(on, F.col("day").alias(as_of), *[F.col(f"period.{c}") for c in (END, START, *payload)])
     )
+    if isinstance(periods, StoredHistory):
+        # A union knows the buckets of a bare scan only: so `asked` is stored, and the join's test for nulls stays above.
+        answers = computed(answers)
     return asks.join(answers, [on, as_of])
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from refledger.functions.dates import strict_date
 from refledger.functions.numbers import is_zero
 from refledger.functions.text import CODE_PATTERN, is_code, nfkc, norm_code, norm_name, search_text
-from refledger.operators.history import asof_one
+from refledger.operators.history import StoredHistory, asof_one
 from refledger.operators.search import haystack, search
 from refledger.sources.workspace import cut
 
@@ -132,7 +132,7 @@ def gated(requests: DataFrame, dataset: Dataset, bounds: str) -> tuple[DataFrame
 def master_lookup(
     requests: DataFrame,
     items: DataFrame,
-    periods: DataFrame,
+    periods: DataFrame | StoredHistory,
     dataset: Dataset,
     fields: Sequence[str] = ("name_zh", "name_en", "ingredient"),
 ) -> Lookup:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from refledger.functions.dates import strict_date
 from refledger.functions.text import blank_to_null
-from refledger.operators.history import asof_one
+from refledger.operators.history import StoredHistory, asof_one
 from refledger.operators.lookup import Dataset, gate
 from refledger.operators.prefix import block, numbered
 
@@ -96,7 +96,7 @@ def nest(parents: DataFrame, children: DataFrame, on: str, ord: str) -> DataFram
     return parents.join(placed, on, "left")
 
 
-def resolve_codes(listed: DataFrame, items: DataFrame, periods: DataFrame) -> DataFrame:
+def resolve_codes(listed: DataFrame, items: DataFrame, periods: DataFrame | StoredHistory) -> DataFrame:
     """Codes of a list as of each row's `as_of_date`; codes that no price covers stay, unresolved.
 
     Zero prices are kept here: the list names the code. `listed` holds one row per code.
@@ -108,7 +108,7 @@ def resolve_codes(listed: DataFrame, items: DataFrame, periods: DataFrame) -> Da
 
 
 def exception_listing(
-    requests: DataFrame, listed: DataFrame, items: DataFrame, periods: DataFrame, dataset: Dataset
+    requests: DataFrame, listed: DataFrame, items: DataFrame, periods: DataFrame | StoredHistory, dataset: Dataset
 ) -> tuple[DataFrame, DataFrame]:
     """Listings of rules on dates. `requests`: request_id, rule_id, as_of. `listed`: rule_id, pos, code.
 
@@ -155,7 +155,7 @@ def reconcile(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Each key as added, removed, changed or same. Keys are unique within a snapshot."""
-    cols = [c for c in old.columns if c != key]
+    cols = [F.col(f"`{c}`") for c in old.columns if c != key]
     a = old.select(key, F.struct(*cols).alias("was"))
     b = new.select(key, F.struct(*cols).alias("now"))
     change = (

@@ -9,31 +9,44 @@ from refledger.functions.text import is_code
 from refledger.operators import contracts, history
 from refledger.operators.lookup import drop_zero
 from refledger.plans.registry import Tables, query
-from refledger.sources.workspace import cut
+from refledger.sources.workspace import cut, fresh_path
 
 
-@query(
-    "d01_asof_interval_join",
-    """SELECT r.o_orderkey AS request_id, 'PT' || lpad(CAST(l.l_partkey AS STRING), 8, '0') AS code,
+AS_ORDERED = """SELECT r.o_orderkey AS request_id, 'PT' || lpad(CAST(l.l_partkey AS STRING), 8, '0') AS code,
               strftime(CAST(r.o_orderdate AS DATE), '%Y-%m-%d') AS as_of, MIN(p.price_raw) AS price_raw,
               strftime(MIN(p.start_date), '%Y-%m-%d') AS start_date
        FROM (SELECT DISTINCT l_orderkey, l_partkey FROM {lineitem}) l JOIN {orders} r ON r.o_orderkey = l.l_orderkey
        JOIN {periods} p ON p.code = 'PT' || lpad(CAST(l.l_partkey AS STRING), 8, '0')
             AND CAST(r.o_orderdate AS DATE) BETWEEN p.start_date AND p.end_date
-       GROUP BY ALL HAVING COUNT(*) = 1""",
-)
-def d01(t: Tables):
+       GROUP BY ALL HAVING COUNT(*) = 1"""
+
+
+def _priced(t: Tables, periods):
     """Every ordered part, priced as of its order's date."""
     asks = t.sql("""
         SELECT o_orderkey AS request_id, code, odate AS as_of FROM
           (SELECT DISTINCT l_orderkey, 'PT' || lpad(CAST(l_partkey AS STRING), 8, '0') AS code FROM {lineitem})
           JOIN (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS odate FROM {orders}) ON o_orderkey = l_orderkey""")
-    return history.asof_one(asks, t["periods"], "code", "as_of", ["price_raw"]).select(
+    return history.asof_one(asks, periods, "code", "as_of", ["price_raw"]).select(
         "request_id", "code", F.date_format("as_of", "yyyy-MM-dd").alias("as_of"), "price_raw",
         F.date_format("start_date", "yyyy-MM-dd").alias("start_date"),
     )
 
 
+@query("d01_asof_interval_join", AS_ORDERED)
+def d01(t: Tables):
+    return _priced(t, t["periods"])
+
+
+@query("d01_asof_stored_by_key", AS_ORDERED)
+def d01_stored(t: Tables):
+    """The same from a history that is stored by its key, of which nothing is shuffled."""
+    path = fresh_path(t.spark, "history")
+    stored = history.store_history(t["periods"], "code", ["price_raw"], path)
+    # Opened again, as another application would.
+    return _priced(t, history.open_history(t.spark, path, "code", stored.buckets))
+
+
 @query(
     "d01_asof_overlapping_periods",
     """SELECT DISTINCT p.code, strftime(a.d, '%Y-%m-%d') AS as_of, x.price_raw, x.ord

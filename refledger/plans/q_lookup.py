@@ -6,24 +6,33 @@ from pyspark.sql import functions as F
 
 from refledger.functions.text import is_code, norm_code, norm_name, search_text
 from refledger.operators import lookup
+from refledger.operators.history import store_history
 from refledger.operators.reconcile import membership
 from refledger.operators.search import holds_all, search
 from refledger.plans.bindings import DATASET
 from refledger.plans.registry import Tables, query
+from refledger.sources.workspace import fresh_path
 
 FIELDS = ("name_zh", "name_en", "ingredient")
 
 
-@query(
-    "k01_master_lookup",
-    """SELECT g.request_id, g.as_of, CASE WHEN n_matches = 1 THEN 'EXACT_MATCH' WHEN n_matches > 1 THEN 'MULTIPLE_MATCHES'
+MASTER_LOOKUP = """SELECT g.request_id, g.as_of, CASE WHEN n_matches = 1 THEN 'EXACT_MATCH' WHEN n_matches > 1 THEN 'MULTIPLE_MATCHES'
                 ELSE 'NOT_IN_VALIDATED_DATASET' END AS status, COALESCE(n_matches, 0) <> 1 AS manual_review,
               COALESCE(n_matches, 0) AS n_matches, COALESCE(excluded_zero, 0) AS excluded_zero
-       FROM {o_gated} g LEFT JOIN {o_counts} c ON g.answerable AND c.query = g.query AND c.as_of = g.as_of""",
-)
+       FROM {o_gated} g LEFT JOIN {o_counts} c ON g.answerable AND c.query = g.query AND c.as_of = g.as_of"""
+RESULT = ("request_id", "as_of", "status", "manual_review", "n_matches", "excluded_zero")
+
+
+@query("k01_master_lookup", MASTER_LOOKUP)
 def k01(t: Tables):
-    found = lookup.master_lookup(t["requests"], t["items"], t["periods"], DATASET, FIELDS)
-    return found.results.select("request_id", "as_of", "status", "manual_review", "n_matches", "excluded_zero")
+    return lookup.master_lookup(t["requests"], t["items"], t["periods"], DATASET, FIELDS).results.select(*RESULT)
+
+
+@query("k01_master_lookup_stored_history", MASTER_LOOKUP)
+def k01_stored(t: Tables):
+    """The same with prices from a history that is stored by code."""
+    stored = store_history(t["periods"], "code", ["price_raw"], fresh_path(t.spark, "history"))
+    return lookup.master_lookup(t["requests"], t["items"], stored, DATASET, FIELDS).results.select(*RESULT)
 
 
 @query(

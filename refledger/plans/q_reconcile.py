@@ -8,6 +8,8 @@ from refledger.operators import contracts, reconcile
 from refledger.plans.bindings import DATASET
 from refledger.plans.registry import Tables, query
 from refledger.sources.publish import drift
+from refledger.sources.versions import keyed_diff, keyed_drift, publish_keyed, read_keyed
+from refledger.sources.workspace import fresh_path
 
 MERGE_SQL = """
     WITH s AS (SELECT 1 AS src_no, row_no, code, name_en, exception_note, NULL AS ingredient, NULL AS manufacturer, NULL AS ingredient_category FROM {source1}
@@ -277,12 +279,12 @@ def d17_missing(t: Tables):
     return _headed(t)[1].select("doc_id", "heading")
 
 
-@query(
-    "a07_drift_check",
-    """SELECT p_partkey, side, 1 AS copies FROM (
+DRIFTED = """SELECT p_partkey, side, 1 AS copies FROM (
          SELECT *, 'published' AS side FROM (SELECT * FROM {snapshot_old} EXCEPT ALL SELECT * FROM {snapshot_new})
-         UNION ALL SELECT *, 'derived' FROM (SELECT * FROM {snapshot_new} EXCEPT ALL SELECT * FROM {snapshot_old}))""",
-)
+         UNION ALL SELECT *, 'derived' FROM (SELECT * FROM {snapshot_new} EXCEPT ALL SELECT * FROM {snapshot_old}))"""
+
+
+@query("a07_drift_check", DRIFTED)
 def a07(t: Tables):
     return drift(t["snapshot_old"], t["snapshot_new"]).select("p_partkey", "side", "copies")
 
@@ -298,11 +300,30 @@ def a07_copies(t: Tables):
     return drift(keys, keys.distinct())
 
 
-@query(
-    "a11_snapshot_diff",
-    """SELECT COALESCE(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed'
+SNAPSHOT_CHANGES = """SELECT COALESCE(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed'
               WHEN a.price = b.price THEN 'same' ELSE 'changed' END AS change
-       FROM {snapshot_old} a FULL JOIN {snapshot_new} b ON a.p_partkey = b.p_partkey""",
-)
+       FROM {snapshot_old} a FULL JOIN {snapshot_new} b ON a.p_partkey = b.p_partkey"""
+
+
+@query("a11_snapshot_diff", SNAPSHOT_CHANGES)
 def a11(t: Tables):
     return reconcile.snapshot_diff(t["snapshot_old"], t["snapshot_new"], "p_partkey")
+
+
+def _versions(t: Tables, old: str, new: str, key: str):
+    """Two bindings published as versions that are compared by their digests."""
+    path = fresh_path(t.spark, "versions")
+    for name in (old, new):
+        publish_keyed(t[name], path, name, key)
+    return [read_keyed(t.spark, path, name) for name in (old, new)]
+
+
+@query("a11_diff_by_digests", SNAPSHOT_CHANGES)
+def a11_digests(t: Tables):
+    """The same between published versions, of which only leaves with other digests are read whole."""
+    return keyed_diff(*_versions(t, "snapshot_old", "snapshot_new", "p_partkey"), "p_partkey", same=True)
+
+
+@query("a07_drift_by_digests", DRIFTED)
+def a07_digests(t: Tables):
+    return keyed_drift(*_versions(t, "snapshot_old", "snapshot_new", "p_partkey")).select("p_partkey", "side", "copies")

@@ -26,7 +26,7 @@ def drift(published: DataFrame, derived: DataFrame) -> DataFrame:
 
     Sides are added up per distinct row in one aggregate, so copies never travel one by one.
     """
-    cols = published.columns
+    cols = [F.col(f"`{c}`") for c in published.columns]
     both = published.select(*cols, F.lit(1).alias("__side")).unionByName(derived.select(*cols, F.lit(-1).alias("__side")))
     odd = both.groupBy(*cols).agg(F.sum("__side").alias("__n")).where("__n <> 0")
     return odd.select(
