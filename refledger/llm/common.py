@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns of these names, which may hold dots."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores before it until no column of `taken` has it in any case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Number of words between ASCII white space; zero for null."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({SPACES})"), F.lit(1))).cast("long"), F.lit(0).cast("long"))
@@ -38,19 +53,20 @@ def by_ids(docs: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> Da
 
 
 def numbered_texts(docs: DataFrame, key: str, text: str, number: str) -> DataFrame:
-    """One row per id and text, with a `number` of its own; all columns must be orderable.
+    """One row per id and text, with a `number` of its own, a name that no column has.
 
     A row whose id is its alone is numbered by that id. Rows that share an id or have none are numbered by 62 bits of
-    a hash of id and text, above all smaller ids; of equal ones the smallest row stays. Only these are shuffled with
-    their texts.
+    a hash of id and text, above all smaller ids; of equal ones the row whose hash is smallest stays, whatever the types of
+    its columns. Only these are shuffled with their texts.
     """
     repeated = cut(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated-ids")
     alone = by_ids(docs, repeated, key, "left_anti").where(F.col(key).isNotNull())
     shared = by_ids(docs, repeated, key, "left_semi").unionByName(docs.where(F.col(key).isNull()))
     by_hash = F.shiftrightunsigned(F.xxhash64(key, text), 2).bitwiseOR(F.lit(1 << 62))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    shared = shared.select(by_hash.alias(number), F.struct(*names).alias("r")).groupBy(number).agg(F.min("r").alias("r")).select("r.*", number)
-    return alone.withColumn(number, F.col(key).cast("long")).unionByName(cut(shared, "shared-ids"))
+    row = F.struct(*quoted(docs.columns))
+    shared = shared.select(by_hash.alias("number"), row.alias("row"), F.sha2(F.to_json(row), 256).alias("order"))
+    shared = cut(shared.groupBy("number").agg(F.min_by("row", "order").alias("row")), "shared-ids")
+    return alone.withColumn(number, F.col(key).cast("long")).unionByName(shared.select("row.*", F.col("number").alias(number)))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

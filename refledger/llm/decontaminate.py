@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from refledger.llm.common import by_ids
+from refledger.llm.common import by_ids, free_name, quoted
 from refledger.llm.near_dup import _U64, _mixed, _powers
 from refledger.sources.workspace import cut
 
@@ -338,6 +338,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **opti
 
     Leaked texts are told by their hash, whatever their id: rows without an id go as well, and other rows of an id stay.
     """
-    named = docs.withColumn("__text", F.unhex(F.md5(F.col(text))))
-    leaked = cut(find_leaks(named, benchmark, "__text", text, **options).select("__text").distinct(), "leaked-texts")
-    return by_ids(named, leaked, "__text", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name("__text", docs.columns)
+    named = docs.withColumn(name, F.unhex(F.md5(F.col(text))))
+    leaked = cut(find_leaks(named, benchmark, name, text, **options).select(name).distinct(), "leaked-texts")
+    return by_ids(named, leaked, name, "left_anti").select(*quoted(docs.columns))

@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from refledger.llm.common import free_name, quoted
+
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -140,5 +142,6 @@ def identify(text: Column, model: Model, min_margin: float = 0.01, min_evidence:
 
 def drop_rejected(docs: DataFrame, model: Model, text: str = "text", **limits) -> DataFrame:
     """The documents that are not rejected, with their own columns only."""
-    marked = docs.select("*", identify(F.col(text), model, **limits).alias("__language"))
-    return marked.where(~F.col("__language.rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = free_name("__language", docs.columns)
+    marked = docs.select("*", identify(F.col(text), model, **limits).alias(found))
+    return marked.where(~F.col(f"{found}.rejected")).select(*quoted(docs.columns))

@@ -1,32 +1,38 @@
 """Mixing of sources to target weights, in blocks of fixed length.
 
-Each source's texts, one after the other, are a stream of words that is packed into blocks of equal length. Every output
-shard has the same number of slots; its slots are shared out to the sources by a multinomial draw. The slots of a
-source, counted over all shards, walk through a pseudorandom permutation of its blocks, and start over when the
-blocks are used up. Slots and blocks meet in a join on the block's index.
+Each source's texts, one after the other, are a stream of words that is packed into blocks of nearly equal length; a
+small source gets smaller blocks. Targets fix each source's whole number of slots. Every output shard has the same
+number of slots, give or take one; what sources hold in them is a multinomial draw under the condition that it adds up to those
+numbers. The slots of a source, counted over all shards, walk through a pseudorandom permutation of its blocks,
+and start over when the blocks are used up. Slots and blocks meet in a join on the block's index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from refledger.llm.common import n_words
-from refledger.operators.prefix import numbered
+from refledger.llm.common import free_name, n_words, quoted
 from refledger.sources.workspace import cut
 
+FEWEST = 16  # blocks of a source at least, as far as it has as many words
+RUN = 1 << 16  # numbers that one row is unfolded into at most
+RUNS = 64  # such rows a task
+
 
 @dataclass(frozen=True)
 class Share:
-    """A source's name (None for null), size in words, target in words, and number of blocks."""
+    """A source's name (None for null), size in words, target in words, and its number of blocks and of slots."""
 
     source: str | None
     size: int
     target: float
     blocks: int
+    slots: int
 
 
 def cyclic(weights: Sequence[float]) -> Callable[[int, str | None], float]:
@@ -56,110 +62,116 @@ def targets(sizes: Mapping[str | None, int], weight: Callable[[int, str | None],
     return {s: given[s] for s in order}
 
 
-def _uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from a hash of its parts."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") / float(1 << 52)
-
-
 @dataclass(frozen=True)
 class Plan:
     shares: tuple[Share, ...]
     shards: int
-    slots: int  # per shard
-    block: int
 
+    @property
+    def fixed(self) -> list[int]:
+        """Slots of each source that every shard has."""
+        return [s.slots // self.shards for s in self.shares]
+
+    def sources(self, spark: SparkSession) -> DataFrame:
+        """The shares as a table, one row per source: `src` is its number; `fixed` slots from `begin` on in every shard,
+        and `drawn` slots of all shards together, from `drawn_begin` on."""
+        drawn = [s.slots - self.shards * f for s, f in zip(self.shares, self.fixed)]
+        starts = zip(accumulate(self.fixed, initial=0), accumulate(drawn, initial=0))
+        rows = [(i, s.source, s.size, s.target, s.blocks, s.slots, f, b, d, e) for i, (s, f, d, (b, e)) in enumerate(zip(self.shares, self.fixed, drawn, starts))]
+        return spark.createDataFrame(
+            rows, "src int, source string, source_size long, target double, blocks long, slots long, fixed long, begin long, drawn long, drawn_begin long"
+        )
+
+
+def share_of(source: str | None, size: int, target: float, block: int, cap: int) -> Share:
+    """Blocks are of `block` words at most, and there are `FEWEST` at least, so a target is met within half a block."""
+    blocks = max(-(-size // block), min(size, FEWEST))
+    return Share(source, size, target, blocks, min(cap * blocks, round(target * blocks / size)) if size else 0)
 
-def plan(docs: DataFrame, weight: Callable[[int, str | None], float], *, share: float, cap: float, block: int, slots: int) -> Plan:
+
+def plan(docs: DataFrame, weight: Callable[[int, str | None], float], *, share: float, cap: int, block: int, slots: int) -> Plan:
     """Sizes, targets and the number of output shards; `docs` has `source` and `size`.
 
     Only one row per source reaches the driver: sources are what the weights are given for.
     """
     sums = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     given = targets(sums, weight, share * sum(sums.values()), cap)
-    shares = tuple(Share(s, sums[s], given[s], -(-sums[s] // block)) for s in given)
-    wanted = sum(s.target for s in shares) / block
-    shards = max(1, -(-int(wanted) // slots))
-    return Plan(shares, shards, round(wanted / shards), block)
+    shares = tuple(share_of(s, sums[s], given[s], block, cap) for s in given)
+    return Plan(shares, max(1, -(-sum(s.slots for s in shares) // slots)))
 
 
-def _pick(u: Column, bounds: Sequence[float], values: Sequence) -> Column:
-    """The value whose bound is the first above u; the last one for any rounding."""
-    above = F.array_position(F.transform(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b > u), F.lit(True))
-    return F.element_at(F.array(*[F.lit(v) for v in values]), F.when(above > 0, above.cast("int")).otherwise(len(values)))
+def _unfolded(sources: DataFrame, n: str, total: int, name: str) -> DataFrame:
+    """A row for each number from 0 to `n` - 1 of each source, in tasks whose number grows with the `total`."""
+    number, run = F.col(n), F.col("__run")
+    runs = sources.where(number > 0).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((number - 1) / RUN))))
+    runs = runs.repartition(max(1, -(-total // (RUN * RUNS))), "src", "__run")
+    return runs.withColumn(name, F.explode(F.sequence(run * RUN, F.least(number, (run + 1) * RUN) - 1))).drop("__run")
 
 
-def draw(spark, p: Plan, seed: int = 0) -> DataFrame:
-    """Slots of all shards: `shard`, `slot`, `src` (the source's number in the plan), `turn` (its count in the source).
+def _shuffled(rows: DataFrame, group: str, order: list[str], seed: int) -> DataFrame:
+    """Adds `place`, from 0 without gaps in each group, in the order of a hash.
 
-    Of each shard's slots, the whole part of a source's expected number is fixed; the rest are drawn from the
-    multinomial of the remaining fractions. So a source's total strays from its target by about the root of the
-    number of shards, not of the number of slots.
+    Rows are ranked within 4096 ranges of the hash, so no group is sorted in one task.
     """
-    total = sum(s.target for s in p.shares)
-    live = [(i, s) for i, s in enumerate(p.shares) if s.target > 0]
-    if not live or p.slots < 1:
-        return spark.createDataFrame([], "shard long, slot long, src int, turn long")
-    expected = [p.slots * s.target / total for _, s in live]
-    fixed = [int(e + 1e-9) for e in expected]
-    open_ = [max(0.0, e - f) for e, f in zip(expected, fixed)]
-    ends, fractions = [], []
-    for i in range(len(live)):
-        ends.append((ends[-1] if ends else 0) + fixed[i])
-        fractions.append((fractions[-1] if fractions else 0.0) + open_[i])
-    numbers = [i for i, _ in live]
-    slots = spark.range(p.shards * p.slots).select(F.floor(F.col("id") / p.slots).alias("shard"), F.pmod("id", F.lit(p.slots)).alias("slot"))
-    # Fixed slots: their turn follows from shard and place.
-    sure = slots.where(F.col("slot") < ends[-1])
-    which = _pick(F.col("slot").cast("double"), ends, list(range(len(live))))
-    sure = sure.withColumn("w", which)
-    at = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("w") + 1)
-    sure = sure.select("shard", "slot", at(numbers).cast("int").alias("src"), (F.col("shard") * at(fixed) + F.col("slot") - (at(ends) - at(fixed))).alias("turn"))
-    # Drawn slots: counted after all fixed ones of their source.
-    drawn = slots.where(F.col("slot") >= ends[-1])
-    drawn = drawn.withColumn("w", _pick(_uniform(F.lit(seed), F.col("shard"), F.col("slot")) * fractions[-1], fractions, list(range(len(live)))))
-    drawn = numbered(drawn, ["w"], ["shard", "slot"], F.floor(F.col("shard") / 4096), "n")
-    drawn = drawn.select("shard", "slot", at(numbers).cast("int").alias("src"), (p.shards * at(fixed) + F.col("n") - 1).alias("turn"))
-    return sure.unionByName(drawn)
-
-
-def permutation(spark, p: Plan, seed: int = 0) -> DataFrame:
-    """Per source, its blocks in the order of a hash: `src`, `block`, `place` (from 0 without gaps).
-
-    Blocks are ranked within 4096 ranges of the hash, so no source is sorted in one task.
+    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), *order)).withColumn("__range", F.shiftrightunsigned("__h", 52))
+    counts = rows.groupBy(group, "__range").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(group, "__range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    ranked = rows.withColumn("__i", F.row_number().over(Window.partitionBy(group, "__range").orderBy("__h", *order)))
+    placed = ranked.join(before, [group, "__range"]).withColumn("place", F.col("__before") + F.col("__i") - 1)
+    return placed.drop("__h", "__range", "__before", "__i")
+
+
+def draw(sources: DataFrame, p: Plan, seed: int = 0) -> DataFrame:
+    """Slots of all shards: `shard`, `slot`, `src`, `turn` (its count in the source), `blocks` (the source's).
+
+    Of each shard's slots, the whole part of a source's expected number is fixed. What remains of all sources is put in
+    the order of a hash and dealt out to the shards in turn: draws from an urn that holds each source's remaining slots,
+    so every source gets its number over all shards, and nothing is drawn that it has no block for.
     """
-    ends = [sum(s.blocks for s in p.shares[: i + 1]) for i in range(len(p.shares))]
-    all_ = spark.range(ends[-1] if ends else 0)
-    if not ends:
-        return all_.selectExpr("CAST(id AS int) AS src", "id AS block", "id AS place")
-    src = _pick(F.col("id").cast("double"), ends, list(range(len(ends))))
-    begin = F.element_at(F.array(*[F.lit(e - s.blocks).cast("long") for e, s in zip(ends, p.shares)]), F.col("src") + 1)
-    blocks = all_.withColumn("src", src.cast("int")).select("src", (F.col("id") - begin).alias("block"))
-    blocks = blocks.withColumn("h", F.xxhash64(F.lit(seed), "src", "block")).withColumn("range", F.shiftrightunsigned("h", 52))
-    counts = blocks.groupBy("src", "range").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("src", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    ranked = blocks.withColumn("i", F.row_number().over(Window.partitionBy("src", "range").orderBy("h", "block")))
-    return ranked.join(before, ["src", "range"]).select("src", "block", (F.col("before") + F.col("i") - 1).alias("place"))
-
-
-def slots_to_blocks(slots: DataFrame, p: Plan, cap: int, seed: int = 0) -> DataFrame:
-    """Adds each slot's `block`; a slot that would use a block more than `cap` times stays empty and is left out."""
-    blocks = F.element_at(F.array(*[F.lit(s.blocks).cast("long") for s in p.shares]), F.col("src") + 1)
-    used = slots.withColumn("__n", blocks).where((F.col("__n") > 0) & (F.col("turn") < cap * F.col("__n")))
-    placed = used.withColumn("place", F.pmod("turn", "__n")).join(permutation(slots.sparkSession, p, seed), ["src", "place"])
+    all_ = _unfolded(sources, "slots", sum(s.slots for s in p.shares), "turn")
+    sure = F.col("fixed") * p.shards
+    fixed = all_.where(F.col("turn") < sure).select(
+        F.floor(F.col("turn") / F.col("fixed")).alias("shard"), (F.col("begin") + F.pmod("turn", "fixed")).alias("slot"), "src", "turn", "blocks"
+    )
+    urn = all_.where(F.col("turn") >= sure).select("src", "turn", "blocks", F.lit(0).alias("urn"))
+    drawn = _shuffled(urn, "urn", ["src", "turn"], seed).select(
+        F.pmod("place", F.lit(p.shards)).alias("shard"), (F.floor(F.col("place") / p.shards) + sum(p.fixed)).alias("slot"), "src", "turn", "blocks"
+    )
+    return fixed.unionByName(drawn)
+
+
+def permutation(sources: DataFrame, p: Plan, seed: int = 0) -> DataFrame:
+    """Per source, its blocks in the order of a hash: `src`, `block`, `place` (from 0 without gaps)."""
+    blocks = _unfolded(sources, "blocks", sum(s.blocks for s in p.shares), "block").select("src", "block")
+    return _shuffled(blocks, "src", ["src", "block"], seed)
+
+
+def slots_to_blocks(slots: DataFrame, sources: DataFrame, p: Plan, seed: int = 0) -> DataFrame:
+    """Adds each slot's `block`: the next one of the permutation, from its start again after the last."""
+    placed = slots.withColumn("place", F.pmod("turn", "blocks")).join(permutation(sources, p, seed), ["src", "place"])
     return placed.select("shard", "slot", "src", "turn", "block")
 
 
-def pieces(docs: DataFrame, p: Plan) -> DataFrame:
+def pieces(docs: DataFrame) -> DataFrame:
     """The documents cut at block edges: `row`, `src`, `block`, `begin` and `words`, counted within the document.
 
-    `docs` has `row`, `src`, `size` and `start`, the place of its first word in its source's stream.
+    `docs` has `row`, `src`, `size`, `start`, the place of its first word in its source's stream, and the source's
+    `source_size` and `blocks`. Blocks differ by one word at most, and the longer ones come first.
     """
-    some = docs.where("size > 0")
-    first, last = F.floor(F.col("start") / p.block), F.floor((F.col("start") + F.col("size") - 1) / p.block)
-    cut_up = some.withColumn("block", F.explode(F.sequence(first, last)))
-    lo = F.greatest("start", F.col("block") * p.block)
-    hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * p.block)
+    some = docs.where("size > 0").withColumn("__low", F.expr("source_size DIV blocks")).withColumn("__more", F.pmod("source_size", "blocks"))
+    low, more = F.col("__low"), F.col("__more")
+
+    def holding(word: Column) -> Column:
+        inside = more * (low + 1)
+        return F.when(word < inside, F.floor(word / (low + 1))).otherwise(more + F.floor((word - inside) / low))
+
+    def first_word(block: Column) -> Column:
+        return block * low + F.least(block, more)
+
+    end = F.col("start") + F.col("size")
+    cut_up = some.withColumn("block", F.explode(F.sequence(holding(F.col("start")), holding(end - 1))))
+    lo, hi = F.greatest("start", first_word(F.col("block"))), F.least(end, first_word(F.col("block") + 1))
     return cut_up.select("row", "src", "block", (lo - F.col("start")).alias("begin"), (hi - lo).alias("words"))
 
 
@@ -201,6 +213,9 @@ def mix(
 ) -> Mixture:
     """A mixture of `share` times all words, in which no document appears more than `cap` times.
 
+    Each source's words in it are within about half a block of its target, and a block has `block` words at most, or a
+    sixteenth of the source if that is less.
+
     Sizes are words between ASCII white space; null texts and texts without words have size 0, take no slot
     and have nothing taken. A null source is a source of its own. Rows are told apart by `row`, a number given
     along key, source and text's hash, so repeated rows each take part. An empty table gives an empty mix. Only
@@ -212,47 +227,47 @@ def mix(
     )
     read = cut(read, "mix-sizes")
     p = plan(read, weight, share=share, cap=cap, block=block, slots=slots)
-    # The source's number, looked up in the plan; null has a number as well.
-    known = [s.source for s in p.shares]
-    src = F.array_position(F.array(*[F.lit(s) for s in known if s is not None]).cast("array<string>"), F.col("source"))
-    src = F.when(F.col("source").isNull(), F.lit(known.index(None) if None in known else -1)).otherwise(src - 1).cast("int")
-    # Streams run in the order of a hash, in chunks of its prefix, so that a source of any size is never in one task.
-    chunk = Window.partitionBy("src", "chunk").orderBy("place", "key", "size")
-    rows = read.withColumn("src", src).withColumn("chunk", F.substring("place", 1, 3))
-    sums = rows.groupBy("src", "chunk").agg(F.sum("size").alias("s"), F.count("*").alias("c"))
-    by_source = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("src", "chunk", F.coalesce(F.sum("s").over(by_source), F.lit(0)).alias("s0"), F.coalesce(F.sum("c").over(by_source), F.lit(0)).alias("c0"))
-    rows = rows.withColumn("s1", F.sum("size").over(chunk.rowsBetween(Window.unboundedPreceding, 0))).withColumn("c1", F.row_number().over(chunk))
-    rows = rows.join(before, ["src", "chunk"])
-    rows = rows.select(
-        "key", "source", "src", "size", "place",
-        F.concat_ws("-", "src", (F.col("c0") + F.col("c1")).cast("string")).alias("row"),
-        (F.col("s0") + F.col("s1") - F.col("size")).alias("start"),
+    sources = cut(p.sources(docs.sparkSession), "mix-sources")
+    # Equal rows are counted before they are ordered, so that one key with much of the table is one row here. Streams run in
+    # the order of a hash, in chunks of its prefix, so that a source of any size is never in one task.
+    kinds = read.groupBy("key", "source", "size", "place").agg(F.count("*").alias("copies"))
+    kinds = kinds.join(sources.select(F.col("source").alias("__source"), "src", "source_size", "target", "blocks"), F.col("source").eqNullSafe(F.col("__source")))
+    kinds = kinds.drop("__source").withColumn("chunk", F.substring("place", 1, 3)).withColumn("words", F.col("size") * F.col("copies"))
+    kinds = cut(kinds, "mix-kinds")
+    sums = kinds.groupBy("src", "chunk").agg(F.sum("words").alias("s"), F.sum("copies").alias("c"))
+    earlier = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("src", "chunk", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}0") for c in "sc"])
+    within = Window.partitionBy("src", "chunk").orderBy("place", "key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    kinds = kinds.select("*", F.sum("words").over(within).alias("s1"), F.sum("copies").over(within).alias("c1")).join(before, ["src", "chunk"])
+    kinds = kinds.withColumn("start", F.col("s0") + F.col("s1") - F.col("words")).withColumn("number", F.col("c0") + F.col("c1") - F.col("copies"))
+    few, many = kinds.where(F.col("copies") <= RUN), kinds.where(F.col("copies") > RUN)
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / RUN)))
+    spread = many.withColumn("run", run).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "place", "run")
+    of_run = F.explode(F.sequence(F.col("run") * RUN, F.least("copies", (F.col("run") + 1) * RUN) - 1))
+    rows = few.withColumn("copy", copy).unionByName(spread.withColumn("copy", of_run).drop("run")).select(
+        "key", "source", "src", "size", "place", "source_size", "target", "blocks",
+        F.concat_ws("-", "src", (F.col("number") + F.col("copy")).cast("string")).alias("row"),
+        (F.col("start") + F.col("copy") * F.col("size")).alias("start"),
     )
     rows = cut(rows, "mix-rows")
-    made = slots_to_blocks(draw(docs.sparkSession, p, seed), p, cap, seed)
-    return Mixture(p, rows, made, pieces(rows, p))
+    return Mixture(p, rows, slots_to_blocks(draw(sources, p, seed), sources, p, seed), pieces(rows))
 
 
 def mixed_documents(m: Mixture, key: str = "doc_id") -> DataFrame:
     """Per document row: key, `size`, `source_size`, `target` of its source, and `taken`."""
-    at = lambda values, kind: F.element_at(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("src") + 1)
     rows = m.rows.join(m.taken(), "row", "left")
-    return rows.select(
-        F.col("key").alias(key),
-        "size",
-        at([s.size for s in m.plan.shares], "bigint").alias("source_size"),
-        at([s.target for s in m.plan.shares], "double").alias("target"),
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-    )
+    return rows.select(F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame, m: Mixture, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents themselves, as often as the mix takes them: `taken` over `size`, rounded.
 
-    A document of which the mix takes any word stays at least once; one of which it takes none goes.
+    A document of which the mix takes any word stays at least once; one of which it takes none goes. Columns of any name
+    and type come out as they went in.
     """
+    place, times, copy = (free_name(n, docs.columns) for n in ("__place", "__times", "__copy"))
     rows = m.rows.join(m.taken(), "row", "left").groupBy("place").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    times = rows.where("t > 0").select(F.col("place").alias("__place"), F.greatest(F.lit(1), F.round(F.col("t") / F.col("s"))).cast("int").alias("__times"))
-    met = docs.withColumn("__place", _place(key, text)).join(times, "__place")
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    often = rows.where("t > 0").select(F.col("place").alias(place), F.greatest(F.lit(1), F.round(F.col("t") / F.col("s"))).cast("int").alias(times))
+    met = docs.withColumn(place, _place(key, text)).join(often, place)
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*quoted(docs.columns))

@@ -4,24 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from refledger.llm.url_graph import Rule
+from refledger.llm.url_graph import Rule, rounds_for
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def link_trust(rules: Sequence[Rule], rounds: int = 10, damping: float = 0.85, seed_share: float = 0.5, threshold: float = 1.0) -> str:
-    """Rules, links, and `rounds` steps of propagation, each of them a table expression."""
+def link_trust(rules: Sequence[Rule], damping: float = 0.85, tolerance: float = 1e-6, seed_share: float = 0.5, threshold: float = 1.0) -> str:
+    """Rules, links, and propagation to the tolerance. Seeds are links out of '', which keeps what it has."""
     listed = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}', '{r.name}')" for r in rules)
     low = f"'{_UPPER}', '{_LOWER}'"
-    steps = "\n".join(
-        f"""state_{i} AS MATERIALIZED (
-            SELECT host, SUM(trust) AS trust, SUM(distrust) AS distrust FROM (
-              SELECT s.dst AS host, {damping} * s.f * p.trust AS trust, {damping} * s.b * p.distrust AS distrust FROM steps s JOIN state_{i - 1} p ON p.host = s.here
-              UNION ALL SELECT host, {1 - damping} * trust, {1 - damping} * distrust FROM state_0) GROUP BY host),"""
-        for i in range(1, rounds + 1)
-    )
+    rounds = rounds_for(damping, tolerance)
     return rf"""
-    WITH r(ruled, rhost, rpath, rule) AS (VALUES {listed}),
+    WITH RECURSIVE r(ruled, rhost, rpath, rule) AS (VALUES {listed}),
     p AS MATERIALIZED (SELECT page_id, html, COALESCE(translate(regexp_extract(rest, '^([^/?#]*)', 1), {low}), '') AS host,
                               COALESCE(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
           FROM (SELECT *, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages)),
@@ -46,9 +40,12 @@ def link_trust(rules: Sequence[Rule], rounds: int = 10, damping: float = 0.85, s
               SELECT src AS here, dst, links / SUM(links) OVER (PARTITION BY src) AS f, 0.0 AS b FROM edges
               UNION ALL SELECT dst, src, 0.0, links / SUM(links) OVER (PARTITION BY dst) FROM edges) GROUP BY here, dst),
     state_0 AS MATERIALIZED (SELECT host, COALESCE(good / NULLIF(SUM(good) OVER (), 0), 0) AS trust, COALESCE(bad / NULLIF(SUM(bad) OVER (), 0), 0) AS distrust FROM seeds),
-    {steps}
+    flow AS MATERIALIZED (SELECT here, dst, {damping} * f AS f, {damping} * b AS b FROM steps
+              UNION ALL SELECT '', host, {1 - damping} * trust, {1 - damping} * distrust FROM state_0 UNION ALL SELECT '', '', 1.0, 1.0),
+    state(i, host, trust, distrust) AS (SELECT 0, host, trust, distrust FROM state_0 UNION ALL SELECT 0, '', 1.0, 1.0
+              UNION ALL SELECT i + 1, dst, SUM(f * trust), SUM(b * distrust) FROM state JOIN flow ON here = host WHERE i < {rounds} GROUP BY i, dst),
     scores AS MATERIALIZED (SELECT host, COALESCE(trust / NULLIF(SUM(trust) OVER (), 0), 0) AS trust, COALESCE(distrust / NULLIF(SUM(distrust) OVER (), 0), 0) AS distrust
-               FROM state_{rounds})
+               FROM state WHERE i = {rounds} AND host <> '')
     SELECT page_id, j.host, path, rule,
            COALESCE(ruled, CASE WHEN distrust > trust AND distrust >= {threshold} * (SELECT AVG(distrust) FROM scores) THEN 'block' ELSE 'allow' END) AS verdict,
            round(COALESCE(trust, 0), 6) AS trust, round(COALESCE(distrust, 0), 6) AS distrust

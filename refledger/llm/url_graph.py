@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -84,13 +85,23 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return told.unionByName(both).unionByName(back).groupBy("src", "dst").agg(F.sum("links").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 10, every: int = 5) -> DataFrame:
+def rounds_for(damping: float, tolerance: float) -> int:
+    """Rounds after which no start can be further from the end than the tolerance, as a share of the mass: each round leaves at
+    most the damped part of the distance."""
+    return math.ceil(math.log(tolerance) / math.log(damping))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, rounds: int | None = None, every: int = 6) -> DataFrame:
     """Trust along the links and distrust against them: `host`, `trust`, `distrust`, each summing up to 1.
 
     `seeds` has `host`, `good` and `bad`, the weights of trusted and blocked seeds. Each is a personalised
     PageRank: of what a host has, the damped part goes on over its links in proportion to their number, and
     the rest starts again at the seeds. What hosts without links hold starts again there too, which is the same
     as leaving it out and scaling the sums to 1 in the end. Of seeds without weight, all scores are 0.
+
+    It runs until the scores are within the tolerance: as many rounds as the damping asks for, whatever the graph, or
+    `rounds` if given. The state is written every few of them, so lineage stays short. All links of a host go out of a row each,
+    and what a host takes in is partly added up before the shuffle.
     """
     out = edges.groupBy("src").agg(F.sum("links").alias("n"))
     into = edges.groupBy("dst").agg(F.sum("links").alias("n"))
@@ -102,6 +113,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     share = lambda c, total: F.col(c) / F.lit(float(total)) if total else F.lit(0.0)
     start = cut(seeds.select("host", share("good", good).alias("g"), share("bad", bad).alias("w")), "host-seeds")
     state = start.select("host", F.col("g").alias("trust"), F.col("w").alias("distrust"))
+    rounds = rounds_for(damping, tolerance) if rounds is None else rounds
     for i in range(rounds):
         sent = steps.join(state, steps["at"] == state["host"]).select(
             F.col("to").alias("host"), (damping * F.col("f") * F.col("trust")).alias("trust"), (damping * F.col("b") * F.col("distrust")).alias("distrust")
@@ -125,14 +137,14 @@ def judge(
     seed_share: float = 0.5,
     threshold: float = 1.0,
     damping: float = 0.85,
-    rounds: int = 10,
+    tolerance: float = 1e-6,
 ) -> DataFrame:
     """Per page row: key, `host`, `path`, `rule`, `verdict`, `trust`, `distrust`.
 
     A page with a rule gets the longest fitting rule's verdict. Any other page is blocked if its host's distrust
     exceeds its trust, and is at least `threshold` times the mean over hosts with any score; else it is allowed. Seeds are hosts that
     rules decide for at least `seed_share` of their pages: trusted by allowed pages, blocked by blocked ones,
-    weighted by that share. Urls that are null or without `://` have an empty host, no rule and are allowed;
+    weighted by that share; trust and distrust are right to `tolerance` of their sums. Urls that are null or without `://` have an empty host, no rule and are allowed;
     null html has no links; repeated rows are judged alike; an empty table gives no rows. Only the named
     columns are read.
     """
@@ -142,7 +154,7 @@ def judge(
     hosts = ruled.where("host <> ''").groupBy("host").agg(part("allow").alias("good"), part("block").alias("bad"))
     strong = lambda c: F.when(F.col(c) >= seed_share, F.col(c)).otherwise(0.0)
     seeds = hosts.select("host", strong("good").alias("good"), strong("bad").alias("bad"))
-    scores = propagate(host_edges(read), seeds, damping=damping, rounds=rounds)
+    scores = propagate(host_edges(read), seeds, damping=damping, tolerance=tolerance)
     mean = scores.agg(F.avg("distrust")).first()[0] or 0.0
     blocked = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * mean)
     out = ruled.join(scores, "host", "left")

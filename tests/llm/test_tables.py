@@ -57,6 +57,35 @@ def test_propagation(spark):
         assert (r.trust if r else 0) == pytest.approx(trust.get(h, 0)) and (r.distrust if r else 0) == pytest.approx(distrust.get(h, 0))
 
 
+def solved(edges, start, damping=0.85):
+    """The fixed point itself, by solving the linear equations."""
+    names = sorted({h for s, d, _ in edges for h in (s, d)} | set(start))
+    at = {h: i for i, h in enumerate(names)}
+    m, out = np.zeros((len(names), len(names))), {}
+    for s, _, n in edges:
+        out[s] = out.get(s, 0) + n
+    for s, d, n in edges:
+        m[at[d], at[s]] += n / out[s]
+    b = np.array([start.get(h, 0.0) for h in names])
+    x = np.linalg.solve(np.eye(len(names)) - damping * m, (1 - damping) * b / b.sum())
+    return dict(zip(names, x / x.sum()))
+
+
+CHAIN = [(f"h{i}", f"h{i + 1}", 1.0) for i in range(15)]
+FARM = [(f"f{i}", "money", 1.0) for i in range(30)] + [("money", f"f{i}", 1.0) for i in range(30)]
+
+
+@pytest.mark.parametrize("edges, good, bad", [([("a", "b", 1.0), ("b", "a", 1.0)], "a", "b"), (CHAIN, "h0", "h15"), (FARM + CHAIN, "money", "h14")])
+def test_propagation_ends_at_the_fixed_point(spark, edges, good, bad):
+    """Two hosts linked both ways, hosts far beyond ten links from a seed, and a farm, against the solved equations."""
+    df = spark.createDataFrame(edges, "src string, dst string, links double")
+    seeds = spark.createDataFrame([(good, 1.0, 0.0), (bad, 0.0, 1.0)], "host string, good double, bad double")
+    got = {r.host: r for r in url_graph.propagate(df, seeds).collect()}
+    trust, distrust = solved(edges, {good: 1.0}), solved([(d, s, n) for s, d, n in edges], {bad: 1.0})
+    assert all(abs((got[h].trust if h in got else 0) - x) < 1e-6 for h, x in trust.items())
+    assert all(abs((got[h].distrust if h in got else 0) - x) < 1e-6 for h, x in distrust.items())
+
+
 def test_pages(spark):
     link = lambda h: f'<a href="https://{h}/x">y</a>'
     rows = [
@@ -199,9 +228,74 @@ def test_mix(spark):
     assert m.slots.groupBy("src", "block").count().agg(F.max("count")).first()[0] <= 2
 
 
+def shares_brute(rows, weights, block):
+    """Sizes, targets, blocks and slots per source by plain loops; no target is missed by more than half a block."""
+    sums = {}
+    for _, text, src in rows:
+        sums[src] = sums.get(src, 0) + len((text or "").split())
+    given = mixing.targets(sums, mixing.cyclic(weights), 1.5 * sum(sums.values()), 2)
+    shares = [mixing.share_of(s, sums[s], given[s], block, 2) for s in given]
+    assert all(abs(s.slots * s.size / max(1, s.blocks) - s.target) <= s.size / max(1, s.blocks) / 2 + 1e-9 for s in shares)
+    return shares
+
+
+def test_mix_meets_small_targets(spark):
+    """Sources of a word, of a part of a block, and of a few blocks: each within a block of its target."""
+    sizes = {"a": 1, "b": 20, "c": 130, "d": 300, "e": 5000, "f": 0, None: 50}
+    rows = [(i, "w " * n, s) for i, (s, total) in enumerate(sizes.items()) for n in ([total] if total < 200 else [total // 4] * 4)]
+    df = spark.createDataFrame(rows, SCHEMA + ", source string")
+    shares = shares_brute(rows, (3, 1, 2), 128)
+    m = mixing.mix(df, mixing.cyclic((3, 1, 2)))
+    assert m.plan.shares == tuple(shares)
+    found = mixing.mixed_documents(m).collect()
+    by_size = {s.size: [s, 0] for s in shares}
+    for r in found:
+        assert r.taken <= 2 * r["size"] and r.target == by_size[r.source_size][0].target
+        by_size[r.source_size][1] += r.taken
+    for size, (share, taken) in by_size.items():
+        assert abs(taken - share.target) <= -(-size // share.blocks) if size else taken == 0
+    assert {20: 40, 130: 260, 1: 2}.items() <= {size: taken for size, (_, taken) in by_size.items()}.items()
+    # The whole way again in plain Python, from the slots' blocks: words at a block's places, as often as it is placed.
+    times = {}
+    for r in m.slots.collect():
+        times[r.src, r.block] = times.get((r.src, r.block), 0) + 1
+    for r in m.rows.collect():
+        share, own = shares[r.src], 0
+        low, more = divmod(share.size, share.blocks) if share.blocks else (0, 0)
+        edges = [k * low + min(k, more) for k in range(share.blocks + 1)]
+        for k in range(share.blocks):
+            own += times.get((r.src, k), 0) * max(0, min(edges[k + 1], r.start + r["size"]) - max(edges[k], r.start))
+        assert own == {t.row: t.taken for t in m.taken().collect()}.get(r.row, 0)
+    # The turns of a source run without gaps, and shards differ by one slot at most.
+    turns = {}
+    for r in m.slots.collect():
+        turns.setdefault(r.src, []).append(r.turn)
+    assert all(sorted(t) == list(range(shares[src].slots)) for src, t in turns.items())
+    many = mixing.mix(df, mixing.cyclic((3, 1, 2)), slots=16)
+    per = [sorted(x.slot for x in many.slots.where(F.col("shard") == i).collect()) for i in range(many.plan.shards)]
+    assert len(per) > 5 and all(p == list(range(len(p))) for p in per) and max(map(len, per)) - min(map(len, per)) <= 1
+
+
+def test_mix_of_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 61), f"host{i % 1000:04d}") for i in range(3000)]
+    m = mixing.mix(spark.createDataFrame(rows, SCHEMA + ", source string"), mixing.cyclic((3, 1, 2)))
+    found = m.rows.join(m.taken(), "row", "left").groupBy("src").agg(F.sum("taken").alias("t"), F.first("target").alias("target"), F.first("source_size").alias("n")).collect()
+    assert len(found) == 1000
+    assert all(abs((r.t or 0) - r.target) <= -(-r.n // m.plan.shares[r.src].blocks) for r in found)
+
+
+def test_mix_of_one_key(spark, monkeypatch):
+    """One key and text with most of the rows is counted, not ordered, and unfolded in runs."""
+    monkeypatch.setattr(mixing, "RUN", 64)
+    rows = [(7, "a b c", "s")] * 1000 + [(i, "w " * (i % 9), "s") for i in range(300)]
+    found = mixing.mixed_documents(mixing.mix(spark.createDataFrame(rows, SCHEMA + ", source string"), mixing.cyclic((1,)), block=16)).collect()
+    assert len(found) == 1300 and all(r.taken <= 2 * r["size"] for r in found)
+    assert abs(sum(r.taken for r in found) - found[0].target) <= 16
+
+
 def test_permutation(spark):
-    p = mixing.Plan((mixing.Share("a", 0, 1.0, 700), mixing.Share("b", 0, 1.0, 5)), 1, 1, 1)
-    rows = mixing.permutation(spark, p).collect()
+    p = mixing.Plan((mixing.Share("a", 0, 1.0, 700, 0), mixing.Share("b", 0, 1.0, 5, 0)), 1)
+    rows = mixing.permutation(p.sources(spark), p).collect()
     for src, n in ((0, 700), (1, 5)):
         own = [(r.block, r.place) for r in rows if r.src == src]
         assert sorted(b for b, _ in own) == sorted(q for _, q in own) == list(range(n))
@@ -252,6 +346,25 @@ def test_pipeline_edges(spark, edge):
     assert (rows.count() == 0) == (edge == "empty")
 
 
+def test_pipeline_keeps_other_columns(spark):
+    """Columns with names of the stages' own, with dots and of types without order come out as they went in."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs = docs.unionByName(docs.limit(5)).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    names = ["size", "LAW", "shard", "slot", "a.b", "__number", "__text", "__place", "__times", "__copy", "__language", "__row", "text_crc32"]
+    odd = docs.withColumns({n: F.concat(F.lit(f"{n}:"), F.substring("text", 1, 9)) for n in names})
+    rows = odd.withColumn("map", F.create_map(F.lit("k"), F.substring("text", 1, 9)))
+    first = rows
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, rows, SF)
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == first.columns
+        rows = corpus_pipeline.cut(out, name)
+    assert rows.columns == first.columns + ["_size", "_shard", "_slot"]
+    found = rows.collect()
+    assert found and all(r[n] == f"{n}:" + r.text[:9] for r in found for n in names) and all(r.map == {"k": r.text[:9]} for r in found)
+    assert all(0 <= r["_shard"] < 24 for r in found)
+
+
 def test_ids_do_not_stand_for_documents(spark):
     """Rows of a shared id stay or go by their own texts, and a leak needs no id to go."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
