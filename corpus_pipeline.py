@@ -1,6 +1,8 @@
 """A training corpus from the documents table: five stages, each of them one operator of `refledger.llm`.
 
-Each stage reads what its predecessor kept, written as Parquet in the session's shared folder.
+Each stage reads what its predecessor kept, written as Parquet in the session's shared folder. Columns of any name and type
+besides those of `documents` pass through; a stage has a defined result for nulls, empty texts and empty tables, which its
+operator's docstring states.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refledger.llm import decontaminate, language, mixing, near_dup, shards
-from refledger.llm.common import by_ids, numbered_texts, table
+from refledger.llm.common import by_ids, free_name, numbered_texts, quoted, table
 from refledger.sources.workspace import cut
 
 
@@ -24,10 +26,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share an id, or have none, are documents of their own if their texts differ; in a group, documents with
     an id of their own go before them.
     """
-    named = numbered_texts(docs, "doc_id", "text", "__number")
-    found = near_dup.near_duplicates(named, "__number", shingle=5, num=80, den=100)
-    dropped = cut(found.where(~F.col("kept")).select("__number").distinct(), "dropped-ids")
-    return by_ids(named, dropped, "__number", "left_anti").select(*docs.columns)
+    number = free_name("__number", docs.columns)
+    named = numbered_texts(docs, "doc_id", "text", number)
+    found = near_dup.near_duplicates(named, number, shingle=5, num=80, den=100)
+    dropped = cut(found.where(~F.col("kept")).select(number).distinct(), "dropped-ids")
+    return by_ids(named, dropped, number, "left_anti").select(*quoted(docs.columns))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +44,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot, in 24 shards of equal weight."""
-    placed = shards.assign(docs, {s: 1.0 for s in range(24)}, carry=[c for c in docs.columns if c != "doc_id"])
-    return placed.select(*docs.columns, "size", "shard", "slot")
+    """The documents with their size, shard and slot, in 24 shards of equal weight.
+
+    Columns of the documents keep their names; if they have one of these three, the stage's own gets underscores before it.
+    """
+    row = free_name("__row", docs.columns)
+    packed = docs.select("doc_id", "text", F.struct(*quoted(docs.columns)).alias(row))
+    placed = shards.assign(packed, {s: 1.0 for s in range(24)}, carry=[row])
+    added = [F.col(c).alias(free_name(c, docs.columns)) for c in ("size", "shard", "slot")]
+    return placed.select(F.col(f"{row}.*"), *added)
 
 
 STAGES = [
