@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from refledger.sources.workspace import cut
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FEW_STEPS = 1_000_000  # links of hosts that one task may walk, of some hundred bytes each
 _LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -91,7 +92,7 @@ def rounds_for(damping: float, tolerance: float) -> int:
     return math.ceil(math.log(tolerance) / math.log(damping))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, rounds: int | None = None, every: int = 6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, rounds: int | None = None, every: int = 10, few: int = FEW_STEPS) -> DataFrame:
     """Trust along the links and distrust against them: `host`, `trust`, `distrust`, each summing up to 1.
 
     `seeds` has `host`, `good` and `bad`, the weights of trusted and blocked seeds. Each is a personalised
@@ -100,8 +101,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tole
     as leaving it out and scaling the sums to 1 in the end. Of seeds without weight, all scores are 0.
 
     It runs until the scores are within the tolerance: as many rounds as the damping asks for, whatever the graph, or
-    `rounds` if given. The state is written every few of them, so lineage stays short. All links of a host go out of a row each,
-    and what a host takes in is partly added up before the shuffle.
+    `rounds` if given. The state is written every few of them, so lineage stays short. What a host takes in is partly
+    added up before the shuffle. Links are counted first: up to `few`, a round is not worth a shuffle, and the rounds between two
+    writes run in one task, with the same joins and sums.
     """
     out = edges.groupBy("src").agg(F.sum("links").alias("n"))
     into = edges.groupBy("dst").agg(F.sum("links").alias("n"))
@@ -109,17 +111,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tole
     back = edges.join(into, "dst").select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(0.0).alias("f"), (F.col("links") / F.col("n")).alias("b"))
     steps = forth.unionByName(back).groupBy("at", "to").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
     steps = cut(steps, "host-steps")
+    small = steps.count() <= few
+    placed = (lambda rows: rows.coalesce(1)) if small else (lambda rows: rows)
+    met = (lambda rows: rows.hint("shuffle_hash")) if small else (lambda rows: rows)
+    steps = placed(steps)
     good, bad = seeds.agg(F.sum("good"), F.sum("bad")).first() or (None, None)
     share = lambda c, total: F.col(c) / F.lit(float(total)) if total else F.lit(0.0)
     start = cut(seeds.select("host", share("good", good).alias("g"), share("bad", bad).alias("w")), "host-seeds")
     state = start.select("host", F.col("g").alias("trust"), F.col("w").alias("distrust"))
     rounds = rounds_for(damping, tolerance) if rounds is None else rounds
     for i in range(rounds):
-        sent = steps.join(state, steps["at"] == state["host"]).select(
+        sent = steps.join(met(placed(state)), F.col("at") == F.col("host")).select(
             F.col("to").alias("host"), (damping * F.col("f") * F.col("trust")).alias("trust"), (damping * F.col("b") * F.col("distrust")).alias("distrust")
         )
         fresh = start.select("host", ((1 - damping) * F.col("g")).alias("trust"), ((1 - damping) * F.col("w")).alias("distrust"))
-        state = sent.unionByName(fresh).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        state = placed(sent.unionByName(fresh)).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         if (i + 1) % every == 0 or i + 1 == rounds:
             state = cut(state, "host-trust")
     t, d = state.agg(F.sum("trust"), F.sum("distrust")).first()

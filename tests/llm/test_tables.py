@@ -50,6 +50,8 @@ def test_propagation(spark):
     df = spark.createDataFrame(edges, "src string, dst string, links double")
     seeds = spark.createDataFrame([("a", 1.0, 0.0), ("d", 0.5, 0.0), ("c", 0.0, 1.0)], "host string, good double, bad double")
     got = {r.host: r for r in url_graph.propagate(df, seeds, rounds=7, every=3).collect()}
+    spread = {r.host: r for r in url_graph.propagate(df, seeds, rounds=7, every=3, few=0).collect()}
+    assert {h: (round(r.trust, 12), round(r.distrust, 12)) for h, r in got.items()} == {h: (round(r.trust, 12), round(r.distrust, 12)) for h, r in spread.items()}
     trust = rank_brute(edges, {"a": 1.0, "d": 0.5}, 0.85, 7)
     distrust = rank_brute([(d, s, n) for s, d, n in edges], {"c": 1.0}, 0.85, 7)
     for h in "abcdx":
