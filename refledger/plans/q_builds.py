@@ -27,14 +27,14 @@ def delivered(t: Tables, rows: DataFrame, kind: str, broken: bool, part: Column)
     dealt = rows.withColumn("part", part).repartition("part").sortWithinPartitions("part").write.partitionBy("part")
     if kind == "csv":
         dealt.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-        scanned = scans.scan_csv_strict(t.spark, f"{path}/part=*", schema_of(rows), blanks=True)
+        scanned = scans.scan_csv_strict(t.spark, path, schema_of(rows), blanks=True, nested=True)
     else:
         text = rows.select(part.alias("part"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
         text.repartition("part").sortWithinPartitions("part").write.partitionBy("part").text(path)
-        scanned = scans.scan_jsonl_strict(t.spark, f"{path}/part=*", schema_of(rows))
+        scanned = scans.scan_jsonl_strict(t.spark, path, schema_of(rows), nested=True)
     number = "part=([0-9]+)/"
     scanned = cut(scanned.withColumn("__file", F.regexp_extract(F.input_file_name(), number, 1)), "scanned")
-    files = cut(scans.streamed_fingerprint(t.spark, f"{path}/part=*/part-*", name=F.regexp_extract("path", number, 1)), "files")
+    files = cut(scans.streamed_fingerprint(t.spark, path, name=F.regexp_extract("path", number, 1), nested=True), "files")
     counted = cut(scanned.groupBy(F.col("__file").alias("name")).agg(F.count("*").alias("recordCount")), "counts")
     authorised = files.join(counted, "name").select(F.col("name").alias("declaredName"), "sha256", "bytes", "recordCount")
     authorised = cut(authorised, "authorised")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem, LocalFileSystem
@@ -25,33 +26,53 @@ MANIFEST = (
 )
 
 
+# Tasks that list the folders of one read: each sends its files' names to the driver, with a record of itself.
+LISTERS = 64
+
+
+@contextmanager
+def _few_listers(spark: SparkSession) -> Iterator[None]:
+    """By default Spark lists up to ten thousand folders with a task each."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, LISTERS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scan_csv_strict(
-    spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = False, blanks: bool = False
+    spark: SparkSession, path: str, schema: T.StructType, *, multi_line: bool = False, blanks: bool = False, nested: bool = False
 ) -> DataFrame:
     """CSV with exactly these headers in this order; any malformed row stops the job.
 
     Files without line feeds inside quotes stay splittable; `multi_line=True` reads each file whole.
-    Spark reads an empty field as NULL; with `blanks=True` it becomes an empty text again.
+    Spark reads an empty field as NULL; with `blanks=True` it becomes an empty text again. With `nested=True` the files
+    of all folders under `path` are read.
     """
     # With pruning, a query that reads few columns, or counts, never sees what is wrong in the others.
-    rows = spark.read.schema(schema).option("columnPruning", False).csv(
-        path,
-        header=True,
-        enforceSchema=False,
-        mode="FAILFAST",
-        multiLine=multi_line,
-        escape='"',
-        unescapedQuoteHandling="RAISE_ERROR",
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
+    with _few_listers(spark):
+        rows = spark.read.schema(schema).option("columnPruning", False).csv(
+            path,
+            header=True,
+            enforceSchema=False,
+            mode="FAILFAST",
+            multiLine=multi_line,
+            escape='"',
+            unescapedQuoteHandling="RAISE_ERROR",
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+            recursiveFileLookup=nested,
+        )
     return rows.na.fill("") if blanks else rows
 
 
-def scan_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One JSON object per line with exactly the declared fields; any other line stops the job."""
+def scan_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType, *, nested: bool = False) -> DataFrame:
+    """One JSON object per line with exactly the declared fields; any other line stops the job. `nested` as for CSV."""
     declared = F.array_sort(F.array(*[F.lit(f.name) for f in schema.fields]))
-    lines = spark.read.text(path)
+    with _few_listers(spark):
+        lines = spark.read.text(path, recursiveFileLookup=nested)
     # from_json keeps null for a missing key, so the key set is tested on the raw line.
     exact = F.array_sort(F.json_object_keys("value")).eqNullSafe(declared)
     fault = F.raise_error(F.concat(F.lit("not exactly the declared fields: "), F.col("value")))
@@ -176,9 +197,10 @@ def _tree(ranges: DataFrame, fanout: int) -> DataFrame:
             return done
 
 
-def listed_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Path and length of files; their content is not read. Spark lists no empty files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length")
+def listed_files(spark: SparkSession, path: str | Sequence[str], *, nested: bool = False) -> DataFrame:
+    """Path and length of files; their content is not read. Spark lists no empty files. `nested` as for CSV."""
+    with _few_listers(spark):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", nested).load(path).select("path", "length")
 
 
 def file_trees(spark: SparkSession, path: str | Sequence[str], *, chunk: int = CHUNK, fanout: int = FANOUT) -> DataFrame:
@@ -200,15 +222,16 @@ def file_trees(spark: SparkSession, path: str | Sequence[str], *, chunk: int = C
     return files.join(_tree(digests, fanout), "path").select("path", F.col("length").alias("bytes"), "tree")
 
 
-def streamed_fingerprint(spark: SparkSession, path: str | Sequence[str], name: Column | None = None) -> DataFrame:
+def streamed_fingerprint(spark: SparkSession, path: str | Sequence[str], name: Column | None = None, *, nested: bool = False) -> DataFrame:
     """The rows of `fingerprint` for files of any size: a file is read in blocks by one task, which never holds more.
 
-    SHA-256 runs from a file's first byte to its last, so a file is one task; `file_trees` splits files. The store must
-    be one that pyarrow opens (file, hdfs, s3, gs); elsewhere use `fingerprint`.
+    SHA-256 runs from a file's first byte to its last, so a file is one task; `file_trees` splits files. Many small files
+    share tasks. The store must be one that pyarrow opens (file, hdfs, s3, gs); elsewhere use `fingerprint`.
     """
-    files = cut(listed_files(spark, path), "file-list")
+    files = cut(listed_files(spark, path, nested=nested), "file-list")
     whole = files.select("path", F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("since"), F.col("length").alias("size"))
-    parts = max(1, min(100_000, files.count()))
+    size = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    parts = max(1, min(size.n, 100_000, max(4 * spark.sparkContext.defaultParallelism, -(-size.bytes // CHUNK))))
     digests = whole.repartition(parts, "path").mapInArrow(_ranges_hashed, "path string, number long, sha256 binary")
     own = F.element_at(F.split("path", "/"), -1) if name is None else name
     told = files.join(digests, "path")
