@@ -15,6 +15,7 @@ from refledger.functions.text import classify, generics
 from refledger.operators.history import asof_one, covered_once
 from refledger.operators.lookup import Dataset, gate
 from refledger.operators.prefix import block, numbered, ranked
+from refledger.operators.stage import dealt
 
 PAGE_SIZE = 30  # fixed value: rows a result page shows
 
@@ -141,7 +142,7 @@ def class_listing(
         .distinct()
         .select("as_of", strict_date(F.col("as_of")).alias("as_of_date"), F.explode(F.array(*map(F.lit, every))).alias("class"))
     )
-    classed = items.select(
+    classed = dealt(items.select("code", "ord", "ingredient"), "code").select(
         "code", "ord", "ingredient", F.explode(classify(F.col("ingredient"), labels, other)).alias("class")
     )
     zero = is_zero(F.col("price_raw"))
@@ -160,7 +161,10 @@ def class_listing(
     )
     found = found.where("as_of IS NOT NULL")
     counts = found
-    dated = classed.join(asks.withColumn("as_of_date", strict_date(F.col("as_of"))), "class")
+    # Each item becomes a row per class and date: dealt out, so that no task holds those of a whole split of items.
+    # The asks are as bounded as the class days.
+    dated = classed.join(F.broadcast(asks.withColumn("as_of_date", strict_date(F.col("as_of")))), "class")
+    dated = dealt(dated, "code", "as_of_date")
     matches = asof_one(dated, periods, "code", "as_of_date", ["price_raw"]).where(~zero)
     named = generic_counts(
         matches.withColumn("names", generics(F.col("ingredient"), name_pattern)),

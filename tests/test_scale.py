@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from refledger.functions import text
 from refledger.operators import bitrules, facets, lines
 from refledger.operators.rules import RuleSet
+from refledger.plans.q_facets import _listing
 from refledger.plans.q_lines import MARKERS, PAGE, SUFFIXES, TIERS, markers
 from refledger.plans.registry import Tables
 from refledger.sources import publish, scans
@@ -142,3 +143,18 @@ def test_standing_of_many_rules(spark):
     assert (got[3].path, got[3].n_missing) == ("open", n + 10)
 
 
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+
+
+def test_class_listing_is_dealt_out_before_it_is_added_up(spark):
+    """Items of all classes and dates, and lines of all parts, are in parts that are not put together again."""
+    t = Tables(spark, SF)
+    listing = _listing(t)
+    matches = _exchanges(listing.matches)
+    assert [x for x in matches if "hashpartitioning(code" in x and "as_of_date" in x and "REPARTITION_BY_NUM" in x], matches
+    for rows, key in ((listing.matches, "l_partkey"), (listing.counts, "l_partkey"), (listing.counts, "code")):
+        assert [x for x in _exchanges(rows) if f"hashpartitioning({key}" in x and "REPARTITION_BY_NUM" in x], _exchanges(rows)
