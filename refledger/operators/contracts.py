@@ -1,7 +1,7 @@
 """Dataset contracts. Each check returns violations: (check_id, dataset, key, detail).
 
 A publish job stops if any check returns a row. No check collects a group; all are filters, joins on
-the key, or aggregates that are partly computed on the map side.
+the key, or aggregates. Keys that may be nearly unique are dealt out before they are added up.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from refledger.functions.text import same_without_ws
 from refledger.operators import history
 from refledger.operators.prefix import block, numbered
+from refledger.operators.stage import dealt
 from refledger.operators.words import held_words
 
 # Registers of a sketch, as a power of two.
@@ -31,6 +32,19 @@ def violations(rows: DataFrame, check_id: str, dataset: str, key: Column, detail
     )
 
 
+def _known(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Distinct keys, under another name."""
+    return dealt(rows.select(F.col(key).alias(name)), name).distinct()
+
+
+def _each(rows: DataFrame, n: str, step: int = 1 << 16) -> DataFrame:
+    """Each row as many times as its column `n` says. A large number is taken in steps, so that no list is long."""
+    since = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n), F.lit(step).cast("bigint")))
+    blocks = rows.withColumn("__since", since)
+    last = F.least(F.col("__since") + step - 1, F.col(n))
+    return blocks.withColumn("__copy", F.explode(F.sequence(F.col("__since"), last))).drop("__since", "__copy")
+
+
 def _key(cols: Sequence[str]) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
 
@@ -142,14 +156,16 @@ def expect_contiguous(df: DataFrame, keys: Sequence[str], ord: str, number: str,
 
 
 def expect_unique(df: DataFrame, key: Sequence[str], dataset: str) -> DataFrame:
-    repeated = df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    repeated = dealt(df.select(*key), *key).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     return violations(repeated, "unique", dataset, _key(key), F.col("n"))
 
 
 def expect_ref(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, dataset: str) -> DataFrame:
     """References that name no parent, one violation per child row."""
-    known = parent.select(F.col(parent_key).alias(child_key)).distinct()
-    return violations(child.join(known, child_key, "left_anti"), "reference", dataset, F.col(child_key), F.lit("unknown"))
+    known = _known(parent, parent_key, child_key)
+    counted = dealt(child.select(child_key), child_key).groupBy(child_key).agg(F.count("*").alias("__n"))
+    odd = _each(counted.join(known, child_key, "left_anti"), "__n")
+    return violations(odd, "reference", dataset, F.col(child_key), F.lit("unknown"))
 
 
 def expect_parent_first(df: DataFrame, id_: str, parent: str, ord: str, dataset: str) -> DataFrame:
@@ -170,8 +186,9 @@ def expect_one_owner(df: DataFrame, member: str, owner: str, dataset: str) -> Da
 
 def expect_children(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, dataset: str) -> DataFrame:
     """Parents that no child names."""
-    named = child.select(F.col(child_key).alias(parent_key)).distinct()
-    return violations(parent.join(named, parent_key, "left_anti"), "children", dataset, F.col(parent_key), F.lit("none"))
+    named = _known(child, child_key, parent_key)
+    rows = dealt(parent.select(parent_key), parent_key)
+    return violations(rows.join(named, parent_key, "left_anti"), "children", dataset, F.col(parent_key), F.lit("none"))
 
 
 def expect_enough(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, required: str, dataset: str) -> DataFrame:
@@ -191,7 +208,9 @@ def expect_null_together(df: DataFrame, a: str, b: str, dataset: str, key: Seque
 
 def expect_same_text(df: DataFrame, heading: str, text: str, dataset: str) -> DataFrame:
     """Rows under one heading carry one text."""
-    mixed = df.where(F.col(heading).isNotNull()).groupBy(heading).agg(F.min(text).alias("a"), F.max(text).alias("b"))
+    # Texts of a heading are few, so a hot heading is a few rows once its texts are distinct.
+    texts = dealt(df.where(F.col(heading).isNotNull()).select(heading, text), heading, text).distinct()
+    mixed = dealt(texts, heading).groupBy(heading).agg(F.min(text).alias("a"), F.max(text).alias("b"))
     return violations(mixed.where("a <> b"), "same_text", dataset, F.col(heading), F.lit("texts differ"))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from refledger.functions import text
-from refledger.operators import bitrules, facets, lines
+from refledger.operators import bitrules, contracts, facets, lines
 from refledger.operators.rules import RuleSet
 from refledger.plans.q_facets import _listing
 from refledger.plans.q_lines import MARKERS, PAGE, SUFFIXES, TIERS, markers
@@ -158,3 +158,30 @@ def test_class_listing_is_dealt_out_before_it_is_added_up(spark):
     assert [x for x in matches if "hashpartitioning(code" in x and "as_of_date" in x and "REPARTITION_BY_NUM" in x], matches
     for rows, key in ((listing.matches, "l_partkey"), (listing.counts, "l_partkey"), (listing.counts, "code")):
         assert [x for x in _exchanges(rows) if f"hashpartitioning({key}" in x and "REPARTITION_BY_NUM" in x], _exchanges(rows)
+
+
+def test_checks_on_keys_are_dealt_out_by_key(spark):
+    """Nearly unique keys are not added up within a split before they are shuffled, nor put together afterwards."""
+    t = Tables(spark, SF)
+    checks = [
+        contracts.expect_unique(t["lineitem"], ["l_orderkey", "l_linenumber"], "lineitem"),
+        contracts.expect_ref(t["lineitem"], t["part"], "l_partkey", "p_partkey", "lineitem"),
+        contracts.expect_children(t["orders"], t["lineitem"], "o_orderkey", "l_orderkey", "orders"),
+        contracts.expect_same_text(t["orders"], "o_custkey", "o_orderstatus", "orders"),
+    ]
+    for check in checks:
+        found = _exchanges(check)
+        assert found and not [x for x in found if "ENSURE_REQUIREMENTS" in x], found
+
+
+def test_each_row_as_often_as_it_counts(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 7), (None, 6), ("d", 3)], "k string, n long")
+    got = contracts._each(rows, "n", step=3).groupBy("k", "n").count().collect()
+    assert {(r.k, r.n, r["count"]) for r in got} == {("a", 1, 1), ("b", 7, 7), (None, 6, 6), ("d", 3, 3)}
+
+
+def test_references_are_reported_row_by_row(spark):
+    child = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,), (3,)], "k int")
+    parent = spark.createDataFrame([(2,), (2,), (None,)], "p int")
+    got = [r.key for r in contracts.expect_ref(child, parent, "k", "p", "c").collect()]
+    assert sorted(map(str, got)) == ["1", "1", "3", "None", "None"]
