@@ -61,13 +61,17 @@ class Coder:
 
     def of(self, token: str) -> int:
         """Code in the low 24 bits, then five flags, then 34 bits that tell raw values apart."""
-        core = _core(token)
+        # Letters and digits alone have no edge to cut off and end no sentence.
+        bare = token.isalnum()
+        core = token if bare else _core(token)
         low = core.lower()
         if not core:
             # Marks alone are no token, but a full stop among them still ends the sentence.
             return NOTHING | (_ENDS if token[-1] in ".!?:" else 0) << 24
         flags = 0
-        if _NUMBER.fullmatch(low):
+        if low[0].isalpha():
+            pass  # neither a number nor an amount with its unit
+        elif _NUMBER.fullmatch(low):
             flags |= _IS_NUMBER
         elif low[0] in "$€£" or low[0].isdigit():
             made = _GLUE.fullmatch(low)
@@ -77,7 +81,7 @@ class Coder:
             flags |= _IS_UNIT
         if core[0].isupper() and core[1:].islower():
             flags |= _IS_NAME
-        if token.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":"):
+        if not bare and token.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":"):
             flags |= _ENDS
         code = self.words.get(low, UNKNOWN)
         if not code and self.learning:

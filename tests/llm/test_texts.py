@@ -442,3 +442,35 @@ def test_lines_within_reach_share_a_key(line, edits, r):
     if len(short) > edits:
         own, asked = (set(line_dedup.keys_of([t], edits, probe)[0].tolist()) for t, probe in ((short, False), (long, True)))
         assert own & asked
+
+
+def _plain_code(coder, token):
+    """A token's flags and raw value by the patterns alone."""
+    d = decontaminate
+    core = d._core(token)
+    low = core.lower()
+    if not core:
+        return d.NOTHING | (d._ENDS if token[-1] in ".!?:" else 0) << 24
+    made = d._GLUE.fullmatch(low) if low[0] in "$€£" or low[0].isdigit() else None
+    number = d._NUMBER.fullmatch(low)
+    flags = d._IS_NUMBER * bool(number) | d._GLUED * bool(not number and made and (made[1] or made[3]) and (not made[3] or made[3] in d.UNITS))
+    flags |= d._IS_UNIT * (low in d.UNITS) | d._IS_NAME * (core[0].isupper() and core[1:].islower())
+    flags |= d._ENDS * (token.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":"))
+    return (d.xxhash.xxh64_intdigest(low) & ((1 << 34) - 1)) << 29 | flags << 24 | coder.words.get(low, d.UNKNOWN)
+
+
+def test_codes_of_odd_tokens():
+    parts = ["a", "Ab", "İ", "ß", "ª", "²", "٣", "5", "12.5", "km", "$", "€", "%", "°", "_", "-", "+", ".", ":", "\"", "(", ")", "”", "中", "É", "́", "½", "Ⅷ", "x9"]
+    tokens = {a + b + c for a in parts for b in ["", *parts] for c in ["", *parts]}
+    coder = decontaminate.Coder({"a": 8, "abkm": 9, "5": 10}, learning=False)
+    assert len(tokens) > 20_000 and [t for t in tokens if coder.of(t) != _plain_code(coder, t)] == []
+
+
+def test_plain_words_pass_no_pattern(monkeypatch):
+    """Most words are letters alone: their codes follow without a regular expression."""
+    calls = []
+    core = decontaminate._core
+    monkeypatch.setattr(decontaminate, "_core", lambda t: calls.append(t) or core(t))
+    coder = decontaminate.Coder()
+    coder.tokens("Plain words of a text, with two marks.")
+    assert sorted(calls) == ["marks.", "text,"]
