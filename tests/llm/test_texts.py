@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -410,6 +411,35 @@ def levenshtein_within(a, b, limit):
     return a == b or (len(a) < 200 and helpers.levenshtein(a, b) <= limit)
 
 
+def test_lines_of_one_segment_are_not_all_paired(spark, monkeypatch):
+    """Of lines that share their first segment and nothing else, pairs grow no faster than the lines."""
+    r = random.Random(7)
+    start = "".join(r.choice("abcdefgh ") for _ in range(43)) + "."
+    lines = [start + "".join(r.choice("abcdefghijklmnop ") for _ in range(85)) + "." for _ in range(60)]
+    lines.append(lines[7][:90] + "X" + lines[7][91:])
+    counted, own = [], line_dedup._verified
+
+    def verified(pairs, *rest):
+        counted.append(pairs.count())
+        return own(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_verified", verified)
+    found = {r.no: (r.class_no, r.exact) for r in line_dedup.duplicate_lines(docs_of(spark, ["\n".join(lines)])).collect()}
+    assert found == {**{no: (no, True) for no in range(1, 61)}, 61: (8, False)}
+    assert sum(counted) <= 2 * len(lines)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_lines_of_a_key_across_batches(size):
+    r = random.Random(size)
+    owned = {(k, y): r.random() < 0.3 for k, y in ((r.randrange(-20, 20), r.randrange(12)) for _ in range(150))}
+    rows = sorted((k, y - (1 << 63) * own) for (k, y), own in owned.items() for _ in range(r.randrange(1, 4)))
+    batches = [pa.RecordBatch.from_pydict({"k": [k for k, _ in part], "v": [v for _, v in part]}) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
+    got = [tuple(x.values()) for batch in line_dedup._stars(iter(batches)) for x in batch.to_pylist()]
+    first = {k: min(y for (j, y), own in owned.items() if j == k and own) for k in {k for (k, _), own in owned.items() if own}}
+    assert sorted(got) == sorted((k, first[k], y, own) for (k, y), own in owned.items() if k in first and y != first[k])
+
+
 def test_lines_removed(spark):
     texts = ["a line of some length here\nanother line", "a line of some length herE\nanother line\n\nnew", None, ""]
     docs = with_clashes(docs_of(spark, texts))
