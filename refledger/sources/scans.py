@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem, LocalFileSystem
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from refledger.operators.contracts import violations
+from refledger.sources import sha_state
 from refledger.sources.workspace import cut
 
 # --- Fixed values: the manifest's tag ------------------------------------------------------------
@@ -137,21 +139,28 @@ def check_manifest(
     )
 
 
-def fingerprint(spark: SparkSession, path: str | Sequence[str], name: Column | None = None) -> DataFrame:
+def fingerprint(spark: SparkSession, path: str | Sequence[str], name: Column | None = None, *, whole: int = 128 << 20) -> DataFrame:
     """SHA-256 and size of each file, named by the end of its path or by `name`, an expression over `path`.
 
-    A file is one value here, so files over 2 GB are out of reach.
+    Spark reads files of up to `whole` bytes as one value. Larger ones are hashed range by range, as by
+    `streamed_fingerprint` but with other ranges; where pyarrow does not open the store, they are one value too, so
+    files over 2 GB are out of reach there.
     """
     files = spark.read.format("binaryFile").load(path)
     own = F.element_at(F.split("path", "/"), -1) if name is None else name
-    return files.select(
-        own.alias("name"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("bytes"),
-    )
+    value = lambda rows: rows.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    # The length alone tells Spark which files not to read.
+    large = files.where(F.col("length") > whole).select("path", "length")
+    if large.isEmpty() or not large.mapInArrow(_openable, "path string, opens boolean").where("NOT opens").isEmpty():
+        told = value(files)
+    else:
+        told = value(files.where(F.col("length") <= whole)).unionByName(_in_turns(large, RANGE // 4 * 3))
+    return told.select(own.alias("name"), "sha256", F.col("length").alias("bytes"))
 
 
 CHUNK, FANOUT, BLOCK = 64 << 20, 1024, 4 << 20
+# What one task reads of a file whose hash other tasks carry on; a multiple of `sha_state.STEP`.
+RANGE = 256 << 20
 
 
 def _opened(path: str):
@@ -161,15 +170,33 @@ def _opened(path: str):
     return filesystem.open_input_file(place)
 
 
-def _hashed(stream, size: int) -> bytes:
-    """SHA-256 of the next `size` bytes, a block at a time."""
-    out, left = hashlib.sha256(), size
+def _openable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            try:
+                _opened(path).close()
+                opens = True
+            except (OSError, ValueError, ImportError, NotImplementedError):
+                opens = False
+            yield pa.RecordBatch.from_pylist([{"path": path, "opens": opens}])
+
+
+def _blocks(stream, size: int) -> Iterator[bytes]:
+    """The next `size` bytes, a block at a time."""
+    left = size
     while left > 0:
         block = stream.read(min(BLOCK, left))
         if not block:
             raise OSError("a file ended early")
-        out.update(block)
+        yield block
         left -= len(block)
+
+
+def _hashed(stream, size: int) -> bytes:
+    """SHA-256 of the next `size` bytes."""
+    out = hashlib.sha256()
+    for block in _blocks(stream, size):
+        out.update(block)
     return out.digest()
 
 
@@ -183,6 +210,51 @@ def _ranges_hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_pylist([{"path": row["path"], "number": row["number"], "sha256": digest}], pa.schema([("path", pa.string()), ("number", pa.int64()), ("sha256", pa.binary())]))
 
 
+_TURN = pa.schema([("path", pa.string()), ("length", pa.int64()), ("since", pa.int64()), ("state", pa.binary()), ("sha256", pa.string())])
+
+
+def _turn(reach: int):
+    """Files to their next `reach` bytes: the state after these, or the digest after the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                end = min(row["since"] + reach, row["length"])
+                with _opened(row["path"]) as stream:
+                    if (library := sha_state.library()) is None:
+                        # No states here: this task reads the whole file.
+                        told = {"since": row["length"], "state": None, "sha256": _hashed(stream, row["length"]).hex()}
+                    else:
+                        out = sha_state.Sha256(library, row["state"], row["since"])
+                        stream.seek(row["since"])
+                        for block in _blocks(stream, end - row["since"]):
+                            out.update(block)
+                        ended = end == row["length"]
+                        told = {"since": end, "state": None if ended else out.state(), "sha256": out.digest().hex() if ended else None}
+                yield pa.RecordBatch.from_pylist([{"path": row["path"], "length": row["length"], **told}], _TURN)
+
+    return run
+
+
+def _in_turns(files: DataFrame, reach: int) -> DataFrame:
+    """SHA-256 of large files: path, length, sha256.
+
+    SHA-256 runs from a file's first byte to its last, so a file's ranges come one after the other, but a task reads only
+    one of them and hands the hash's state to the next. All files take their turns side by side.
+    """
+    zero = F.lit(0).cast("long").alias("since")
+    left, ended = files.select("path", "length", zero, F.lit(None).cast("binary").alias("state")), []
+    n = left.count()
+    while n:
+        dealt = left.repartitionByRange(min(n, 100_000), "path")
+        told = cut(dealt.mapInArrow(_turn(reach), "path string, length long, since long, state binary, sha256 string"), "hash-states")
+        left, before = told.where("sha256 IS NULL").drop("sha256"), n
+        n = left.count()
+        if n < before:
+            ended.append(told.where("sha256 IS NOT NULL").select("path", "length", "sha256"))
+    return reduce(DataFrame.unionByName, ended)
+
+
 def _tree(ranges: DataFrame, fanout: int) -> DataFrame:
     """(path, tree): digests of a file's ranges, `fanout` of them at a time, until one is left; `top` is its last number."""
     done, nodes, most = None, ranges, ranges.agg(F.max("top")).first()[0] or 0
@@ -222,20 +294,25 @@ def file_trees(spark: SparkSession, path: str | Sequence[str], *, chunk: int = C
     return files.join(_tree(digests, fanout), "path").select("path", F.col("length").alias("bytes"), "tree")
 
 
-def streamed_fingerprint(spark: SparkSession, path: str | Sequence[str], name: Column | None = None, *, nested: bool = False) -> DataFrame:
-    """The rows of `fingerprint` for files of any size: a file is read in blocks by one task, which never holds more.
+def streamed_fingerprint(
+    spark: SparkSession, path: str | Sequence[str], name: Column | None = None, *, nested: bool = False, reach: int = RANGE
+) -> DataFrame:
+    """The rows of `fingerprint` for files of any size, read in blocks, of which a task never holds more than one.
 
-    SHA-256 runs from a file's first byte to its last, so a file is one task; `file_trees` splits files. Many small files
-    share tasks. The store must be one that pyarrow opens (file, hdfs, s3, gs); elsewhere use `fingerprint`.
+    Small files share tasks. Of a file over CHUNK a task reads `reach` bytes at most and goes on from the hash's state
+    after the bytes before. The store must be one that pyarrow opens (file, hdfs, s3, gs); elsewhere use `fingerprint`.
     """
     files = cut(listed_files(spark, path, nested=nested), "file-list")
-    whole = files.select("path", F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("since"), F.col("length").alias("size"))
-    size = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    large, small = files.where(F.col("length") > min(CHUNK, reach)), files.where(F.col("length") <= min(CHUNK, reach))
+    whole = small.select("path", F.lit(0).cast("long").alias("number"), F.lit(0).cast("long").alias("since"), F.col("length").alias("size"))
+    size = small.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
     parts = max(1, min(size.n, 100_000, max(4 * spark.sparkContext.defaultParallelism, -(-size.bytes // CHUNK))))
     digests = whole.repartition(parts, "path").mapInArrow(_ranges_hashed, "path string, number long, sha256 binary")
+    told = small.join(digests, "path").select("path", "length", F.lower(F.hex("sha256")).alias("sha256"))
+    if not large.isEmpty():
+        told = told.unionByName(_in_turns(large, reach))
     own = F.element_at(F.split("path", "/"), -1) if name is None else name
-    told = files.join(digests, "path")
-    return told.select(own.alias("name"), F.lower(F.hex("sha256")).alias("sha256"), F.col("length").alias("bytes"))
+    return told.select(own.alias("name"), "sha256", F.col("length").alias("bytes"))
 
 
 def compare_fingerprints(files: DataFrame, pinned: DataFrame) -> DataFrame:

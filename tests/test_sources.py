@@ -3,11 +3,12 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from refledger.sources import scans
+from refledger.sources import scans, sha_state
 from refledger.sources.publish import drift, publish, read_version
 
 SCHEMA = StructType([StructField("a", StringType()), StructField("b", StringType())])
@@ -135,6 +136,49 @@ def test_a_file_over_two_gigabytes(spark, tmp_path):
     assert (tree.bytes, tree.tree) == (size, hashlib.sha256("".join(level).encode()).hexdigest())
 
 
+def test_a_task_reads_one_range_of_a_file(spark, tmp_path, monkeypatch):
+    bodies = {f"f{n}": bytes(i * 7 % 251 for i in range(n)) for n in (1, 64, 127, 128, 129, 256, 1000)}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    due = sorted((n, hashlib.sha256(b).hexdigest(), len(b)) for n, b in bodies.items())
+    for reach in (128, 384, 1 << 20):
+        assert sorted(map(tuple, scans.streamed_fingerprint(spark, str(tmp_path), reach=reach).collect())) == due
+    monkeypatch.setattr(scans, "RANGE", 256)
+    for whole in (128, 1 << 20):
+        assert sorted(map(tuple, scans.fingerprint(spark, str(tmp_path), whole=whole).collect())) == due
+    # One turn reads its range only, wherever it begins; without states it reads the file.
+    read = []
+    monkeypatch.setattr(scans, "_blocks", lambda stream, size: read.append((stream.tell(), size)) or [stream.read(size)])
+    row = {"path": f"file:{tmp_path}/f1000", "length": 1000, "since": 0, "state": None}
+    while row.get("sha256") is None:
+        batch = pa.RecordBatch.from_pylist([{k: row[k] for k in ("path", "length", "since", "state")}], pa.schema([f for f in scans._TURN if f.name != "sha256"]))
+        (told,) = scans._turn(384)(iter([batch]))
+        (row,) = told.to_pylist()
+    assert read == [(0, 384), (384, 384), (768, 232)] and row["sha256"] == hashlib.sha256(bodies["f1000"]).hexdigest()
+    monkeypatch.setattr(sha_state, "library", lambda: None)
+    (told,) = scans._turn(384)(iter([batch]))
+    assert read[3:] == [(0, 1000)] and told.to_pylist()[0]["sha256"] == row["sha256"]
+    monkeypatch.undo()
+    with pytest.raises(ValueError):
+        list(scans._turn(100)(iter([batch.set_column(2, "since", pa.array([0])).set_column(3, "state", pa.array([None], pa.binary()))])))
+
+
+def test_the_second_way_reads_files_over_two_gigabytes(spark, tmp_path):
+    """Sparse, as above. A value of Spark's can't hold it."""
+    path, size, due = tmp_path / "big", (1 << 31) + 77, hashlib.sha256()
+    with open(path, "wb") as f:
+        f.truncate(size)
+        for at in (0, (192 << 20) - 1, size - 3):
+            f.seek(at)
+            f.write(b"abc")
+    with open(path, "rb") as f:
+        while block := f.read(64 << 20):
+            due.update(block)
+    second = scans.fingerprint(spark, str(path))
+    assert [tuple(r) for r in second.collect()] == [("big", due.hexdigest(), size)]
+    assert scans.compare_fingerprints(scans.streamed_fingerprint(spark, str(path)), second).isEmpty()
+
+
 def test_two_writers(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
