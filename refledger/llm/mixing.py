@@ -108,6 +108,14 @@ def _unfolded(sources: DataFrame, n: str, total: int, name: str) -> DataFrame:
     return runs.withColumn(name, F.explode(F.sequence(run * RUN, F.least(number, (run + 1) * RUN) - 1))).drop("__run")
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join whose rows, or those that it meets, are unfolded from few: both sides are shuffled, whatever they seem to hold.
+
+    Spark takes unfolded rows for as many as they were before, and would send millions of slots or blocks through the driver.
+    """
+    return side.hint("merge")
+
+
 def _shuffled(rows: DataFrame, group: str, order: list[str], seed: int) -> DataFrame:
     """Adds `place`, from 0 without gaps in each group, in the order of a hash.
 
@@ -118,7 +126,7 @@ def _shuffled(rows: DataFrame, group: str, order: list[str], seed: int) -> DataF
     earlier = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(group, "__range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
     ranked = rows.withColumn("__i", F.row_number().over(Window.partitionBy(group, "__range").orderBy("__h", *order)))
-    placed = ranked.join(before, [group, "__range"]).withColumn("place", F.col("__before") + F.col("__i") - 1)
+    placed = ranked.join(merged(before), [group, "__range"]).withColumn("place", F.col("__before") + F.col("__i") - 1)
     return placed.drop("__h", "__range", "__before", "__i")
 
 
@@ -149,7 +157,7 @@ def permutation(sources: DataFrame, p: Plan, seed: int = 0) -> DataFrame:
 
 def slots_to_blocks(slots: DataFrame, sources: DataFrame, p: Plan, seed: int = 0) -> DataFrame:
     """Adds each slot's `block`: the next one of the permutation, from its start again after the last."""
-    placed = slots.withColumn("place", F.pmod("turn", "blocks")).join(permutation(sources, p, seed), ["src", "place"])
+    placed = slots.withColumn("place", F.pmod("turn", "blocks")).join(merged(permutation(sources, p, seed)), ["src", "place"])
     return placed.select("shard", "slot", "src", "turn", "block")
 
 
@@ -186,12 +194,12 @@ class Mixture:
 
     def placed(self) -> DataFrame:
         """What stands where in the output: shard, slot, and the pieces of documents that fill it."""
-        return self.slots.join(self.pieces, ["src", "block"]).select("shard", "slot", "row", "begin", "words")
+        return self.slots.join(merged(self.pieces), ["src", "block"]).select("shard", "slot", "row", "begin", "words")
 
     def taken(self) -> DataFrame:
         """`row` and the number of its words that the mix holds, repeats counted."""
         times = self.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
-        return self.pieces.join(times, ["src", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        return self.pieces.join(merged(times), ["src", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
 
 
 def _place(key: str, text: str) -> Column:
@@ -256,7 +264,7 @@ def mix(
 
 def mixed_documents(m: Mixture, key: str = "doc_id") -> DataFrame:
     """Per document row: key, `size`, `source_size`, `target` of its source, and `taken`."""
-    rows = m.rows.join(m.taken(), "row", "left")
+    rows = m.rows.join(merged(m.taken()), "row", "left")
     return rows.select(F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

@@ -304,6 +304,17 @@ def test_permutation(spark):
     assert sum(r.block == r.place for r in rows) < 50
 
 
+def test_mix_sends_no_unfolded_rows_to_the_driver(spark):
+    """Slots and blocks come from a row a source, and pieces from a row a document, which is all that Spark knows of their number."""
+    rows = [(i, "w " * 5_000, "s") for i in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA + ", source string")
+    m = mixing.mix(df, mixing.cyclic((1,)), block=8, slots=64)
+    for found in (m.slots, m.taken(), m.placed(), mixing.mixed_documents(m)):
+        found.write.format("noop").mode("overwrite").save()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan, plan
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], SCHEMA + ", source string")
     assert mixing.mixed_documents(mixing.mix(df, mixing.cyclic((1,)))).count() == 0
