@@ -275,7 +275,7 @@ def repeated(docs: DataFrame, m: Mixture, key: str = "doc_id", text: str = "text
     and type come out as they went in.
     """
     place, times, copy = (free_name(n, docs.columns) for n in ("__place", "__times", "__copy"))
-    rows = m.rows.join(m.taken(), "row", "left").groupBy("place").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
+    rows = m.rows.join(merged(m.taken()), "row", "left").groupBy("place").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
     often = rows.where("t > 0").select(F.col("place").alias(place), F.greatest(F.lit(1), F.round(F.col("t") / F.col("s"))).cast("int").alias(times))
     met = docs.withColumn(place, _place(key, text)).join(often, place)
     return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*quoted(docs.columns))

@@ -315,6 +315,15 @@ def test_mix_sends_no_unfolded_rows_to_the_driver(spark):
         assert "BroadcastExchange" not in plan, plan
 
 
+def test_repeated_documents_send_no_unfolded_rows_to_the_driver(spark):
+    df = spark.createDataFrame([(i, "w " * 5_000, "s") for i in range(4)], SCHEMA + ", source string")
+    found = mixing.repeated(df, mixing.mix(df, mixing.cyclic((1,)), block=8, slots=64))
+    # How often each text appears is all that may be broadcast, and that is a row a text.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") == 5, plan
+    assert sorted({r.doc_id for r in found.collect()}) == [0, 1, 2, 3]
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], SCHEMA + ", source string")
     assert mixing.mixed_documents(mixing.mix(df, mixing.cyclic((1,)))).count() == 0
