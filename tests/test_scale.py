@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date, timedelta
 from unicodedata import normalize
 
 import pytest
@@ -11,10 +14,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from refledger.functions import text
-from refledger.operators import bitrules, contracts, facets, lines
+from refledger.operators import bitrules, contracts, facets, history, lines, mining
 from refledger.operators.rules import RuleSet
 from refledger.plans.q_facets import _listing
-from refledger.plans.q_lines import MARKERS, PAGE, SUFFIXES, TIERS, markers
+from refledger.plans.q_lines import MARKERS, PAGE, SUFFIXES, TIERS, k12_bare, k12_violations, markers
 from refledger.plans.registry import Tables
 from refledger.sources import publish, scans
 from tests.test_bitrules import answers_of, rule_set
@@ -185,3 +188,73 @@ def test_references_are_reported_row_by_row(spark):
     parent = spark.createDataFrame([(2,), (2,), (None,)], "p int")
     got = [r.key for r in contracts.expect_ref(child, parent, "k", "p", "c").collect()]
     assert sorted(map(str, got)) == ["1", "1", "3", "None", "None"]
+
+
+def test_listing_threads_leave_the_setting_as_it_was(spark):
+    name, inside = "spark.sql.sources.parallelPartitionDiscovery.parallelism", threading.Barrier(2)
+    before = spark.conf.get(name)
+
+    def listed(_):
+        inside.wait()
+        for _ in range(20):
+            with scans._few_listers(spark):
+                time.sleep(0.002)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(listed, range(2)))
+    assert spark.conf.get(name) == before
+
+
+def test_layout_violations_are_found_where_lines_lie(spark):
+    """Lines are not written and read again, which put them all into as few tasks as their compressed size gives."""
+    found = k12_violations(Tables(spark, SF))
+    assert all("/testdata/" in path for path in found.inputFiles()), found.inputFiles()
+
+
+def test_items_without_ordinal_come_from_one_reading(spark):
+    """No join tells a line its document's first number: it comes with the line."""
+    plan = k12_bare(Tables(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("l_partkey" in x for x in plan.split("\n") if "Join Inner" in x), plan
+
+
+def test_lost_digits_of_one_block_and_of_several(spark):
+    first, second, end = MARKERS
+    texts = {
+        1: [first, "一、Tier A：", "(二) flat item", "  2", "(一)abc", "   9", "(二) more", "       3", "x", "  2", second, "一、one", "3", end],
+        2: [first, "2", second, "  3", end],
+        3: [first, "(二) lost", second],
+        4: ["2", "3", second, first, "一、Tier A：", "(二) a", "5", "2", "(二) b", second, "一、two", end, second, end],
+        None: [first, "一、Tier A：", second, end],
+    }
+    for scale in (1, 70_000):
+        rows = spark.createDataFrame([(d, i * scale, x) for d, held in texts.items() for i, x in enumerate(held)], "doc long, ord long, line string")
+        built = lines.lines_to_rules(rows, "doc", markers(), TIERS, SUFFIXES, PAGE)
+        got = [sorted(str({**r.asDict(), "ord": None if r.ord is None else r.ord // scale}) for r in df.collect()) for df in built]
+        if scale == 1:
+            near = got
+    assert near == got
+    assert sum("orphan digit" in x for x in near[3]) >= 5
+
+
+def test_stretches_are_counted_as_of_dates(spark):
+    rng = random.Random(5)
+    day = lambda n: date(2000, 1, 1) + timedelta(n)
+    spans = [(rng.choice("ab"), rng.choice([True, False, None]), (since := rng.randrange(40)), rng.choice([None, since + rng.randrange(1, 9)]), rng.randrange(1, 4)) for _ in range(60)]
+    rows = [(q, c, day(a), None if b is None else day(b), n) for q, c, a, b, n in spans]
+    stretches = spark.createDataFrame(rows, "q string, c boolean, from_day date, next_day date, n long")
+    asks = spark.createDataFrame([(q, str(day(i)), day(i)) for q in "abz" for i in range(0, 50, 3)], "q string, as_of string, as_of_date date")
+    got = {(r.q, r.as_of, r.c): r.n for r in history.counted_as_of(stretches, asks, "q", ["c"], "as_of").collect()}
+    due = {}
+    for q, c, a, b, n in spans:
+        for i in range(0, 50, 3):
+            if a <= i and (b is None or i < b):
+                due[q, str(day(i)), c] = due.get((q, str(day(i)), c), 0) + n
+    assert got == due and len(due) > 50
+
+
+def test_detectors_without_hits_need_no_gaps(spark):
+    rows = spark.createDataFrame([("bolt 5.50 MG 2000-01-02 x",), ("nothing here",), ("",), (None,)], "line string")
+    found = mining.detect(rows.withColumns({"t": F.lit("2000-06-15"), "a": F.lit("2000-09-01")}), "line", "t", "a")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("CASE WHEN (size(__hit" in x for x in plan.split("\n") if "split(line" in x), plan
+    assert [len(r.hits or []) for r in found.collect()] == [2, 0, 0, 0]
