@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
+from threading import Lock
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem, LocalFileSystem
@@ -30,18 +31,20 @@ MANIFEST = (
 
 # Tasks that list the folders of one read: each sends its files' names to the driver, with a record of itself.
 LISTERS = 64
+_LISTING = Lock()
 
 
 @contextmanager
 def _few_listers(spark: SparkSession) -> Iterator[None]:
-    """By default Spark lists up to ten thousand folders with a task each."""
+    """By default Spark lists up to ten thousand folders with a task each. One thread lists at a time, so that each finds the setting as it was."""
     name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(name)
-    spark.conf.set(name, LISTERS)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    with _LISTING:
+        before = spark.conf.get(name)
+        spark.conf.set(name, LISTERS)
+        try:
+            yield
+        finally:
+            spark.conf.set(name, before)
 
 
 def scan_csv_strict(
